@@ -18,21 +18,27 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _both(a: Column, b: Column) -> Column:
+    return a.isNotNull() & b.isNotNull()
+
+
 def min2(a, b) -> Column:
     """least(a, b), but null when either side is null (``least`` skips nulls)."""
     a, b = _c(a), _c(b)
-    return F.when(a > b, b).when(a <= b, a)
+    return F.when(_both(a, b), F.least(a, b))
 
 
 def max2(a, b) -> Column:
     """greatest(a, b), but null when either side is null."""
     a, b = _c(a), _c(b)
-    return F.when(a < b, b).when(a >= b, a)
+    return F.when(_both(a, b), F.greatest(a, b))
 
 
 def clamp(x, lo, hi) -> Column:
     """max(lo, min(x, hi)): null in, null out; never fails when lo > hi (gives lo)."""
-    return max2(lo, min2(x, hi))
+    x, lo, hi = _c(x), _c(lo), _c(hi)
+    return F.when(x.isNotNull() & lo.isNotNull() & hi.isNotNull(),
+                  F.greatest(lo, F.least(x, hi)))
 
 
 def monthly_rate(annual_pct) -> Column:

@@ -34,15 +34,16 @@ def from_units(x: str) -> str:
 
 
 def min2(a: str, b: str) -> str:
-    return f"(CASE WHEN {a} > {b} THEN {b} WHEN {a} <= {b} THEN {a} END)"
+    return f"(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN least({a}, {b}) END)"
 
 
 def max2(a: str, b: str) -> str:
-    return f"(CASE WHEN {a} < {b} THEN {b} WHEN {a} >= {b} THEN {a} END)"
+    return f"(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN greatest({a}, {b}) END)"
 
 
 def clamp(x: str, lo: str, hi: str) -> str:
-    return max2(lo, min2(x, hi))
+    return (f"(CASE WHEN {x} IS NOT NULL AND {lo} IS NOT NULL AND {hi} IS NOT NULL "
+            f"THEN greatest({lo}, least({x}, {hi})) END)")
 
 
 def grades_cte() -> str:

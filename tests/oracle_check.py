@@ -15,7 +15,7 @@ import duckdb
 
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 
-import __spark_entry__ as E  # noqa: E402
+import __spark_entry__ as E  # noqa: E402,I001
 from notewise.session import local_session  # noqa: E402
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
