@@ -37,12 +37,37 @@ def analyzed_notes(ledger: DataFrame, cap_spillover: bool = False) -> DataFrame:
     return analyze_notes(rebuild_notes(ledger), cap_spillover=cap_spillover)
 
 
+# Lazy plans shared by the queries of one session and folder. A DataFrame is an immutable
+# plan, so reusing it only saves building it again on the driver; every execution still
+# reads the tables in full.
+_PLANS: dict[tuple, tuple[SparkSession, DataFrame]] = {}
+
+
+def _shared(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    key = (id(spark), sf_dir, name)
+    hit = _PLANS.get(key)
+    if hit is None or hit[0] is not spark:
+        if len(_PLANS) > 64:
+            _PLANS.clear()
+        hit = (spark, build())
+        _PLANS[key] = hit
+    return hit[1]
+
+
 def _ledger(spark, sf_dir):
-    return derive_ledger(spark, sf_dir)
+    return _shared(spark, sf_dir, "ledger", lambda: derive_ledger(spark, sf_dir))
 
 
 def _analyzed(spark, sf_dir):
-    return analyzed_notes(_ledger(spark, sf_dir))
+    return _shared(spark, sf_dir, "analyzed", lambda: analyzed_notes(_ledger(spark, sf_dir)))
+
+
+def _notes(spark, sf_dir):
+    return _shared(spark, sf_dir, "notes", lambda: note_summary(_ledger(spark, sf_dir)))
+
+
+def _rebuilt(spark, sf_dir):
+    return _shared(spark, sf_dir, "rebuilt", lambda: rebuild_notes(_ledger(spark, sf_dir)))
 
 
 def q_grade_dim(spark, sf_dir):
@@ -59,23 +84,24 @@ def q_grade_dim(spark, sf_dir):
 
 
 def q_note_principal(spark, sf_dir):
-    return note_summary(_ledger(spark, sf_dir)).select(
+    return _notes(spark, sf_dir).select(
         "loanID", "unitPayment", "interestRate", "cyclesTotal", "principal")
 
 
 def q_note_bad_debt(spark, sf_dir):
-    return note_summary(_ledger(spark, sf_dir)).select(
+    return _notes(spark, sf_dir).select(
         "loanID", "grade", "principal", "cyclesTotal", "badDebtFunds", "profits")
 
 
 def q_note_progress(spark, sf_dir):
-    return note_progress(waterfall(rebuild_notes(_ledger(spark, sf_dir)))).select(
+    return _analyzed(spark, sf_dir).select(
         "loanID", "cyclesRemaining", "nextPrincipalPayment", "principalOutstanding",
         "unitPayment", "monthsToBreakeven", "completed")
 
 
 def q_dq_report(spark, sf_dir):
-    return quality.dq_report(note_summary(derive_ledger(spark, sf_dir, faulty=True)))
+    faulty = _shared(spark, sf_dir, "faulty", lambda: derive_ledger(spark, sf_dir, faulty=True))
+    return quality.dq_report(note_summary(faulty))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -83,13 +109,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ledger_renamed": lambda s, d: normalise_titles(to_titles(_ledger(s, d))),
     "grade_dim": q_grade_dim,
     "paid_instalments": lambda s, d: paid_instalments(_ledger(s, d)),
-    "note_summary": lambda s, d: note_summary(_ledger(s, d)),
+    "note_summary": _notes,
     "note_principal": q_note_principal,
     "note_bad_debt": q_note_bad_debt,
     "loan_transactions": lambda s, d: loan_transactions(_ledger(s, d)),
     "notes_with_transactions": lambda s, d: notes_with_transactions(_ledger(s, d)),
-    "rebuild_notes": lambda s, d: rebuild_notes(_ledger(s, d)),
-    "waterfall": lambda s, d: waterfall(rebuild_notes(_ledger(s, d))),
+    "rebuild_notes": _rebuilt,
+    "waterfall": lambda s, d: waterfall(_rebuilt(s, d)),
     "note_progress": q_note_progress,
     "open_notes": lambda s, d: selection.open_notes(_analyzed(s, d)),
     "notes_ordered": lambda s, d: selection.order_notes(_analyzed(s, d), "app"),
@@ -97,7 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "notes_preview": lambda s, d: selection.preview(_analyzed(s, d), PREVIEW_ROWS),
     "note_annualized_return": lambda s, d: metrics.note_annualized_return(_analyzed(s, d)),
     "weighted_avg_rate": lambda s, d: metrics.weighted_avg(
-        note_summary(_ledger(s, d)), "interestRate", "principal", name="weightedAvgRate"
+        _notes(s, d), "interestRate", "principal", name="weightedAvgRate"
     ).select(F.round("weightedAvgRate", 6).alias("weightedAvgRate")),
     "kpi_total_earnings": lambda s, d: metrics.kpi_total_earnings(_analyzed(s, d)),
     "kpi_current_roi": lambda s, d: metrics.kpi_current_roi(_analyzed(s, d)),
@@ -107,7 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kpi_funds_uninvested": lambda s, d: metrics.kpi_funds_uninvested(_analyzed(s, d), TOTAL_FUNDS),
     "portfolio_kpis": lambda s, d: metrics.portfolio_kpis(_analyzed(s, d), TOTAL_FUNDS, by=["grade"]),
     "funds_allocation": lambda s, d: datasets.funds_allocation(_analyzed(s, d), TOTAL_FUNDS),
-    "grade_distribution": lambda s, d: datasets.grade_distribution(note_summary(_ledger(s, d))),
+    "grade_distribution": lambda s, d: datasets.grade_distribution(_notes(s, d)),
     "progress_series": lambda s, d: datasets.progress_series(_analyzed(s, d)),
     "progress_by_grade": lambda s, d: datasets.progress_series(_analyzed(s, d), PROGRESS_GRADE),
     "progress_annotations": lambda s, d: datasets.progress_annotations(_analyzed(s, d)),

@@ -57,11 +57,9 @@ def test_progress_series_adds_no_shuffle(spark, parquet_ledger):
 
 
 def test_derived_ledger_note_aggregate_reuses_join_partitioning(spark, sf_small):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = _plan(rebuild_notes(derive_ledger(spark, sf_small)))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the session (local_session) broadcasts nothing by estimate, as on a cluster
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+    plan = _plan(rebuild_notes(derive_ledger(spark, sf_small)))
     # On l_orderkey: lineitem rows, the order-level join result, lines per order. The
     # note aggregate adds no exchange of its own (it reuses the join's partitioning).
     assert len(re.findall(r"Exchange hashpartitioning\(l_orderkey", plan)) == 3, plan
