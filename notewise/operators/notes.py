@@ -125,10 +125,22 @@ def rebuild_notes(
     ``<name>_payments`` columns for extra paid-by predicates (used by timeframes).
     """
     grades = grades if grades is not None else grade_dim(ledger.sparkSession)
+    return finish_notes(note_aggregate(ledger, as_of), grades, as_of)
+
+
+def note_aggregate(ledger: DataFrame, as_of: dict[str, Column] | None = None) -> DataFrame:
+    """The decomposable part of ``rebuild_notes``: one aggregate per note key.
+
+    Works on batch and streaming ledgers alike (count / sum / avg / min only).
+    """
     paid = {"all": is_paid()}
     for name, cond in (as_of or {}).items():
         paid[name] = is_paid() & cond
-    agg = ledger.groupBy(*NOTE_KEYS).agg(*_note_aggregates(paid))
+    return ledger.groupBy(*NOTE_KEYS).agg(*_note_aggregates(paid))
+
+
+def finish_notes(agg: DataFrame, grades: DataFrame, as_of: dict | None = None) -> DataFrame:
+    """Row-wise completion of ``note_aggregate`` output into note rows."""
     notes = _finish(agg, grades)
     extra = []
     for name in (as_of or {}):

@@ -394,4 +394,5 @@ def oracle_sql() -> dict[str, str]:
                                  "ELSE '' END AS label FROM analyzed"),
         "earnings_timeframe": timeframe_sql(P.TIMEFRAME_AS_OF, P.TIMEFRAME),
         "dq_report": dq_sql(),
+        "analyzed_notes_stream": f"{a} SELECT {ANALYZED_COLS} FROM analyzed",
     }

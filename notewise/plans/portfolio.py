@@ -30,6 +30,7 @@ PREVIEW_ROWS = 5
 PROGRESS_GRADE = "C"
 TIMEFRAME_AS_OF = "2000-06-30"
 TIMEFRAME = "year"
+STREAM_FILES = 3
 
 
 def analyzed_notes(ledger: DataFrame, cap_spillover: bool = False) -> DataFrame:
@@ -99,6 +100,25 @@ def q_note_progress(spark, sf_dir):
         "unitPayment", "monthsToBreakeven", "completed")
 
 
+def q_analyzed_notes_stream(spark, sf_dir):
+    """The analyzed notes computed incrementally: the derived ledger is staged under the
+    shared checkpoint folder as STREAM_FILES files, each a contiguous range of due dates,
+    and replayed as a stream, one file per micro-batch (in time order); the result is
+    each note's newest version."""
+    import uuid
+
+    from notewise.session import checkpoint_dir
+    from notewise.sources.ledger import write_ledger
+    from notewise.streaming.payments import latest_notes, start_note_stream
+
+    run = f"{checkpoint_dir(spark).rstrip('/')}/notewise-stream-run-{uuid.uuid4().hex}"
+    _ledger(spark, sf_dir).repartitionByRange(STREAM_FILES, "dueDate").write.parquet(f"{run}/ledger")
+    query = start_note_stream(spark, f"{run}/ledger", f"{run}/notes",
+                              checkpoint=f"{run}/checkpoint", max_files_per_trigger=1)
+    query.awaitTermination()
+    return latest_notes(spark, f"{run}/notes")
+
+
 def q_dq_report(spark, sf_dir):
     faulty = _shared(spark, sf_dir, "faulty", lambda: derive_ledger(spark, sf_dir, faulty=True))
     return quality.dq_report(note_summary(faulty))
@@ -139,4 +159,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "progress_annotations": lambda s, d: datasets.progress_annotations(_analyzed(s, d)),
     "earnings_timeframe": lambda s, d: earnings_timeframe(_ledger(s, d), TIMEFRAME_AS_OF, TIMEFRAME),
     "dq_report": q_dq_report,
+    "analyzed_notes_stream": q_analyzed_notes_stream,
 }
