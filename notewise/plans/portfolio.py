@@ -114,7 +114,8 @@ def q_analyzed_notes_stream(spark, sf_dir):
     run = f"{checkpoint_dir(spark).rstrip('/')}/notewise-stream-run-{uuid.uuid4().hex}"
     _ledger(spark, sf_dir).repartitionByRange(STREAM_FILES, "dueDate").write.parquet(f"{run}/ledger")
     query = start_note_stream(spark, f"{run}/ledger", f"{run}/notes",
-                              checkpoint=f"{run}/checkpoint", max_files_per_trigger=1)
+                              checkpoint=f"{run}/checkpoint", max_files_per_trigger=1,
+                              state_partitions=spark.sparkContext.defaultParallelism)
     query.awaitTermination()
     return latest_notes(spark, f"{run}/notes")
 

@@ -71,8 +71,14 @@ def start_note_stream(
     available_now: bool = True,
     processing_time: str | None = None,
     cap_spillover: bool = False,
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
-    """Start the incremental job; ``available_now`` processes what is there and stops."""
+    """Start the incremental job; ``available_now`` processes what is there and stops.
+
+    ``state_partitions`` fixes the number of state-store partitions (it cannot change
+    after the first run of a checkpoint); size it to the number of notes. Default: the
+    session's ``spark.sql.shuffle.partitions``.
+    """
     if checkpoint is None:
         tag = hashlib.sha1(out_path.encode()).hexdigest()[:16]
         checkpoint = f"{checkpoint_dir(spark).rstrip('/')}/notewise-notes-stream-{tag}"
@@ -84,7 +90,15 @@ def start_note_stream(
         writer = writer.trigger(availableNow=True)
     elif processing_time:
         writer = writer.trigger(processingTime=processing_time)
-    return writer.start()
+    if state_partitions is None:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    previous = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))  # the query snapshots the conf at start
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, previous)
 
 
 def latest_notes(spark: SparkSession, out_path: str) -> DataFrame:
