@@ -53,13 +53,24 @@ def dq_corrupt_rows(raw: DataFrame) -> DataFrame:
 
 
 def dq_report(notes: DataFrame) -> DataFrame:
-    """One row per rule with its count (notes; loans for ``duplicate_loan``). Never
-    empty. Two small aggregates over the notes, stacked with a union."""
+    """One row per rule with its count (notes; loans for ``duplicate_loan``). Never empty.
+
+    One chain over the notes: a per-loan aggregate (rule counts and note keys per loan,
+    combined map-side) and one global aggregate, stacked into rows by a generator.
+    """
     rules = note_rules()
-    counts = notes.agg(*[F.count(F.when(p, F.lit(1))).alias(n) for n, p in rules.items()])
-    per_rule = counts.select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules
+    per_loan = notes.groupBy("loanID").agg(
+        F.count(F.lit(1)).alias("_noteKeys"),
+        *[F.count(F.when(p, F.lit(1))).alias(n) for n, p in rules.items()],
+    )
+    totals = per_loan.agg(
+        *[F.sum(n).alias(n) for n in rules],
+        F.count(F.when(F.col("_noteKeys") > 1, F.lit(1))).alias("duplicate_loan"),
+    )
+    names = list(rules) + ["duplicate_loan"]
+    zero = F.lit(0).cast("bigint")
+    return totals.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("rule"),
+                 F.coalesce(F.col(n).cast("bigint"), zero).alias("violations"))
+        for n in names
     ])))
-    dup = dq_duplicate_loans(notes).agg(F.count(F.lit(1)).alias("violations"))
-    dup = dup.select(F.lit("duplicate_loan").alias("rule"), "violations")
-    return per_rule.unionByName(dup)
