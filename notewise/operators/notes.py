@@ -26,6 +26,18 @@ def is_paid() -> Column:
     return F.col("datePaid").isNotNull()
 
 
+def only_payment_types(ledger: DataFrame, payment_types=None) -> DataFrame:
+    """Keep ledger rows of the given payment types (all rows when None).
+
+    By default every ledger row counts as an instalment (``cyclesTotal`` = rows), as in the
+    reference; extra rows such as late fees or re-schedules can be left out this way. The
+    filter is pushed down to the scan.
+    """
+    if payment_types is None:
+        return ledger
+    return ledger.filter(F.col("paymentType").isin(list(payment_types)))
+
+
 def paid_instalments(ledger: DataFrame) -> DataFrame:
     """Ledger rows that have been paid (pushed down to the scan as ``IsNotNull``)."""
     return ledger.filter(is_paid())
@@ -63,7 +75,8 @@ def _finish(agg: DataFrame, grades: DataFrame) -> DataFrame:
     )
 
 
-def note_summary(ledger: DataFrame, grades: DataFrame | None = None) -> DataFrame:
+def note_summary(ledger: DataFrame, grades: DataFrame | None = None,
+                 payment_types=None) -> DataFrame:
     """One row per note, before any payment: ``amountRepayed = 0``,
     ``cyclesRemaining = cyclesTotal``.
 
@@ -73,6 +86,7 @@ def note_summary(ledger: DataFrame, grades: DataFrame | None = None) -> DataFram
     minus fees minus the bad-debt reserve.
     """
     grades = grades if grades is not None else grade_dim(ledger.sparkSession)
+    ledger = only_payment_types(ledger, payment_types)
     agg = ledger.groupBy(*NOTE_KEYS).agg(*_note_aggregates())
     notes = _finish(agg, grades)
     return notes.select(
@@ -82,10 +96,10 @@ def note_summary(ledger: DataFrame, grades: DataFrame | None = None) -> DataFram
     )
 
 
-def loan_transactions(ledger: DataFrame) -> DataFrame:
+def loan_transactions(ledger: DataFrame, payment_types=None) -> DataFrame:
     """Paid instalments per loan: (loanID, totalPaid DOUBLE, numPayments BIGINT)."""
     return (
-        paid_instalments(ledger)
+        paid_instalments(only_payment_types(ledger, payment_types))
         .groupBy("loanID")
         .agg(F.sum("totalPaid").cast("double").alias("totalPaid"),
              F.count(F.lit(1)).alias("numPayments"))
@@ -117,6 +131,7 @@ def rebuild_notes(
     ledger: DataFrame,
     grades: DataFrame | None = None,
     as_of: dict[str, Column] | None = None,
+    payment_types=None,
 ) -> DataFrame:
     """Notes with payments in ONE aggregate (idempotent; no second scan, no join).
 
@@ -125,6 +140,7 @@ def rebuild_notes(
     ``<name>_payments`` columns for extra paid-by predicates (used by timeframes).
     """
     grades = grades if grades is not None else grade_dim(ledger.sparkSession)
+    ledger = only_payment_types(ledger, payment_types)
     return finish_notes(note_aggregate(ledger, as_of), grades, as_of)
 
 

@@ -90,3 +90,15 @@ def test_dq_report_clean_ledger_is_zero(spark, sf_small):
     notes = note_summary(derive_ledger(spark, sf_small))
     report = {r["rule"]: r["violations"] for r in quality.dq_report(notes).collect()}
     assert len(report) == 10 and set(report.values()) == {0}
+
+
+def test_payment_types_filter(spark):
+    rows = [(7, "Acme", "B", 12.0, 100.0, 5.0, 1.0, D(2019, 3, 31), D(2019, 3, 31)),
+            (7, "Acme", "B", 12.0, 100.0, 4.0, 1.0, D(2019, 4, 30), None)]
+    led = _ledger(spark, rows)
+    late_fee = led.limit(1).withColumn("paymentType", F.lit("Late Fee"))
+    both = led.unionByName(late_fee)
+    assert note_summary(both).first()["cyclesTotal"] == 3
+    assert note_summary(both, payment_types=["Scheduled"]).first()["cyclesTotal"] == 2
+    assert rebuild_notes(both, payment_types=["Scheduled"]).first()["cyclesRemaining"] == 1
+    assert loan_transactions(both, payment_types=["Scheduled"]).first()["numPayments"] == 1
