@@ -136,7 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "loan_transactions": lambda s, d: loan_transactions(_ledger(s, d)),
     "notes_with_transactions": lambda s, d: notes_with_transactions(_ledger(s, d)),
     "rebuild_notes": _rebuilt,
-    "waterfall": lambda s, d: waterfall(_rebuilt(s, d)),
+    "waterfall": lambda s, d: _shared(s, d, "waterfall", lambda: waterfall(_rebuilt(s, d))),
     "note_progress": q_note_progress,
     "open_notes": lambda s, d: selection.open_notes(_analyzed(s, d)),
     "notes_ordered": lambda s, d: selection.order_notes(_analyzed(s, d), "app"),
