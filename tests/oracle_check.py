@@ -18,6 +18,10 @@ sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 import __spark_entry__ as E  # noqa: E402,I001
 from notewise.session import local_session  # noqa: E402
 
+# Spark type name -> DuckDB type name, for the schema part of the comparison.
+SPARK_TO_DUCKDB = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                   "date": "DATE", "boolean": "BOOLEAN", "decimal(18,2)": "DECIMAL(18,2)"}
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -56,6 +60,10 @@ def compare(spark, con, sf_dir, key):
     snames = sdf.columns
     if sorted(snames) != sorted(dnames):
         return f"{key:26s} COLUMNS DIFFER spark={sorted(snames)} duck={sorted(dnames)}"
+    dtypes = dict(zip(dnames, [str(t) for t in rel.types]))
+    wrong = {c: (t, dtypes[c]) for c, t in sdf.dtypes if SPARK_TO_DUCKDB.get(t, t) != dtypes[c]}
+    if wrong:
+        return f"{key:26s} TYPES DIFFER {wrong}"
     a, b = _rows(snames, srows), _rows(dnames, drows)
     if len(a) != len(b):
         return f"{key:26s} ROWCOUNT spark={len(a)} duck={len(b)}"
