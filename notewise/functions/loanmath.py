@@ -81,8 +81,13 @@ def annualized_growth(earnings, principal, cycles_total, cycles_remaining=None)
 
 
 def to_units(x, scale: int = 2) -> Column:
-    """Money as an exact integer count of 10^-scale units (cents by default)."""
-    return F.round(_c(x) * F.lit(10 ** scale)).cast("bigint")
+    """Money as an exact integer count of 10^-scale units (cents by default).
+
+    Rounds half up via ``floor(x * 10^scale + 0.5)`` on DOUBLE (DECIMAL input is cast):
+    exact for amounts below 2^53 units, and a plain floating-point op, unlike ``round``
+    on doubles, which goes through ``BigDecimal`` for every value.
+    """
+    return F.floor(_c(x).cast("double") * F.lit(float(10 ** scale)) + F.lit(0.5))
 
 
 def from_units(u, scale: int = 2) -> Column:

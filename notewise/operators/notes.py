@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewise.functions.loanmath import annuity_principal, bad_debt_reserve
+from notewise.functions.loanmath import (
+    annuity_principal, bad_debt_reserve, from_units, to_units,
+)
 from notewise.sources.dims import grade_dim
 from notewise.sources.schema import NOTE_KEYS
 
@@ -44,20 +46,34 @@ def paid_instalments(ledger: DataFrame) -> DataFrame:
 
 
 def _note_aggregates(paid_as_of=None) -> list[Column]:
-    """Aggregates of one note; ``paid_as_of`` maps output name -> extra paid predicate."""
+    """Aggregates of one note; ``paid_as_of`` maps output name -> extra paid predicate.
+
+    Money is summed as exact integer cents (BIGINT buffers): DECIMAL sums would keep
+    DECIMAL(28,2) buffers, which Spark stores as serialized BigIntegers per update.
+    """
     aggs = [
         F.count(F.lit(1)).alias("cyclesTotal"),
-        F.round(F.sum("fees"), 2).cast("double").alias("fees"),
-        F.round(F.sum("interestScheduled") - F.sum("fees"), 2).cast("double").alias("grossProfits"),
-        F.round(F.avg("totalScheduled"), 2).cast("double").alias("unitPayment"),
+        F.sum(to_units("fees")).alias("fees_units"),
+        F.sum(to_units("interestScheduled")).alias("interest_units"),
+        F.sum(to_units("totalScheduled")).alias("total_units"),
         F.min("dueDate").alias("firstDueDate"),
     ]
     for name, cond in (paid_as_of or {}).items():
-        aggs.append(F.sum(F.when(cond, F.col("totalPaid"))).alias(f"{name}_repaid"))
+        aggs.append(F.sum(F.when(cond, to_units("totalPaid"))).alias(f"{name}_repaid"))
         aggs.append(F.count(F.when(cond, F.lit(1))).alias(f"{name}_payments"))
     return aggs
 
 
+def _amounts(agg: DataFrame) -> DataFrame:
+    """Fees, gross profits (interest - fees) and the mean instalment, from cent sums."""
+    mean_units = F.floor(F.try_divide(F.col("total_units"), F.col("cyclesTotal")) + F.lit(0.5))
+    return agg.withColumns({
+        "fees": from_units("fees_units"),
+        "grossProfits": from_units(F.col("interest_units") - F.col("fees_units")),
+        "unitPayment": from_units(mean_units),
+    })
+
+
 def _finish(agg: DataFrame, grades: DataFrame) -> DataFrame:
     """Principal, bad-debt reserve, net profits and start date from the note aggregate.
 
@@ -66,7 +82,7 @@ def _finish(agg: DataFrame, grades: DataFrame) -> DataFrame:
     """
     g = F.broadcast(grades.select("grade", "badDebtRate"))
     principal = annuity_principal("unitPayment", "interestRate", "cyclesTotal")
-    with_p = agg.join(g, "grade", "left").withColumn("principal", principal)
+    with_p = _amounts(agg).join(g, "grade", "left").withColumn("principal", principal)
     reserve = bad_debt_reserve("principal", "badDebtRate", "cyclesTotal")
     return (
         with_p.withColumn("badDebtFunds", reserve)
@@ -101,7 +117,7 @@ def loan_transactions(ledger: DataFrame, payment_types=None) -> DataFrame:
     return (
         paid_instalments(only_payment_types(ledger, payment_types))
         .groupBy("loanID")
-        .agg(F.sum("totalPaid").cast("double").alias("totalPaid"),
+        .agg(from_units(F.sum(to_units("totalPaid"))).alias("totalPaid"),
              F.count(F.lit(1)).alias("numPayments"))
     )
 
@@ -155,17 +171,20 @@ def note_aggregate(ledger: DataFrame, as_of: dict[str, Column] | None = None) ->
     return ledger.groupBy(*NOTE_KEYS).agg(*_note_aggregates(paid))
 
 
+def _repaid(units: str) -> Column:
+    return from_units(F.coalesce(F.col(units), F.lit(0).cast("bigint")))
+
+
 def finish_notes(agg: DataFrame, grades: DataFrame, as_of: dict | None = None) -> DataFrame:
     """Row-wise completion of ``note_aggregate`` output into note rows."""
     notes = _finish(agg, grades)
     extra = []
     for name in (as_of or {}):
-        extra += [F.coalesce(F.col(f"{name}_repaid").cast("double"), F.lit(0.0)).alias(f"{name}_repaid"),
-                  F.col(f"{name}_payments")]
+        extra += [_repaid(f"{name}_repaid").alias(f"{name}_repaid"), F.col(f"{name}_payments")]
     return notes.select(
         *NOTE_KEYS, "cyclesTotal", "principal", "fees", "profits", "unitPayment", "startDate",
         (F.col("cyclesTotal") - F.col("all_payments")).alias("cyclesRemaining"),
         "badDebtFunds",
-        F.coalesce(F.col("all_repaid").cast("double"), F.lit(0.0)).alias("amountRepayed"),
+        _repaid("all_repaid").alias("amountRepayed"),
         *extra,
     )
