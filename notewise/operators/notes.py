@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notewise.functions.exprcache import cached
 from notewise.functions.loanmath import (
     annuity_principal, bad_debt_reserve, from_units, to_units,
 )
@@ -66,12 +67,14 @@ def _note_aggregates(paid_as_of=None) -> list[Column]:
 
 def _amounts(agg: DataFrame) -> DataFrame:
     """Fees, gross profits (interest - fees) and the mean instalment, from cent sums."""
-    mean_units = F.floor(F.try_divide(F.col("total_units"), F.col("cyclesTotal")) + F.lit(0.5))
-    return agg.withColumns({
-        "fees": from_units("fees_units"),
-        "grossProfits": from_units(F.col("interest_units") - F.col("fees_units")),
-        "unitPayment": from_units(mean_units),
-    })
+    def build():
+        mean_units = F.floor(F.try_divide(F.col("total_units"), F.col("cyclesTotal")) + F.lit(0.5))
+        return {
+            "fees": from_units("fees_units"),
+            "grossProfits": from_units(F.col("interest_units") - F.col("fees_units")),
+            "unitPayment": from_units(mean_units),
+        }
+    return agg.withColumns(cached("note_amounts", build))
 
 
 def _finish(agg: DataFrame, grades: DataFrame) -> DataFrame:
@@ -81,13 +84,17 @@ def _finish(agg: DataFrame, grades: DataFrame) -> DataFrame:
     an unknown grade gives a null reserve (reported by ``quality``), not a failure.
     """
     g = F.broadcast(grades.select("grade", "badDebtRate"))
-    principal = annuity_principal("unitPayment", "interestRate", "cyclesTotal")
+    principal, reserve, profits, start = cached("note_finish", lambda: (
+        annuity_principal("unitPayment", "interestRate", "cyclesTotal"),
+        bad_debt_reserve("principal", "badDebtRate", "cyclesTotal"),
+        F.round(F.col("grossProfits") - F.col("badDebtFunds"), 2),
+        F.add_months(F.col("firstDueDate"), -1),
+    ))
     with_p = _amounts(agg).join(g, "grade", "left").withColumn("principal", principal)
-    reserve = bad_debt_reserve("principal", "badDebtRate", "cyclesTotal")
     return (
         with_p.withColumn("badDebtFunds", reserve)
-        .withColumn("profits", F.round(F.col("grossProfits") - F.col("badDebtFunds"), 2))
-        .withColumn("startDate", F.add_months(F.col("firstDueDate"), -1))
+        .withColumn("profits", profits)
+        .withColumn("startDate", start)
     )
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notewise.functions.exprcache import cached
 from notewise.functions.loanmath import (
     ceil_div, clamp, from_units, max2, min2, to_units,
 )
@@ -45,6 +46,16 @@ def waterfall(
     Two projections: the first turns money into integer units and the running prefix,
     the second applies the clamps, so each input is converted once.
     """
+    if isinstance(paid, str) and isinstance(unit, str):
+        key = ("waterfall", tuple(categories), paid, unit, cap_spillover, scale, suffix)
+        staged, out = cached(key, lambda: _waterfall_exprs(
+            categories, paid, unit, cap_spillover, scale, suffix))
+    else:
+        staged, out = _waterfall_exprs(categories, paid, unit, cap_spillover, scale, suffix)
+    return notes.withColumns(staged).withColumns(out).drop(*staged.keys())
+
+
+def _waterfall_exprs(categories, paid, unit, cap_spillover, scale, suffix):
     tag = f"__wf{suffix}_"
     zero = F.lit(0).cast("bigint")
     staged = {f"{tag}a": to_units(paid, scale), f"{tag}u": to_units(unit, scale)}
@@ -67,17 +78,19 @@ def waterfall(
         out[received_column(cat) + suffix] = from_units(received, scale)
         out[next_column(cat) + suffix] = from_units(nxt, scale)
         out[outstanding_column(cat) + suffix] = from_units(outstanding, scale)
-    return notes.withColumns(staged).withColumns(out).drop(*staged.keys())
+    return staged, out
 
 
 def note_progress(analyzed: DataFrame, unit: str = "unitPayment", scale: int = 2) -> DataFrame:
     """Add ``monthsToBreakeven`` (instalments until the principal is back; null when the
     instalment is 0) and ``completed`` (no cycle remaining)."""
-    owed = to_units("nextPrincipalPayment", scale) + to_units("principalOutstanding", scale)
-    return analyzed.withColumns({
-        "monthsToBreakeven": ceil_div(owed, to_units(unit, scale)).cast("int"),
-        "completed": F.col("cyclesRemaining") == 0,
-    })
+    def build():
+        owed = to_units("nextPrincipalPayment", scale) + to_units("principalOutstanding", scale)
+        return {
+            "monthsToBreakeven": ceil_div(owed, to_units(unit, scale)).cast("int"),
+            "completed": F.col("cyclesRemaining") == 0,
+        }
+    return analyzed.withColumns(cached(("progress", unit, scale), build))
 
 
 def analyze_notes(notes: DataFrame, cap_spillover: bool = False) -> DataFrame:
