@@ -395,4 +395,5 @@ def oracle_sql() -> dict[str, str]:
         "earnings_timeframe": timeframe_sql(P.TIMEFRAME_AS_OF, P.TIMEFRAME),
         "dq_report": dq_sql(),
         "analyzed_notes_stream": f"{a} SELECT {ANALYZED_COLS} FROM analyzed",
+        "ledger_csv": f"{led} SELECT {cols} FROM ledger",
     }

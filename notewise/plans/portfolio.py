@@ -120,6 +120,20 @@ def q_analyzed_notes_stream(spark, sf_dir):
     return latest_notes(spark, f"{run}/notes")
 
 
+def q_ledger_csv(spark, sf_dir):
+    """The ledger through its file format: written as a titled CSV (one header row, dates
+    as yyyy-MM-dd, unpaid instalments with an empty Date Paid) under the shared checkpoint
+    folder, and read back with the fixed-schema CSV reader and title normalisation."""
+    import uuid
+
+    from notewise.session import checkpoint_dir
+    from notewise.sources.ledger import read_ledger, write_ledger
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/notewise-ledger-csv-{uuid.uuid4().hex}"
+    write_ledger(_ledger(spark, sf_dir), path, fmt="csv")
+    return read_ledger(spark, path, fmt="csv")
+
+
 def q_dq_report(spark, sf_dir):
     faulty = _shared(spark, sf_dir, "faulty", lambda: derive_ledger(spark, sf_dir, faulty=True))
     return quality.dq_report(note_summary(faulty))
@@ -161,4 +175,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "earnings_timeframe": lambda s, d: earnings_timeframe(_ledger(s, d), TIMEFRAME_AS_OF, TIMEFRAME),
     "dq_report": q_dq_report,
     "analyzed_notes_stream": q_analyzed_notes_stream,
+    "ledger_csv": q_ledger_csv,
 }
