@@ -8,12 +8,15 @@ Per line, with ``n`` = lines of the order and ``rate`` in basis points:
 ``fees = floor(tot*150*(n+1)/240000)``; paid when ``l_linestatus = 'F'``.
 
 Plan shape: lines per order come from a partial aggregate (no window over a possibly hot
-order), are joined to orders and customers (one row per key, so a skewed order only skews
-the probe side, which AQE's skew-join rule splits), then to the lines. Orders and
-customers grow with the data, so they are never broadcast: with estimate-based broadcast
-off (``session.RECOMMENDED``) both joins are sort-merge joins at every scale, lineitem is
-shuffled once, and the note aggregate downstream reuses that partitioning on the order
-key. The grade dimension is a fixed 10-row table and is broadcast by an explicit hint.
+order) and are joined to orders on the order key and then to customers on the customer
+key, so the order-level side reaches the join with the lines through its own shuffle on
+the order key. Both inputs of that join are then plain shuffles, which is what AQE's
+skew-join rule needs to split an order holding a large share of all lines (the other side
+has one row per order). Orders and customers grow with the data, so they are never
+broadcast: with estimate-based broadcast off (``session.RECOMMENDED``) the joins are
+sort-merge joins at every scale, lineitem is shuffled once, and the note aggregate
+downstream reuses that partitioning on the order key. The grade dimension is a fixed
+10-row table and is broadcast by an explicit hint.
 """
 
 from __future__ import annotations
@@ -76,9 +79,10 @@ def derive_ledger(spark: SparkSession, sf_dir: str, faulty: bool = False,
 
     lines_per_order = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     loans = (
-        _hinted(orders, join_hint).join(customers, orders["o_custkey"] == customers["c_custkey"])
-        .select(F.col("o_orderkey").alias("l_orderkey"), "c_name")
+        _hinted(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), join_hint)
         .join(lines_per_order, "l_orderkey")
+        .join(customers, F.col("o_custkey") == customers["c_custkey"])
+        .select("l_orderkey", "c_name", "n")
     )
     grades = F.broadcast(grade_dim(spark))
     key = F.col("l_orderkey")
