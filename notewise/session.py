@@ -7,7 +7,6 @@ settings that are unset, so a cluster's own configuration always wins.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -47,19 +46,10 @@ def configure(spark: SparkSession, force: bool = False) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only when the session names none (local tests) a private temporary folder is
-    created and registered, so lineage can still be cut with ``checkpoint()``.
-    """
+    """The shared folder named by ``spark.checkpoint.dir``; an error when none is named."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        current = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        current = tempfile.mkdtemp(prefix="notewise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(current)
     return current
 
