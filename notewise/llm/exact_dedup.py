@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialise
 
 PREFIX_CHARS = 128
 
@@ -47,8 +47,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                          "left_semi").select(F.col("doc_id").alias("s_id"), F.col("len").alias("s_len"),
                                              F.col("pre").alias("s_pre")).distinct()
 
-    # Level 3: the full text of the survivors, hashed where it is read.
-    full = (docs.select(*_keys(id_col, text_col, prefix_chars), F.col(text_col).alias("text"))
+    # Level 3: the full text of the survivors, moved and hashed once.
+    full = materialise(docs.select(*_keys(id_col, text_col, prefix_chars), F.col(text_col).alias("text"))
             .join(level2.hint("shuffle_hash"),
                   F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("len") == F.col("s_len"))
                   & (F.col("pre") == F.col("s_pre")), "left_semi")
