@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, toxicity
+from ..session import checkpoint_dir
+from . import bpe, exact_dedup, mixing, secret_ledger, toxicity
 from .common import read_table
 
 
@@ -19,6 +21,12 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first run: the ledger starts empty, in a folder of its own."""
+    ledger = f"{checkpoint_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    return secret_ledger.scan_paths(read_table(spark, sf_dir, "documents"), ledger)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
@@ -38,6 +46,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mix": op6_source_mix,
+    "op8_secret_ledger": op8_secret_ledger,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
