@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialise, n_blocks, word_count
 
 BLOCK_TOKENS = 512
-DOCS_PER_RANGE = 8192
-SLOTS_PER_CHUNK = 65536
+DOCS_PER_RANGE = 2048
+SLOTS_PER_CHUNK = 4096
 _MODULUS = 2 ** 31
 _STEP = 1327217885  # 2**31 / golden ratio, odd: i * _STEP mod 2**31 walks the golden points
 
