@@ -1,22 +1,61 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again."""
+"""The corpus pipeline over ``documents``: five stages, each written as Parquet and read again.
+
+toxicity drops the documents that the learned lexicon rejects; exact_dedup keeps one of equal
+texts; near_dedup keeps one document of each group linked by 3-word shingles at a Jaccard
+similarity of 0.9; source_mix repeats or leaves out documents to reach the sources' target
+weights; bpe encodes what is left and returns its digests. All but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from notewise.llm import exact_dedup, mixing
+from notewise.llm import bpe, exact_dedup, mixing, parity_join, toxicity
+from notewise.llm.common import read_table
+from notewise.llm.queries import tokenizer_path
+from notewise.session import checkpoint_dir
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_one(docs)
 
 
-STAGES = [("exact_dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return parity_join.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("source_mix", mix_sources),
+    ("bpe", encode),
+]
+
+# A learned lexicon and merges are beyond SQL: tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """Apply the stages to ``documents``; every result is written to the shared folder."""
+    folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    docs = read_table(spark, sf_dir, "documents")
+    for number, (name, stage) in enumerate(STAGES, 1):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}_{name}")
+        docs = spark.read.parquet(f"{folder}/{number}_{name}")
     return docs

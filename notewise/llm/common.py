@@ -38,3 +38,19 @@ def materialise(df: DataFrame) -> DataFrame:
 def n_blocks(rows: int, per_block: int) -> int:
     """How many blocks of about ``per_block`` rows hold ``rows`` rows (at least one)."""
     return max(1, math.ceil(rows / per_block))
+
+
+def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``stay``, all columns; a repeated id stays once.
+
+    The text moves once, against narrow rows. Repeated ids are looked for on ids alone, and
+    only when there are any do their rows take the second path.
+    """
+    ids = stay.select(F.col("doc_id").alias("k_id")).distinct().hint("shuffle_hash")
+    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("r_id"))
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("r_id"))
+    return kept.join(again, same, "left_anti").unionByName(
+        kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))

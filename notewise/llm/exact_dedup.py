@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise
+from .common import ascii_lower, keep_rows, materialise
 
 PREFIX_CHARS = 128
 
@@ -78,10 +78,4 @@ def with_text_hash(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; repeated rows stay once."""
-    stay = duplicate_groups(docs).where("kept").select(F.col("doc_id").alias("k_id")).distinct()
-    one = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        F.col("doc_id").alias("r_id"))
-    again = F.col("doc_id").eqNullSafe(F.col("r_id"))
-    return one.join(repeated, again, "left_anti").unionByName(
-        one.join(repeated, again, "left_semi").dropDuplicates(["doc_id"]))
+    return keep_rows(docs, duplicate_groups(docs).where("kept"))

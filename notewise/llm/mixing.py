@@ -145,3 +145,18 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeat_cap: floa
     unused = placed.where((F.col("size") == 0) | (F.col("start") >= F.col("take"))).select(
         *out, F.lit(0).cast("long").alias("taken"))
     return used.unionByName(unused).drop("uid")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as rows of ``docs``: a document appears once for every pass that takes it.
+
+    A document is not cut: the one at which a source's last pass ends stays whole. Documents
+    that the mix leaves out, or that have no words, do not appear. Rows that repeat an id
+    appear as often as the one of them that is taken most.
+    """
+    copies = (mix(docs, **options).where("taken > 0").groupBy("doc_id")
+              .agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("c_n"))
+              .select(F.col("doc_id").alias("c_id"), "c_n").hint("shuffle_hash"))
+    names = docs.columns
+    return (docs.join(copies, F.col("doc_id").eqNullSafe(F.col("c_id")))
+            .select(*names, F.explode(F.array_repeat(F.lit(1), F.col("c_n"))).alias("c_pass")).drop("c_pass"))

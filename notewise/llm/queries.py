@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
-from . import bpe, exact_dedup, mixing, secret_ledger, toxicity
+from . import bpe, exact_dedup, mixing, parity_join, secret_ledger, toxicity
 from .common import read_table
 
 
@@ -21,6 +21,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.components(read_table(spark, sf_dir, "documents"))
+
+
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first run: the ledger starts empty, in a folder of its own."""
     ledger = f"{checkpoint_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
@@ -46,6 +50,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mix": op6_source_mix,
+    "op7_parity_join": op7_parity_join,
     "op8_secret_ledger": op8_secret_ledger,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
