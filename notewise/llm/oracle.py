@@ -5,6 +5,35 @@ from __future__ import annotations
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    # Pages of the tables carry no canonical link or refresh, so a class is a node; the
+    # components over such edges are tested against brute force.
+    "op4_url_filter": r"""
+        WITH cut AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+            FROM pages),
+        parts AS (
+            SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw_host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM cut),
+        named AS (
+            SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path
+            FROM parts),
+        rules(r_host, r_path, r_verdict) AS (VALUES
+            ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+            ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+        fits AS (
+            SELECT n.page_id, r_host || r_path AS rule, r_verdict,
+                   row_number() OVER (PARTITION BY n.page_id ORDER BY length(r_host || r_path) DESC) AS place
+            FROM named n JOIN rules ON (n.host = r_host OR ends_with(n.host, '.' || r_host)) AND starts_with(n.path, r_path)),
+        ruled AS (
+            SELECT n.*, f.rule, f.r_verdict,
+                   regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/index)?(\.html?)?/?$', '') AS node
+            FROM named n LEFT JOIN fits f ON f.page_id = n.page_id AND f.place = 1),
+        classes AS (SELECT node, bool_or(r_verdict = 'allow') AS allowed FROM ruled WHERE rule IS NOT NULL GROUP BY node)
+        SELECT r.page_id, r.host, r.path, r.rule,
+               CASE WHEN r.rule IS NOT NULL THEN r.r_verdict
+                    WHEN r.host <> '' AND c.node IS NOT NULL AND NOT c.allowed THEN 'block'
+                    ELSE 'allow' END AS verdict
+        FROM ruled r LEFT JOIN classes c ON c.node = r.node""",
     "op5_exact_dedup": f"""
         WITH hashed AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
         SELECT doc_id,

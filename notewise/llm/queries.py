@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
-from . import bpe, exact_dedup, mixing, parity_join, secret_ledger, toxicity
+from . import bpe, exact_dedup, mixing, parity_join, secret_ledger, toxicity, url_filter
 from .common import read_table
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return exact_dedup.with_text_hash(docs, exact_dedup.duplicate_groups(docs))
@@ -48,6 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mix": op6_source_mix,
     "op7_parity_join": op7_parity_join,
