@@ -6,12 +6,17 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import bpe, exact_dedup, mixing, parity_join, secret_ledger, toxicity, url_filter
+from . import ann_tree, bpe, exact_dedup, mixing, parity_join, secret_ledger, toxicity, url_filter
 from .common import read_table
 
 
+def op1_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"))
 
@@ -52,6 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann_tree": op1_ann_tree,
     "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mix": op6_source_mix,
