@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import ann_tree, bpe, exact_dedup, mixing, parity_join, secret_ledger, sketch_dedup, toxicity, url_filter
+from . import ann_tree, bpe, exact_dedup, mixing, parity_join, secret_ledger, sketch_dedup, suffix_dedup, toxicity, url_filter
 from .common import read_table
 
 
@@ -17,6 +17,10 @@ def op1_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_tree.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read_table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
 def op3_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_dedup.dedup(read_table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
@@ -62,6 +66,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_tree": op1_ann_tree,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sketch_dedup": op3_sketch_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
