@@ -11,13 +11,13 @@ def _c(x) -> Column:
 
 
 def money_text(x) -> Column:
-    """``$1,234.56``."""
-    return F.concat(F.lit("$"), F.format_number(_c(x), 2))
+    """``$1,234.56``; a half cent goes away from zero."""
+    return F.concat(F.lit("$"), F.format_number(F.round(_c(x), 2), 2))
 
 
 def percent_text(x, decimals: int = 1) -> Column:
-    """``12.3%``."""
-    return F.concat(F.format_string(f"%.{decimals}f", _c(x)), F.lit("%"))
+    """``12.3%``; a half goes away from zero."""
+    return F.concat(F.format_string(f"%.{decimals}f", F.round(_c(x), decimals)), F.lit("%"))
 
 
 def short_amount_text(x) -> Column:

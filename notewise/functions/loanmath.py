@@ -83,11 +83,20 @@ def annualized_growth(earnings, principal, cycles_total, cycles_remaining=None)
 def to_units(x, scale: int = 2) -> Column:
     """Money as an exact integer count of 10^-scale units (cents by default).
 
-    Rounds half up via ``floor(x * 10^scale + 0.5)`` on DOUBLE (DECIMAL input is cast):
-    exact for amounts below 2^53 units, and a plain floating-point op, unlike ``round``
-    on doubles, which goes through ``BigDecimal`` for every value.
+    Rounds half away from zero, like ``round``, by truncating ``x * 10^scale`` moved half a
+    unit outwards: exact for amounts below 2^53 units, and plain floating-point work, unlike
+    ``round`` on doubles, which goes through ``BigDecimal`` for every value.
     """
-    return F.floor(_c(x).cast("double") * F.lit(float(10 ** scale)) + F.lit(0.5))
+    v = _c(x).cast("double") * F.lit(float(10 ** scale))
+    return (v + F.signum(v) * F.lit(0.5)).cast("bigint")
+
+
+def round_units(u, digits: int) -> Column:
+    """Integer units with ``digits`` fewer decimals, rounded half away from zero."""
+    step = 10 ** digits
+    u = _c(u)
+    moved = u + F.when(u < 0, F.lit(-(step // 2))).otherwise(F.lit(step // 2))
+    return ((moved - moved % step) / step).cast("bigint")
 
 
 def from_units(u, scale: int = 2) -> Column:

@@ -13,12 +13,13 @@ from notewise.functions.fmt import money_text, short_amount_text
 from notewise.operators.metrics import money_sum
 from notewise.operators.selection import by_grade
 from notewise.sources.dims import grade_dim
-from notewise.sources.schema import FUNDS_COMPONENTS, PROGRESS_SERIES
+from notewise.sources.schema import FUNDS_COMPONENTS, GRADE_BAD_DEBT_RATES, PROGRESS_SERIES
 
 
 def funds_allocation(analyzed: DataFrame, total_funds: float) -> DataFrame:
     """Funds split over open notes: available, bad-debt reserve received, principal
-    outstanding. 3 rows (sortOrder, component, amount, label), label '' when <= 0."""
+    outstanding. 3 rows (sortOrder, component, amount, label); the label is the amount and
+    the component's name on a second line, '' when the amount is <= 0."""
     is_open = ~F.col("completed")
     totals = analyzed.agg(
         F.round(money_sum(F.when(is_open, F.col("principalOutstanding"))), 2).alias("po"),
@@ -32,23 +33,34 @@ def funds_allocation(analyzed: DataFrame, total_funds: float) -> DataFrame:
         for i, name in enumerate(FUNDS_COMPONENTS)
     ]
     long = totals.select(F.inline(F.array(*rows)))
-    label = F.when(F.col("amount") <= 0, F.lit("")).otherwise(money_text("amount"))
+    label = F.when(F.col("amount") <= 0, F.lit("")).otherwise(
+        F.concat(money_text("amount"), F.lit("\n"), F.col("component")))
     return long.withColumn("label", label)
 
 
-def grade_distribution(notes: DataFrame, grades: DataFrame | None = None) -> DataFrame:
+OTHER_GRADES = "other"
+
+
+def grade_distribution(notes: DataFrame, grades: DataFrame | None = None, remainder: bool = False) -> DataFrame:
     """Principal per grade over all 10 grades in display order, 0 where a grade has no
-    note. A zero row per grade is unioned in, so no outer join is needed and only the
-    fixed grade table is broadcast; the aggregate combines map-side."""
-    grades = grades if grades is not None else grade_dim(notes.sparkSession)
+    note. A zero row per grade is unioned in, so no outer join of two large sides is needed;
+    the aggregate combines map-side. Notes of other grades (or none) are left out, unless
+    ``remainder`` asks for one more row, ``other``, after the grades. The built-in grade
+    table is broadcast; for a caller's own the optimizer chooses."""
+    own = grades is None
+    grades = (grade_dim(notes.sparkSession) if own else grades).select("gradeOrder", "grade")
     contributions = notes.select("grade", F.col("principal").cast("double").alias("amount"))
     zeros = grades.select("grade", F.lit(0.0).alias("amount"))
-    return (
-        contributions.unionByName(zeros)
-        .join(F.broadcast(grades.select("gradeOrder", "grade")), "grade")
-        .groupBy("gradeOrder", "grade")
-        .agg(F.sum("amount").alias("principal"))
-    )
+    if remainder:
+        zeros = zeros.unionByName(zeros.limit(1).select(F.lit(OTHER_GRADES).alias("grade"), "amount"))
+    every = contributions.unionByName(zeros)
+    joined = every.join(F.broadcast(grades) if own else grades, "grade", "left" if remainder else "inner")
+    if remainder:
+        last = F.lit(len(GRADE_BAD_DEBT_RATES)) if own else F.lit(2 ** 31 - 1)
+        joined = joined.withColumns({
+            "grade": F.when(F.col("gradeOrder").isNull(), F.lit(OTHER_GRADES)).otherwise(F.col("grade")),
+            "gradeOrder": F.coalesce(F.col("gradeOrder"), last)})
+    return joined.groupBy("gradeOrder", "grade").agg(F.sum("amount").alias("principal"))
 
 
 def _series_rows() -> Column:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notewise.functions.fmt import money_text, percent_text
 from notewise.functions.loanmath import annualized_growth, from_units, to_units
 
 
@@ -24,9 +25,10 @@ def _grouped(df: DataFrame, by: Sequence[str] | None, *aggs: Column) -> DataFram
 
 
 def weighted_avg_expr(value, weight) -> Column:
-    """sum(value * weight) / sum(weight) as one aggregate (null when the weights sum to 0)."""
+    """sum(value * weight) / sum(weight) over the rows that have both, as one aggregate
+    (null when those weights sum to 0)."""
     v, w = _c(value), _c(weight)
-    return F.try_divide(F.sum(v * w), F.sum(w))
+    return F.try_divide(F.sum(v * w), F.sum(F.when(v.isNotNull(), w)))
 
 
 def weighted_avg(df: DataFrame, value, weight, by: Sequence[str] | None = None,
@@ -58,10 +60,19 @@ def _roi(growth: Column) -> Column:
     return F.round((weighted_avg_expr(growth, "principal") - F.lit(1.0)) * 100, 4)
 
 
+def is_excluded() -> Column:
+    """A note without earnings or growth (say, of an unknown grade): no part of those KPIs."""
+    return (earnings().isNull() | current_growth().isNull() | projected_growth().isNull()
+            | F.col("principal").isNull())
+
+
 def kpi_columns(total_funds: float | None = None) -> dict[str, Column]:
-    """Aggregate expressions of all KPIs, by output name."""
+    """Aggregate expressions of all KPIs, by output name, with the number and principal of
+    the notes that earnings and returns leave out for lack of a value."""
     cols = {
         "notes": F.count(F.lit(1)),
+        "notesExcluded": F.count(F.when(is_excluded(), F.lit(1))),
+        "principalExcluded": money_sum(F.when(is_excluded(), F.col("principal"))),
         "totalEarnings": from_units(F.coalesce(
             F.sum(to_units("badDebtFundsReceived") + to_units("profitsReceived")),
             F.lit(0).cast("bigint"))),
@@ -111,6 +122,17 @@ def portfolio_kpis(df: DataFrame, total_funds: float | None = None, by=None) ->
     return _grouped(df, by, *[c.alias(n) for n, c in kpi_columns(total_funds).items()])
 
 
+def kpi_text(kpis: DataFrame) -> DataFrame:
+    """The KPI strip as display text: money as ``$1,234.56``, percentages as ``12.3%``.
+
+    Halves are rounded away from zero, as everywhere here; other columns stay as they are.
+    """
+    money = ("totalEarnings", "principalExcluded", "fundsRemaining", "fundsUninvested")
+    percent = ("currentRoi", "netRoi", "diversification")
+    return kpis.withColumns({c: money_text(c) for c in money if c in kpis.columns}
+                            | {c: percent_text(c) for c in percent if c in kpis.columns})
+
+
 def note_annualized_return(df: DataFrame, decimals: int = 8) -> DataFrame:
     """Per note: annualised growth so far and projected (the inputs of the ROI KPIs)."""
     return df.select("loanID", "principal", "cyclesTotal", "cyclesRemaining",

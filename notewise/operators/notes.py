@@ -8,15 +8,15 @@ partial-aggregate row per input partition, not one huge task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewise.functions.exprcache import cached
 from notewise.functions.loanmath import (
-    annuity_principal, bad_debt_reserve, from_units, to_units,
+    annuity_principal, bad_debt_reserve, from_units, round_units, to_units,
 )
 from notewise.sources.dims import grade_dim
-from notewise.sources.schema import NOTE_KEYS
+from notewise.sources.schema import MONEY_SCALE, NOTE_KEYS
 
 NOTE_COLUMNS = NOTE_KEYS + [
     "cyclesTotal", "principal", "fees", "profits", "unitPayment", "startDate",
@@ -49,30 +49,42 @@ def paid_instalments(ledger: DataFrame) -> DataFrame:
 def _note_aggregates(paid_as_of=None) -> list[Column]:
     """Aggregates of one note; ``paid_as_of`` maps output name -> extra paid predicate.
 
-    Money is summed as exact integer cents (BIGINT buffers): DECIMAL sums would keep
-    DECIMAL(28,2) buffers, which Spark stores as serialized BigIntegers per update.
+    Money is summed as exact integers of the ledger's smallest unit (BIGINT buffers): DECIMAL
+    sums would keep wide buffers, which Spark stores as serialized BigIntegers per update.
+    Cents are rounded once, after the sum.
     """
     aggs = [
         F.count(F.lit(1)).alias("cyclesTotal"),
-        F.sum(to_units("fees")).alias("fees_units"),
-        F.sum(to_units("interestScheduled")).alias("interest_units"),
-        F.sum(to_units("totalScheduled")).alias("total_units"),
+        F.sum(_exact("fees")).alias("fees_units"),
+        F.sum(_exact("interestScheduled")).alias("interest_units"),
+        F.sum(_exact("totalScheduled")).alias("total_units"),
+        F.count("totalScheduled").alias("total_rows"),
         F.min("dueDate").alias("firstDueDate"),
     ]
     for name, cond in (paid_as_of or {}).items():
-        aggs.append(F.sum(F.when(cond, to_units("totalPaid"))).alias(f"{name}_repaid"))
+        aggs.append(F.sum(F.when(cond, _exact("totalPaid"))).alias(f"{name}_repaid"))
         aggs.append(F.count(F.when(cond, F.lit(1))).alias(f"{name}_payments"))
     return aggs
 
 
+def _exact(column: str) -> Column:
+    return to_units(column, MONEY_SCALE)
+
+
+def _cents(units) -> Column:
+    """A sum of the ledger's smallest units as money, rounded to cents."""
+    return from_units(round_units(units, MONEY_SCALE - 2))
+
+
 def _amounts(agg: DataFrame) -> DataFrame:
-    """Fees, gross profits (interest - fees) and the mean instalment, from cent sums."""
+    """Fees, gross profits (interest - fees) and the mean of the instalments that have an
+    amount, from exact sums."""
     def build():
-        mean_units = F.floor(F.try_divide(F.col("total_units"), F.col("cyclesTotal")) + F.lit(0.5))
+        mean_cents = F.try_divide(F.col("total_units"), F.col("total_rows") * 10 ** (MONEY_SCALE - 2))
         return {
-            "fees": from_units("fees_units"),
-            "grossProfits": from_units(F.col("interest_units") - F.col("fees_units")),
-            "unitPayment": from_units(mean_units),
+            "fees": _cents("fees_units"),
+            "grossProfits": _cents(F.col("interest_units") - F.col("fees_units")),
+            "unitPayment": from_units(to_units(mean_cents, 0)),
         }
     return agg.withColumns(cached("note_amounts", build))
 
@@ -80,10 +92,11 @@ def _amounts(agg: DataFrame) -> DataFrame:
 def _finish(agg: DataFrame, grades: DataFrame) -> DataFrame:
     """Principal, bad-debt reserve, net profits and start date from the note aggregate.
 
-    The grade lookup is a LEFT join against the fixed 10-row grade table, broadcast:
-    an unknown grade gives a null reserve (reported by ``quality``), not a failure.
+    The grade lookup is a LEFT join: an unknown grade gives a null reserve (reported by
+    ``quality``), not a failure. ``grades`` has one row per grade; the built-in table is
+    broadcast by ``_grades``, for a caller's own the optimizer chooses.
     """
-    g = F.broadcast(grades.select("grade", "badDebtRate"))
+    g = grades.select("grade", "badDebtRate")
     principal, reserve, profits, start = cached("note_finish", lambda: (
         annuity_principal("unitPayment", "interestRate", "cyclesTotal"),
         bad_debt_reserve("principal", "badDebtRate", "cyclesTotal"),
@@ -108,7 +121,7 @@ def note_summary(ledger: DataFrame, grades: DataFrame | None = None,
     date; ``principal`` the annuity value of the instalments; ``profits`` is interest
     minus fees minus the bad-debt reserve.
     """
-    grades = grades if grades is not None else grade_dim(ledger.sparkSession)
+    grades = _grades(ledger, grades)
     ledger = only_payment_types(ledger, payment_types)
     agg = ledger.groupBy(*NOTE_KEYS).agg(*_note_aggregates())
     notes = _finish(agg, grades)
@@ -124,7 +137,7 @@ def loan_transactions(ledger: DataFrame, payment_types=None) -> DataFrame:
     return (
         paid_instalments(only_payment_types(ledger, payment_types))
         .groupBy("loanID")
-        .agg(from_units(F.sum(to_units("totalPaid"))).alias("totalPaid"),
+        .agg(_cents(F.sum(_exact("totalPaid"))).alias("totalPaid"),
              F.count(F.lit(1)).alias("numPayments"))
     )
 
@@ -136,8 +149,11 @@ def apply_transactions(notes: DataFrame, transactions: DataFrame) -> DataFrame:
     ``rebuild_notes``. Notes without payments keep their state (only the two joined
     columns are defaulted to 0).
     """
-    t = transactions.select("loanID", "totalPaid", "numPayments")
-    joined = notes.join(t, "loanID", "left")
+    t = transactions.select(F.col("loanID").alias("t_loan"), "totalPaid", "numPayments")
+    # A null loanID matches nothing; it joins on a hash of its note key instead, so that
+    # the notes without an id are spread over the partitions.
+    spread = F.coalesce(F.col("loanID"), F.xxhash64(*NOTE_KEYS[1:]))
+    joined = notes.join(t, (spread == F.col("t_loan")) & F.col("loanID").isNotNull(), "left")
     return joined.select(
         *[c for c in notes.columns if c not in ("amountRepayed", "cyclesRemaining")],
         (F.col("cyclesRemaining") - F.coalesce(F.col("numPayments"), F.lit(0))).alias("cyclesRemaining"),
@@ -146,8 +162,20 @@ def apply_transactions(notes: DataFrame, transactions: DataFrame) -> DataFrame:
 
 
 def notes_with_transactions(ledger: DataFrame, grades: DataFrame | None = None) -> DataFrame:
-    """Note summary with the ledger's paid instalments applied through a join on loanID."""
-    return apply_transactions(note_summary(ledger, grades), loan_transactions(ledger))
+    """Note summary with the payments of each loanID applied to its notes.
+
+    What ``apply_transactions(note_summary(ledger), loan_transactions(ledger))`` gives, from
+    one aggregate: payments are summed per note first and then over the notes of a loanID, so
+    the ledger is read and shuffled once. Notes without a loanID get no payments.
+    """
+    agg = note_aggregate(ledger)
+    has_loan = F.col("loanID").isNotNull()
+    loan = Window.partitionBy("loanID", F.when(~has_loan, F.xxhash64(*NOTE_KEYS[1:])))
+    per_loan = agg.withColumns({
+        "all_payments": F.when(has_loan, F.sum("all_payments").over(loan)).otherwise(0),
+        "all_repaid": F.when(has_loan, F.sum("all_repaid").over(loan)),
+    })
+    return finish_notes(per_loan, _grades(ledger, grades))
 
 
 def rebuild_notes(
@@ -162,7 +190,7 @@ def rebuild_notes(
     ``quality.dq_duplicate_loans``). ``as_of`` optionally adds ``<name>_repaid`` /
     ``<name>_payments`` columns for extra paid-by predicates (used by timeframes).
     """
-    grades = grades if grades is not None else grade_dim(ledger.sparkSession)
+    grades = _grades(ledger, grades)
     ledger = only_payment_types(ledger, payment_types)
     return finish_notes(note_aggregate(ledger, as_of), grades, as_of)
 
@@ -170,7 +198,7 @@ def rebuild_notes(
 def note_aggregate(ledger: DataFrame, as_of: dict[str, Column] | None = None) -> DataFrame:
     """The decomposable part of ``rebuild_notes``: one aggregate per note key.
 
-    Works on batch and streaming ledgers alike (count / sum / avg / min only).
+    Works on batch and streaming ledgers alike (count / sum / min only).
     """
     paid = {"all": is_paid()}
     for name, cond in (as_of or {}).items():
@@ -179,7 +207,12 @@ def note_aggregate(ledger: DataFrame, as_of: dict[str, Column] | None = None) ->
 
 
 def _repaid(units: str) -> Column:
-    return from_units(F.coalesce(F.col(units), F.lit(0).cast("bigint")))
+    return _cents(F.coalesce(F.col(units), F.lit(0).cast("bigint")))
+
+
+def _grades(df: DataFrame, grades: DataFrame | None) -> DataFrame:
+    """The built-in grade table (ten rows, broadcast) unless the caller gives one."""
+    return F.broadcast(grade_dim(df.sparkSession)) if grades is None else grades
 
 
 def finish_notes(agg: DataFrame, grades: DataFrame, as_of: dict | None = None) -> DataFrame:

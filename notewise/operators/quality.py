@@ -52,6 +52,24 @@ def dq_corrupt_rows(raw: DataFrame) -> DataFrame:
     return raw.filter(F.col(CORRUPT).isNotNull())
 
 
+def ledger_rules() -> dict[str, Column]:
+    """Rule name -> predicate on a ledger row: values whose absence changes a note unseen."""
+    null = {f"null_{c}": F.col(c).isNull() for c in (
+        "loanID", "grade", "interestRate", "totalScheduled", "interestScheduled", "fees", "dueDate")}
+    return null | {"null_paid_amount": F.col("datePaid").isNotNull() & F.col("totalPaid").isNull()}
+
+
+def dq_ledger_report(ledger: DataFrame) -> DataFrame:
+    """One row per rule of the ledger's rows with its count, in one global aggregate; a ledger
+    read with ``on_bad="keep"`` also has its corrupt rows counted. Never empty."""
+    rules = ledger_rules()
+    if CORRUPT in ledger.columns:
+        rules["corrupt_row"] = F.col(CORRUPT).isNotNull()
+    totals = ledger.agg(*[F.count(F.when(p, F.lit(1))).alias(n) for n, p in rules.items()])
+    return totals.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules])))
+
+
 def dq_report(notes: DataFrame) -> DataFrame:
     """One row per rule with its count (notes; loans for ``duplicate_loan``). Never empty.
 

@@ -1,6 +1,7 @@
 """Filters, orderings and limits over notes.
 
-Orderings always end with ``loanID`` so that a limit after them is deterministic. A
+Orderings always end with the whole note key, which is unique even where one loanID has
+several notes, so that a limit after them is deterministic. A
 limit after an ordering plans as ``TakeOrderedAndProject`` (per-partition top-k, then a
 merge of k rows per partition), never a full sort.
 """
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notewise.sources.schema import NOTE_KEYS
+
 # Sort presets: (column, ascending).
 SORT_PRESETS = {
     "app": [("principal", True), ("interestRate", True)],
@@ -35,7 +38,7 @@ def by_grade(df: DataFrame, grade: str | None = None) -> DataFrame:
 
 def sort_keys(preset: str = "app") -> list[Column]:
     keys = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in SORT_PRESETS[preset]]
-    return keys + [F.col("loanID").asc()]
+    return keys + [F.col(c).asc() for c in NOTE_KEYS]
 
 
 def order_notes(df: DataFrame, preset: str = "app") -> DataFrame:
@@ -52,4 +55,5 @@ def preview(df: DataFrame, n: int = 5, order_by: str = "loanID") -> DataFrame:
     """First ``n`` rows in an explicit order, without a storage ``_id`` column."""
     if "_id" in df.columns:
         df = df.drop("_id")
-    return df.orderBy(F.col(order_by).asc()).limit(n)
+    ties = [F.col(c).asc() for c in NOTE_KEYS if c in df.columns and c != order_by]
+    return df.orderBy(F.col(order_by).asc(), *ties).limit(n)

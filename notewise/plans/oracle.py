@@ -1,8 +1,9 @@
 """DuckDB SQL equivalents of the registered queries (the correctness oracle).
 
-Written independently of the Spark code, as plain SQL over the pre-registered test
-tables, and mirroring the same definitions: integer cents in the ledger, exact cent
-arithmetic in the waterfall, the same rounding points.
+Plain SQL over the pre-registered test tables. Grades, rates, titles, categories and series
+are written out here as literals, and the formulas are stated anew, so that a wrong value or
+formula in the operators cannot repeat itself in the check. Only the parameters of the
+registered queries and of the derived ledger are shared.
 """
 
 from __future__ import annotations
@@ -11,11 +12,43 @@ from notewise.plans import portfolio as P
 from notewise.sources.derived import (
     BASE_RATE_BP, FAULTS, FAULTY_FEE_BP, FEE_BP, INTEREST_DIVISOR, RATE_CYCLE, RATE_STEP_BP,
 )
-from notewise.sources.schema import (
-    FUNDS_COMPONENTS, GRADE_BAD_DEBT_RATES, PROGRESS_SERIES, WATERFALL_CATEGORIES,
-    ledger_columns, next_column, outstanding_column, received_column, waterfall_columns,
-)
 
+# --- Fixed values that must equal the reference's -------------------------------------
+GRADES = [("A+", 0.56), ("A", 1.83), ("B+", 3.05), ("B", 4.32), ("C+", 5.46), ("C", 6.25),
+          ("D+", 7.11), ("D", 8.00), ("E+", 8.84), ("E", 9.64)]
+# Category -> received, next and outstanding column, in payment order.
+CATEGORIES = {
+    "fees": ("feesPaid", "nextFeesPayment", "feesOutstanding"),
+    "principal": ("principalReceived", "nextPrincipalPayment", "principalOutstanding"),
+    "badDebtFunds": ("badDebtFundsReceived", "nextBadDebtFundsPayment", "badDebtFundsOutstanding"),
+    "profits": ("profitsReceived", "nextProfitsPayment", "profitsOutstanding"),
+}
+SERIES = [
+    ("feesPaid", "Fees Paid", "Fees"), ("nextFeesPayment", "Next Fee Payment", "Fees"),
+    ("feesOutstanding", "Fees Outstanding", "Fees"),
+    ("principalReceived", "Principal Received", "Principal"),
+    ("nextPrincipalPayment", "Next Principal Payment", "Principal"),
+    ("principalOutstanding", "Principal Outstanding", "Principal"),
+    ("badDebtFundsReceived", "Bad Debt Funds Received", "Bad Debt Funds"),
+    ("nextBadDebtFundsPayment", "Next Bad Debt Funds Payment", "Bad Debt Funds"),
+    ("badDebtFundsOutstanding", "Bad Debt Funds Outstanding", "Bad Debt Funds"),
+    ("profitsReceived", "Profits Received", "Profits"),
+    ("nextProfitsPayment", "Next Profit Payment", "Profits"),
+    ("profitsOutstanding", "Profits Outstanding", "Profits"),
+]
+FUNDS = ["Funds Available", "Bad Debt Funds", "Principal Outstanding"]
+TITLES = {
+    "Payment Type": "paymentType", "Loan Id": "loanID", "Company": "company", "Loan Name": "loanName",
+    "Interest Rate": "interestRate", "Risk Band": "grade", "Interest Scheduled": "interestScheduled",
+    "Principal Scheduled": "principalScheduled", "Total Scheduled": "totalScheduled", "Interest Owed": "interestOwed",
+    "Principal Owed": "principalOwed", "Total Owed": "totalOwed", "Interest Paid": "interestPaid",
+    "Principal Paid": "principalPaid", "Total Paid": "totalPaid", "Fees Paid to Loop": "fees", "Due Date": "dueDate",
+    "Date Paid": "datePaid", "Status": "status",
+}
+# --------------------------------------------------------------------------------------
+
+LEDGER_COLS = ", ".join(TITLES.values())
+WATERFALL_COLS = ", ".join(c for columns in CATEGORIES.values() for c in columns)
 NOTE_COLS = ("loanID, company, loanName, interestRate, grade, cyclesTotal, principal, fees, "
              "profits, unitPayment, startDate, cyclesRemaining, badDebtFunds, amountRepayed")
 KEYS = "loanID, company, loanName, interestRate, grade"
@@ -47,13 +80,28 @@ def clamp(x: str, lo: str, hi: str) -> str:
 
 
 def grades_cte() -> str:
-    rows = ", ".join(f"({i}, {_q(g)}, {r!r})" for i, (g, r) in enumerate(GRADE_BAD_DEBT_RATES))
+    rows = ", ".join(f"({i}, {_q(g)}, {r!r})" for i, (g, r) in enumerate(GRADES))
     return ("grades AS (SELECT CAST(o AS INTEGER) AS gradeOrder, g AS grade, "
             f"CAST(r AS DOUBLE) AS badDebtRate FROM (VALUES {rows}) t(o, g, r))")
 
 
-def ledger_ctes(faulty: bool = False) -> str:
-    """CTEs lpo, base, staged, cents, ledger (the 19-column derived ledger)."""
+EDGE = """
+    CASE WHEN loanID % 71 = 0 AND status = 'Scheduled' THEN NULL ELSE totalScheduled END AS totalScheduled,
+    CAST(CASE WHEN loanID % 67 = 0 THEN 0.004 WHEN loanID % 61 = 0 THEN -fees - 0.005 ELSE fees END
+         AS DECIMAL(18,4)) AS fees"""
+NULLED = """
+    CASE WHEN loanID % 59 <> 0 THEN fees END AS fees,
+    CASE WHEN loanID % 53 <> 0 THEN interestScheduled END AS interestScheduled,
+    CASE WHEN loanID % 47 <> 0 THEN totalScheduled END AS totalScheduled,
+    CASE WHEN loanID % 43 <> 0 THEN dueDate END AS dueDate,
+    CASE WHEN loanID % 41 <> 0 THEN grade END AS grade,
+    CASE WHEN loanID % 37 <> 0 THEN loanID END AS loanID,
+    CASE WHEN loanID % 31 = 0 AND datePaid IS NOT NULL THEN NULL ELSE totalPaid END AS totalPaid"""
+
+
+def ledger_ctes(faulty: bool = False, replace: str = "") -> str:
+    """CTEs lpo, base, staged, cents, derived and ledger (the 19-column derived ledger, with
+    the columns of ``replace`` changed)."""
     k = "k"
     grade, company = "grade", "c_name"
     rate_bp = (f"CAST(round(badDebtRate * 100) AS BIGINT) + {BASE_RATE_BP} "
@@ -68,7 +116,7 @@ def ledger_ctes(faulty: bool = False) -> str:
         rate_bp = f"CASE WHEN {hit('zero_rate')} THEN CAST(0 AS BIGINT) ELSE {rate_bp} END"
         company = (f"CASE WHEN {hit('duplicate_loan')} AND l_linestatus = 'O' "
                    f"THEN c_name || ' (2)' ELSE c_name END")
-    money = lambda x: f"CAST(CAST(({x}) AS DOUBLE) / 100.0 AS DECIMAL(18,2))"
+    money = lambda x: f"CAST(CAST(({x}) AS DOUBLE) / 100.0 AS DECIMAL(18,4))"
     div = f"CAST({INTEREST_DIVISOR} AS DOUBLE)"
     return f"""
 lpo AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey),
@@ -99,7 +147,7 @@ cents2 AS (
          CASE WHEN paid THEN tot ELSE 0 END AS tp
   FROM cents
 ),
-ledger AS (
+derived AS (
   SELECT 'Scheduled' AS paymentType, loanID, company,
          'Loan ' || CAST(loanID AS VARCHAR) AS loanName, interestRate, grade,
          {money('interest')} AS interestScheduled,
@@ -116,14 +164,15 @@ ledger AS (
          CASE WHEN paid THEN dueDate END AS datePaid,
          CASE WHEN paid THEN 'Paid' ELSE 'Scheduled' END AS status
   FROM cents2
-)"""
+),
+ledger AS (SELECT *{f" REPLACE ({replace})" if replace else ""} FROM derived)"""
 
 
 def notes_ctes(as_of: dict[str, str] | None = None) -> str:
     """CTEs nagg, nfin, nfin2, notes0 (note summary), notes (payments applied)."""
     extra = ""
     for name, cond in (as_of or {}).items():
-        extra += (f",\n    CAST(coalesce(sum(totalPaid) FILTER (WHERE datePaid IS NOT NULL AND {cond}), 0)"
+        extra += (f",\n    CAST(round(coalesce(sum(totalPaid) FILTER (WHERE datePaid IS NOT NULL AND {cond}), 0), 2)"
                   f" AS DOUBLE) AS {name}_repaid")
     i = "(interestRate / 1200.0)"
     r = "(badDebtRate / 1200.0)"
@@ -131,11 +180,11 @@ def notes_ctes(as_of: dict[str, str] | None = None) -> str:
 nagg AS (
   SELECT {KEYS},
     count(*) AS cyclesTotal,
-    CAST(sum(fees) AS DOUBLE) AS fees,
-    CAST(sum(interestScheduled) - sum(fees) AS DOUBLE) AS grossProfits,
-    round(CAST(sum(totalScheduled) * 100 AS DOUBLE) / count(*), 0) / 100.0 AS unitPayment,
+    CAST(round(sum(fees), 2) AS DOUBLE) AS fees,
+    CAST(round(sum(interestScheduled) - sum(fees), 2) AS DOUBLE) AS grossProfits,
+    round(CAST(sum(totalScheduled) * 100 AS DOUBLE) / nullif(count(totalScheduled), 0), 0) / 100.0 AS unitPayment,
     min(dueDate) AS firstDueDate,
-    CAST(coalesce(sum(totalPaid) FILTER (WHERE datePaid IS NOT NULL), 0) AS DOUBLE) AS paidAmount,
+    CAST(round(coalesce(sum(totalPaid) FILTER (WHERE datePaid IS NOT NULL), 0), 2) AS DOUBLE) AS paidAmount,
     count(*) FILTER (WHERE datePaid IS NOT NULL) AS paidCount{extra}
   FROM ledger GROUP BY {KEYS}
 ),
@@ -169,7 +218,7 @@ notes AS (
 
 def waterfall_ctes(src: str, name: str, paid: str = "amountRepayed", suffix: str = "",
                    cap: bool = False) -> str:
-    cats = WATERFALL_CATEGORIES
+    cats = list(CATEGORIES)
     stage = [f"{units(paid)} AS _a{suffix}", f"{units('unitPayment')} AS _u{suffix}"]
     for n, c in enumerate(cats):
         stage.append(f"{units(c)} AS _c{n}{suffix}")
@@ -188,9 +237,9 @@ def waterfall_ctes(src: str, name: str, paid: str = "amountRepayed", suffix: str
             nxt = (f"(CASE WHEN {rel} < 0 THEN {clamp(f'({u} + {rel})', '0', u)} "
                    f"ELSE {min2(clamp(f'({cc} - {rel})', '0', cc), u)} END)")
         out = clamp(f"({cc} - ({rel} + {u}))", "0", cc)
-        outs += [f"{from_units(rec)} AS {received_column(c)}{suffix}",
-                 f"{from_units(nxt)} AS {next_column(c)}{suffix}",
-                 f"{from_units(out)} AS {outstanding_column(c)}{suffix}"]
+        outs += [f"{from_units(rec)} AS {CATEGORIES[c][0]}{suffix}",
+                 f"{from_units(nxt)} AS {CATEGORIES[c][1]}{suffix}",
+                 f"{from_units(out)} AS {CATEGORIES[c][2]}{suffix}"]
     drop = [f"_a{suffix}", f"_u{suffix}"] + [f"_c{n}{suffix}" for n in range(len(cats))] + \
            [f"_p{n}{suffix}" for n in range(len(cats))]
     return f"""
@@ -215,21 +264,21 @@ def with_(*parts: str) -> str:
     return "WITH " + ",".join(p.strip() for p in parts)
 
 
-def base(faulty: bool = False, as_of=None) -> str:
-    return with_(grades_cte(), ledger_ctes(faulty), notes_ctes(as_of))
+def base(faulty: bool = False, as_of=None, replace: str = "") -> str:
+    return with_(grades_cte(), ledger_ctes(faulty, replace), notes_ctes(as_of))
 
 
-def full() -> str:
-    return with_(grades_cte(), ledger_ctes(), notes_ctes(), analyzed_ctes())
+def full(faulty: bool = False) -> str:
+    return with_(grades_cte(), ledger_ctes(faulty), notes_ctes(), analyzed_ctes())
 
 
-ANALYZED_COLS = NOTE_COLS + ", " + ", ".join(waterfall_columns()) + ", monthsToBreakeven, completed"
+ANALYZED_COLS = NOTE_COLS + ", " + WATERFALL_COLS + ", monthsToBreakeven, completed"
 
 
 def growth(e: str, rem: str | None) -> str:
     elapsed = "cyclesTotal" if rem is None else f"(cyclesTotal - {rem})"
     return (f"(CASE WHEN {elapsed} = 0 THEN 1.0 ELSE "
-            f"power(({e}) / principal + 1.0, 12.0 / {elapsed}) END)")
+            f"power(({e}) / nullif(principal, 0) + 1.0, 12.0 / {elapsed}) END)")
 
 
 CUR = growth("badDebtFundsReceived + profitsReceived", "cyclesRemaining")
@@ -240,14 +289,25 @@ def money_sum(x: str) -> str:
     return from_units(f"coalesce(sum({units(x)}), 0)")
 
 
+def roi(growth_sql: str) -> str:
+    """Mean growth of the notes that have one, each counted by its share of their principal."""
+    have = f"FILTER (WHERE {growth_sql} IS NOT NULL AND principal IS NOT NULL)"
+    return f"round((sum({growth_sql} * principal) {have} / nullif(sum(principal) {have}, 0) - 1.0) * 100, 4)"
+
+
+LACKING = f"(badDebtFundsReceived IS NULL OR profitsReceived IS NULL OR principal IS NULL OR {CUR} IS NULL OR {PROJ} IS NULL)"
+
+
 def kpi_exprs(funds: float | None) -> dict[str, str]:
     out = {
         "notes": "count(*)",
+        "notesExcluded": f"count(*) FILTER (WHERE {LACKING})",
+        "principalExcluded": money_sum(f"CASE WHEN {LACKING} THEN principal END"),
         "totalEarnings": from_units(
             f"coalesce(sum({units('badDebtFundsReceived')} + {units('profitsReceived')}), 0)"),
-        "currentRoi": f"round((sum({CUR} * principal) / sum(principal) - 1.0) * 100, 4)",
-        "netRoi": f"round((sum({PROJ} * principal) / sum(principal) - 1.0) * 100, 4)",
-        "diversification": "round(max(principal) / sum(principal) * 100, 4)",
+        "currentRoi": roi(CUR),
+        "netRoi": roi(PROJ),
+        "diversification": "round(max(principal) / nullif(sum(principal), 0) * 100, 4)",
     }
     if funds is not None:
         f = f"CAST({funds!r} AS DOUBLE)"
@@ -260,10 +320,23 @@ def kpi(name: str, funds: float | None = None) -> str:
     return f"{full()} SELECT {kpi_exprs(funds)[name]} AS {name} FROM analyzed"
 
 
+def kpis(faulty: bool = False, by: str = "") -> str:
+    columns = ", ".join(f"{e} AS {n}" for n, e in kpi_exprs(P.TOTAL_FUNDS).items())
+    return (f"{full(faulty)} SELECT {by + ', ' if by else ''}{columns} FROM analyzed" + (f" GROUP BY {by}" if by else ""))
+
+
+def kpi_text() -> str:
+    money = lambda c: f"'$' || printf('%,.2f', {c}) AS {c}"
+    percent = lambda c: f"printf('%.1f', round({c}, 1)) || '%' AS {c}"
+    return (f"SELECT grade, notes, notesExcluded, {money('principalExcluded')}, {money('totalEarnings')}, "
+            f"{percent('currentRoi')}, {percent('netRoi')}, {percent('diversification')}, {money('fundsRemaining')}, "
+            f"{money('fundsUninvested')} FROM ({kpis(by='grade')})")
+
+
 def series_sql(grade: str | None) -> str:
     where = "" if grade is None else f" WHERE grade = {_q(grade)}"
     parts = []
-    for n, (col, nm, grp) in enumerate(PROGRESS_SERIES):
+    for n, (col, nm, grp) in enumerate(SERIES):
         amt = f"round({col}, 2)"
         hover = (f"CASE WHEN {amt} = 0 THEN '' ELSE '$' || "
                  f"regexp_replace(printf('%.2f', {amt}), '(\\.[0-9])0$', '\\1') END")
@@ -277,14 +350,13 @@ def funds_sql(funds: float) -> str:
     f = f"CAST({funds!r} AS DOUBLE)"
     po = f"round({money_sum('CASE WHEN NOT completed THEN principalOutstanding END')}, 2)"
     bdf = money_sum("CASE WHEN NOT completed THEN badDebtFundsReceived END")
-    amounts = {FUNDS_COMPONENTS[0]: f"round({f} - po - bdf, 2)",
-               FUNDS_COMPONENTS[1]: "bdf", FUNDS_COMPONENTS[2]: "po"}
+    amounts = {FUNDS[0]: f"round({f} - po - bdf, 2)", FUNDS[1]: "bdf", FUNDS[2]: "po"}
     rows = " UNION ALL ".join(
         f"SELECT {n} AS sortOrder, {_q(c)} AS component, {amounts[c]} AS amount FROM tot"
-        for n, c in enumerate(FUNDS_COMPONENTS))
+        for n, c in enumerate(FUNDS))
     return (full() + f", tot AS (SELECT {po} AS po, {bdf} AS bdf FROM analyzed),"
             f" long AS ({rows}) SELECT *, CASE WHEN amount <= 0 THEN '' ELSE "
-            f"'$' || printf('%,.2f', amount) END AS label FROM long")
+            f"'$' || printf('%,.2f', amount) || chr(10) || component END AS label FROM long")
 
 
 def timeframe_sql(as_of: str, timeframe: str) -> str:
@@ -312,7 +384,7 @@ def timeframe_sql(as_of: str, timeframe: str) -> str:
 
 
 def dq_sql() -> str:
-    known = ", ".join(_q(g) for g, _ in GRADE_BAD_DEBT_RATES)
+    known = ", ".join(_q(g) for g, _ in GRADES)
     rules = {
         "unknown_grade": f"coalesce(grade NOT IN ({known}), true)",
         "negative_fees": "fees < 0",
@@ -331,15 +403,36 @@ def dq_sql() -> str:
     return base(faulty=True) + " " + " UNION ALL ".join(parts)
 
 
+def dq_ledger_sql(ctes: str, source: str, corrupt: str = "") -> str:
+    rules = {f"null_{c}": f"{c} IS NULL" for c in (
+        "loanID", "grade", "interestRate", "totalScheduled", "interestScheduled", "fees", "dueDate")}
+    rules["null_paid_amount"] = "datePaid IS NOT NULL AND totalPaid IS NULL"
+    if corrupt:
+        rules["corrupt_row"] = corrupt
+    return ctes + " " + " UNION ALL ".join(
+        f"SELECT {_q(n)} AS rule, count(*) FILTER (WHERE {p}) AS violations FROM {source}" for n, p in rules.items())
+
+
+def transactions_sql(ctes: str) -> str:
+    return (f"{ctes}, txn AS (SELECT loanID, CAST(round(sum(totalPaid), 2) AS DOUBLE) AS totalPaid, "
+            "count(*) AS numPayments FROM ledger WHERE datePaid IS NOT NULL GROUP BY loanID) "
+            f"SELECT {', '.join('n.' + k for k in KEYS.split(', '))}, cyclesTotal, principal, fees, profits, unitPayment, "
+            "startDate, cyclesRemaining - coalesce(numPayments, 0) AS cyclesRemaining, badDebtFunds, "
+            "amountRepayed + coalesce(t.totalPaid, 0.0) AS amountRepayed "
+            "FROM notes0 n LEFT JOIN txn t ON n.loanID = t.loanID")
+
+
 def oracle_sql() -> dict[str, str]:
     led = with_(grades_cte(), ledger_ctes())
-    cols = ", ".join(ledger_columns())
+    cols = LEDGER_COLS
     b = base()
     a = full()
     top_order = ("feesPaid ASC NULLS FIRST, principal ASC NULLS FIRST, "
                  "principalOutstanding DESC NULLS LAST, interestRate ASC NULLS FIRST, "
                  "cyclesTotal ASC NULLS FIRST, loanID ASC NULLS FIRST")
-    wf_cols = NOTE_COLS + ", " + ", ".join(waterfall_columns())
+    wf_cols = NOTE_COLS + ", " + WATERFALL_COLS
+    corrupt = (f"{led}, read AS (SELECT * REPLACE (CASE WHEN loanID % 29 <> 0 THEN dueDate END AS dueDate, "
+               "CASE WHEN loanID % 23 <> 0 THEN totalPaid END AS totalPaid) FROM ledger)")
     return {
         "ledger": f"{led} SELECT {cols} FROM ledger",
         "ledger_renamed": f"{led} SELECT {cols} FROM ledger",
@@ -350,16 +443,10 @@ def oracle_sql() -> dict[str, str]:
         "note_summary": f"{b} SELECT {NOTE_COLS} FROM notes0",
         "note_principal": f"{b} SELECT loanID, unitPayment, interestRate, cyclesTotal, principal FROM notes0",
         "note_bad_debt": f"{b} SELECT loanID, grade, principal, cyclesTotal, badDebtFunds, profits FROM notes0",
-        "loan_transactions": (f"{led} SELECT loanID, CAST(sum(totalPaid) AS DOUBLE) AS totalPaid, "
+        "loan_transactions": (f"{led} SELECT loanID, CAST(round(sum(totalPaid), 2) AS DOUBLE) AS totalPaid, "
                               "count(*) AS numPayments FROM ledger WHERE datePaid IS NOT NULL "
                               "GROUP BY loanID"),
-        "notes_with_transactions": (
-            f"{b}, txn AS (SELECT loanID, CAST(sum(totalPaid) AS DOUBLE) AS totalPaid, "
-            "count(*) AS numPayments FROM ledger WHERE datePaid IS NOT NULL GROUP BY loanID) "
-            f"SELECT {KEYS}, cyclesTotal, principal, fees, profits, unitPayment, startDate, "
-            "cyclesRemaining - coalesce(numPayments, 0) AS cyclesRemaining, badDebtFunds, "
-            "amountRepayed + coalesce(t.totalPaid, 0.0) AS amountRepayed "
-            "FROM notes0 LEFT JOIN txn t USING (loanID)"),
+        "notes_with_transactions": transactions_sql(b),
         "rebuild_notes": f"{b} SELECT {NOTE_COLS} FROM notes",
         "waterfall": f"{a} SELECT {wf_cols} FROM wf",
         "note_progress": (f"{a} SELECT loanID, cyclesRemaining, nextPrincipalPayment, "
@@ -380,9 +467,10 @@ def oracle_sql() -> dict[str, str]:
         "kpi_diversification": kpi("diversification"),
         "kpi_funds_remaining": kpi("fundsRemaining", P.TOTAL_FUNDS),
         "kpi_funds_uninvested": kpi("fundsUninvested", P.TOTAL_FUNDS),
-        "portfolio_kpis": (f"{a} SELECT grade, " + ", ".join(
-            f"{e} AS {n}" for n, e in kpi_exprs(P.TOTAL_FUNDS).items())
-            + " FROM analyzed GROUP BY grade"),
+        "portfolio_kpis": kpis(by="grade"),
+        "portfolio_kpis_total": kpis(),
+        "portfolio_kpis_faulty": kpis(faulty=True),
+        "portfolio_kpis_text": kpi_text(),
         "funds_allocation": funds_sql(P.TOTAL_FUNDS),
         "grade_distribution": (f"{b} SELECT g.gradeOrder, g.grade, coalesce(sum(n.principal), 0.0) "
                                "AS principal FROM grades g LEFT JOIN notes0 n ON n.grade = g.grade "
@@ -395,5 +483,15 @@ def oracle_sql() -> dict[str, str]:
         "earnings_timeframe": timeframe_sql(P.TIMEFRAME_AS_OF, P.TIMEFRAME),
         "dq_report": dq_sql(),
         "analyzed_notes_stream": f"{a} SELECT {ANALYZED_COLS} FROM analyzed",
-        "ledger_csv": f"{led} SELECT {cols} FROM ledger",
+        "ledger_csv": f"""{led} SELECT * REPLACE ('The "Best", ' || company AS company) FROM ledger""",
+        "ledger_titled": f"{led} SELECT " + ", ".join(f'{c} AS "{t}"' for t, c in TITLES.items()) + " FROM ledger",
+        "dq_corrupt": dq_ledger_sql(corrupt, "read", "loanID % 29 = 0 OR loanID % 23 = 0"),
+        "dq_ledger_report": dq_ledger_sql(with_(grades_cte(), ledger_ctes(replace=NULLED)), "ledger"),
+        "note_summary_edge": f"{base(replace=EDGE)} SELECT {NOTE_COLS} FROM notes0",
+        "rebuild_notes_nulls": f"{base(replace=NULLED)} SELECT {NOTE_COLS} FROM notes",
+        "notes_with_transactions_nulls": transactions_sql(base(replace=NULLED)),
+        "grade_distribution_faulty": (
+            f"{base(faulty=True)} SELECT coalesce(g.gradeOrder, 10) AS gradeOrder, coalesce(g.grade, 'other') AS grade, "
+            "coalesce(sum(n.principal), 0.0) AS principal FROM grades g FULL JOIN notes0 n ON n.grade = g.grade "
+            "GROUP BY ALL"),
     }

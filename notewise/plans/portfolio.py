@@ -8,6 +8,7 @@ DataFrame.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,11 @@ from notewise.operators.notes import (
 )
 from notewise.operators.timeframe import earnings_timeframe
 from notewise.operators.waterfall import analyze_notes, note_progress, waterfall
-from notewise.sources.derived import derive_ledger
+from notewise.session import checkpoint_dir
+from notewise.sources.derived import derive_ledger, edge_ledger, null_ledger
 from notewise.sources.dims import grade_dim
-from notewise.sources.ledger import normalise_titles, to_titles
+from notewise.sources.ledger import normalise_titles, read_ledger, to_titles
+from notewise.streaming.payments import compact_notes, start_note_stream
 
 # Parameters of the registered queries.
 TOTAL_FUNDS = 5_000_000_000.0
@@ -30,7 +33,8 @@ PREVIEW_ROWS = 5
 PROGRESS_GRADE = "C"
 TIMEFRAME_AS_OF = "2000-06-30"
 TIMEFRAME = "year"
-STREAM_FILES = 3
+STREAM_BATCHES = 3
+STREAM_FILE_ROWS = 2_000_000
 
 
 def analyzed_notes(ledger: DataFrame, cap_spillover: bool = False) -> DataFrame:
@@ -38,37 +42,24 @@ def analyzed_notes(ledger: DataFrame, cap_spillover: bool = False) -> DataFrame:
     return analyze_notes(rebuild_notes(ledger), cap_spillover=cap_spillover)
 
 
-# Lazy plans shared by the queries of one session and folder. A DataFrame is an immutable
-# plan, so reusing it only saves building it again on the driver; every execution still
-# reads the tables in full.
-_PLANS: dict[tuple, tuple[SparkSession, DataFrame]] = {}
-
-
-def _shared(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    key = (id(spark), sf_dir, name)
-    hit = _PLANS.get(key)
-    if hit is None or hit[0] is not spark:
-        if len(_PLANS) > 64:
-            _PLANS.clear()
-        hit = (spark, build())
-        _PLANS[key] = hit
-    return hit[1]
-
-
 def _ledger(spark, sf_dir):
-    return _shared(spark, sf_dir, "ledger", lambda: derive_ledger(spark, sf_dir))
+    return derive_ledger(spark, sf_dir)
 
 
 def _analyzed(spark, sf_dir):
-    return _shared(spark, sf_dir, "analyzed", lambda: analyzed_notes(_ledger(spark, sf_dir)))
+    return analyzed_notes(_ledger(spark, sf_dir))
 
 
 def _notes(spark, sf_dir):
-    return _shared(spark, sf_dir, "notes", lambda: note_summary(_ledger(spark, sf_dir)))
+    return note_summary(_ledger(spark, sf_dir))
 
 
 def _rebuilt(spark, sf_dir):
-    return _shared(spark, sf_dir, "rebuilt", lambda: rebuild_notes(_ledger(spark, sf_dir)))
+    return rebuild_notes(_ledger(spark, sf_dir))
+
+
+def _faulty(spark, sf_dir):
+    return derive_ledger(spark, sf_dir, faulty=True)
 
 
 def q_grade_dim(spark, sf_dir):
@@ -100,43 +91,79 @@ def q_note_progress(spark, sf_dir):
         "unitPayment", "monthsToBreakeven", "completed")
 
 
+def _run_folder(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/notewise-{name}-{uuid.uuid4().hex}"
+
+
 def q_analyzed_notes_stream(spark, sf_dir):
     """The analyzed notes computed incrementally: the derived ledger is staged under the
-    shared checkpoint folder as STREAM_FILES files, each a contiguous range of due dates,
-    and replayed as a stream, one file per micro-batch (in time order); the result is
-    each note's newest version."""
-    import uuid
-
-    from notewise.session import checkpoint_dir
-    from notewise.sources.ledger import write_ledger
-    from notewise.streaming.payments import latest_notes, start_note_stream
-
-    run = f"{checkpoint_dir(spark).rstrip('/')}/notewise-stream-run-{uuid.uuid4().hex}"
-    _ledger(spark, sf_dir).repartitionByRange(STREAM_FILES, "dueDate").write.parquet(f"{run}/ledger")
-    query = start_note_stream(spark, f"{run}/ledger", f"{run}/notes",
-                              checkpoint=f"{run}/checkpoint", max_files_per_trigger=1,
-                              state_partitions=spark.sparkContext.defaultParallelism)
+    shared checkpoint folder in ranges of due date and loan, as many files as the data
+    needs (a popular date spreads over several), and replayed as a stream in
+    STREAM_BATCHES micro-batches; the result is each note's newest version, compacted.
+
+    A registered query leaves its run folder to the caller, who owns the shared folder.
+    """
+    run = _run_folder(spark, "stream-run")
+    staged = _ledger(spark, sf_dir).repartitionByRange("dueDate", "loanID")
+    staged.write.option("maxRecordsPerFile", STREAM_FILE_ROWS).parquet(f"{run}/ledger")
+    files = len(spark.read.parquet(f"{run}/ledger").inputFiles())
+    query = start_note_stream(spark, f"{run}/ledger", f"{run}/notes", checkpoint=f"{run}/checkpoint",
+                              max_files_per_trigger=-(-files // STREAM_BATCHES))
     query.awaitTermination()
-    return latest_notes(spark, f"{run}/notes")
+    compact_notes(spark, f"{run}/notes", f"{run}/compacted")
+    return spark.read.parquet(f"{run}/compacted")
 
 
-def q_ledger_csv(spark, sf_dir):
-    """The ledger through its file format: written as a titled CSV (one header row, dates
-    as yyyy-MM-dd, unpaid instalments with an empty Date Paid) under the shared checkpoint
-    folder, and read back with the fixed-schema CSV reader and title normalisation."""
-    import uuid
+def q_ledger_titled(spark, sf_dir):
+    """The ledger under the titles of its file."""
+    return to_titles(_ledger(spark, sf_dir))
 
-    from notewise.session import checkpoint_dir
-    from notewise.sources.ledger import read_ledger, write_ledger
 
-    path = f"{checkpoint_dir(spark).rstrip('/')}/notewise-ledger-csv-{uuid.uuid4().hex}"
-    write_ledger(_ledger(spark, sf_dir), path, fmt="csv")
+def _titled_text(ledger):
+    """The ledger as text under literal titles, in another order than the usual one, with
+    company names that hold quotes and commas."""
+    money = {"Interest Scheduled": "interestScheduled", "Principal Scheduled": "principalScheduled",
+             "Total Scheduled": "totalScheduled", "Interest Owed": "interestOwed", "Principal Owed": "principalOwed",
+             "Total Owed": "totalOwed", "Interest Paid": "interestPaid", "Principal Paid": "principalPaid",
+             "Total Paid": "totalPaid", "Fees Paid to Loop": "fees"}
+    rest = {"Status": "status", "Date Paid": "datePaid", "Due Date": "dueDate", "Risk Band": "grade",
+            "Interest Rate": "interestRate", "Loan Name": "loanName", "Loan Id": "loanID", "Payment Type": "paymentType"}
+    company = F.concat(F.lit('The "Best", '), F.col("company"))
+    return ledger.select(*[F.col(c).cast("string").alias(t) for t, c in rest.items()], company.alias("Company"),
+                         *[F.col(c).cast("string").alias(t) for t, c in reversed(money.items())])
+
+
+def q_ledger_csv(spark, sf_dir):
+    """The ledger through its file: a CSV with doubled quotes, commas inside fields and
+    reordered columns, written under the shared checkpoint folder and read by title."""
+    path = _run_folder(spark, "ledger-csv")
+    _titled_text(_ledger(spark, sf_dir)).write.options(header=True, quote='"', escape='"').csv(path)
     return read_ledger(spark, path, fmt="csv")
 
 
+def q_dq_corrupt(spark, sf_dir):
+    """The ledger file with bad fields, read and reported: every 29th loan has a due date
+    and every 23rd a paid amount that does not fit."""
+    path = _run_folder(spark, "ledger-corrupt")
+    titled = _titled_text(_ledger(spark, sf_dir))
+    loan = F.col("`Loan Id`").cast("bigint")
+    titled.withColumns({
+        "Due Date": F.when(loan % 29 == 0, F.lit("soon")).otherwise(F.col("`Due Date`")),
+        "Total Paid": F.when(loan % 23 == 0, F.lit("ten")).otherwise(F.col("`Total Paid`")),
+    }).write.options(header=True, quote='"', escape='"').csv(path)
+    return quality.dq_ledger_report(read_ledger(spark, path, fmt="csv", on_bad="keep"))
+
+
+def q_dq_ledger_report(spark, sf_dir):
+    return quality.dq_ledger_report(null_ledger(_ledger(spark, sf_dir)))
+
+
 def q_dq_report(spark, sf_dir):
-    faulty = _shared(spark, sf_dir, "faulty", lambda: derive_ledger(spark, sf_dir, faulty=True))
-    return quality.dq_report(note_summary(faulty))
+    return quality.dq_report(note_summary(_faulty(spark, sf_dir)))
+
+
+def _kpis(ledger, by=None):
+    return metrics.portfolio_kpis(analyzed_notes(ledger), TOTAL_FUNDS, by=by)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -150,7 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "loan_transactions": lambda s, d: loan_transactions(_ledger(s, d)),
     "notes_with_transactions": lambda s, d: notes_with_transactions(_ledger(s, d)),
     "rebuild_notes": _rebuilt,
-    "waterfall": lambda s, d: _shared(s, d, "waterfall", lambda: waterfall(_rebuilt(s, d))),
+    "waterfall": lambda s, d: waterfall(_rebuilt(s, d)),
     "note_progress": q_note_progress,
     "open_notes": lambda s, d: selection.open_notes(_analyzed(s, d)),
     "notes_ordered": lambda s, d: selection.order_notes(_analyzed(s, d), "app"),
@@ -166,7 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kpi_diversification": lambda s, d: metrics.kpi_diversification(_analyzed(s, d)),
     "kpi_funds_remaining": lambda s, d: metrics.kpi_funds_remaining(_analyzed(s, d), TOTAL_FUNDS),
     "kpi_funds_uninvested": lambda s, d: metrics.kpi_funds_uninvested(_analyzed(s, d), TOTAL_FUNDS),
-    "portfolio_kpis": lambda s, d: metrics.portfolio_kpis(_analyzed(s, d), TOTAL_FUNDS, by=["grade"]),
+    "portfolio_kpis": lambda s, d: _kpis(_ledger(s, d), by=["grade"]),
     "funds_allocation": lambda s, d: datasets.funds_allocation(_analyzed(s, d), TOTAL_FUNDS),
     "grade_distribution": lambda s, d: datasets.grade_distribution(_notes(s, d)),
     "progress_series": lambda s, d: datasets.progress_series(_analyzed(s, d)),
@@ -176,4 +203,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dq_report": q_dq_report,
     "analyzed_notes_stream": q_analyzed_notes_stream,
     "ledger_csv": q_ledger_csv,
+    "ledger_titled": q_ledger_titled,
+    "dq_corrupt": q_dq_corrupt,
+    "dq_ledger_report": q_dq_ledger_report,
+    "note_summary_edge": lambda s, d: note_summary(edge_ledger(_ledger(s, d))),
+    "rebuild_notes_nulls": lambda s, d: rebuild_notes(null_ledger(_ledger(s, d))),
+    "notes_with_transactions_nulls": lambda s, d: notes_with_transactions(null_ledger(_ledger(s, d))),
+    "portfolio_kpis_total": lambda s, d: _kpis(_ledger(s, d)),
+    "portfolio_kpis_faulty": lambda s, d: _kpis(_faulty(s, d)),
+    "portfolio_kpis_text": lambda s, d: metrics.kpi_text(_kpis(_ledger(s, d), by=["grade"])),
+    "grade_distribution_faulty": lambda s, d: datasets.grade_distribution(
+        note_summary(_faulty(s, d)), remainder=True),
 }

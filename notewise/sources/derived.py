@@ -1,7 +1,7 @@
 """A loan ledger derived from the TPC-H-style test tables.
 
 The test tables hold no ledger, so one is derived: every order is a note, every line an
-instalment. Amounts are integer cents (exact in every engine), published as DECIMAL(18,2).
+instalment. Amounts are integer cents (exact in every engine), published as DECIMAL(18,4).
 
 Per line, with ``n`` = lines of the order and ``rate`` in basis points:
 ``tot = round(l_extendedprice*100)``, ``interest = floor(tot*rate*(n+1)/240000)``,
@@ -52,10 +52,6 @@ def _read(spark: SparkSession, sf_dir: str, name: str, cols: list[str]) -> DataF
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
-def _hinted(df: DataFrame, hint: str | None) -> DataFrame:
-    return df.hint(hint) if hint else df
-
-
 def _money(cents: Column) -> Column:
     return (cents.cast("decimal(18,0)") * F.lit(CENT)).cast(MONEY)
 
@@ -64,13 +60,11 @@ def _hit(key: Column, rule: str) -> Column:
     return (key % F.lit(FAULTS[rule])) == 0
 
 
-def derive_ledger(spark: SparkSession, sf_dir: str, faulty: bool = False,
-                  join_hint: str | None = None) -> DataFrame:
+def derive_ledger(spark: SparkSession, sf_dir: str, faulty: bool = False) -> DataFrame:
     """19-column normalised ledger from lineitem, orders and customer at ``sf_dir``.
 
     ``faulty=True`` injects one data-quality fault per rule (unknown grade, negative
     profits, zero unit payment, zero rate, one loanID under two companies).
-    ``join_hint`` is the strategy for the two data-sized joins (None: optimizer's choice).
     """
     lines = _read(spark, sf_dir, "lineitem",
                   ["l_orderkey", "l_extendedprice", "l_shipdate", "l_linestatus"])
@@ -79,7 +73,7 @@ def derive_ledger(spark: SparkSession, sf_dir: str, faulty: bool = False,
 
     lines_per_order = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     loans = (
-        _hinted(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), join_hint)
+        orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
         .join(lines_per_order, "l_orderkey")
         .join(customers, F.col("o_custkey") == customers["c_custkey"])
         .select("l_orderkey", "c_name", "n")
@@ -87,7 +81,7 @@ def derive_ledger(spark: SparkSession, sf_dir: str, faulty: bool = False,
     grades = F.broadcast(grade_dim(spark))
     key = F.col("l_orderkey")
     joined = (
-        lines.join(_hinted(loans, join_hint), "l_orderkey")
+        lines.join(loans, "l_orderkey")
         .join(grades, (key % 10).cast("int") == grades["gradeOrder"])
     )
 
@@ -156,3 +150,29 @@ def derive_ledger(spark: SparkSession, sf_dir: str, faulty: bool = False,
     )
     assert out.columns == ledger_columns()
     return out
+
+
+def edge_ledger(ledger: DataFrame) -> DataFrame:
+    """The derived ledger with amounts that only careful sums survive: missing scheduled
+    totals, fees below a cent, and negative fees ending on half a cent."""
+    key, fees, money = F.col("loanID"), F.col("fees"), lambda x: F.lit(Decimal(x)).cast(MONEY)
+    return ledger.withColumns({
+        "totalScheduled": F.when((key % 71 == 0) & (F.col("status") == "Scheduled"), F.lit(None).cast(MONEY))
+        .otherwise(F.col("totalScheduled")),
+        "fees": F.when(key % 67 == 0, money("0.004"))
+        .when(key % 61 == 0, (-fees - money("0.005")).cast(MONEY)).otherwise(fees),
+    })
+
+
+# Columns set to null in the ledger with missing values: column -> order-key divisor.
+NULLS = {"fees": 59, "interestScheduled": 53, "totalScheduled": 47, "dueDate": 43, "grade": 41, "loanID": 37}
+
+
+def null_ledger(ledger: DataFrame) -> DataFrame:
+    """The derived ledger with nulls: one column for every divisor of ``NULLS`` (all lines of
+    the order), and no paid amount on paid lines of every 31st order."""
+    key = F.col("loanID")
+    blank = {c: F.when(key % n == 0, F.lit(None)).otherwise(F.col(c)).alias(c) for c, n in NULLS.items()}
+    blank["totalPaid"] = F.when((key % 31 == 0) & F.col("datePaid").isNotNull(), F.lit(None)).otherwise(
+        F.col("totalPaid")).alias("totalPaid")
+    return ledger.select([blank.get(c, F.col(c)) for c in ledger.columns])

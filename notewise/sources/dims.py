@@ -1,14 +1,13 @@
-"""Fixed dimensions, built as local relations (exact size known to the optimizer).
+"""The fixed grade dimension, built as a local relation (exact size known to the optimizer).
 
-Both are tiny and of fixed size, so they are the only tables this library broadcasts
-explicitly.
+It has ten rows, so it is the only table this library broadcasts explicitly.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notewise.sources.schema import GRADE_BAD_DEBT_RATES, PROGRESS_SERIES
+from notewise.sources.schema import GRADE_BAD_DEBT_RATES
 
 
 def _sql_str(s: str) -> str:
@@ -22,14 +21,3 @@ def grade_dim(spark: SparkSession) -> DataFrame:
         for i, (g, r) in enumerate(GRADE_BAD_DEBT_RATES)
     )
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(gradeOrder, grade, badDebtRate)")
-
-
-def series_dim(spark: SparkSession) -> DataFrame:
-    """(seriesOrder INT, series, seriesName, seriesGroup): the 12 progress-chart series."""
-    rows = ", ".join(
-        f"({i}, {_sql_str(c)}, {_sql_str(n)}, {_sql_str(g)})"
-        for i, (c, n, g) in enumerate(PROGRESS_SERIES)
-    )
-    return spark.sql(
-        f"SELECT * FROM VALUES {rows} AS t(seriesOrder, series, seriesName, seriesGroup)"
-    )

@@ -1,14 +1,16 @@
 """Ledger schema, column-title normalisation and the fixed dimensions.
 
 The ledger is one row per scheduled instalment of a note (loan). Money columns are
-``DECIMAL(18,2)`` so that sums are exact; dates are ``DATE``.
+``DECIMAL(18,4)``: amounts keep fractions of a cent until they have been summed, and the
+sums are exact; dates are ``DATE``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 2)
+MONEY_SCALE = 4
+MONEY = T.DecimalType(18, MONEY_SCALE)
 
 # --- Fixed values that must equal the reference's -------------------------------------
 # Ledger CSV titles in file order, with the reference's column type family.
@@ -101,15 +103,6 @@ def ledger_columns() -> list[str]:
     return [column_name(t) for t, _ in LEDGER_TITLES]
 
 
-def titled_schema(date_as_string: bool = False) -> T.StructType:
-    """Schema of the ledger file as it is written (CSV titles as field names)."""
-    fields = []
-    for title, kind in LEDGER_TITLES:
-        dtype = T.StringType() if (kind == "date" and date_as_string) else _TYPE_OF[kind]
-        fields.append(T.StructField(title, dtype, True))
-    return T.StructType(fields)
-
-
 def ledger_schema() -> T.StructType:
     """Schema of the normalised ledger (camel-case column names)."""
     return T.StructType(

@@ -20,7 +20,8 @@ from notewise.session import local_session  # noqa: E402
 
 # Spark type name -> DuckDB type name, for the schema part of the comparison.
 SPARK_TO_DUCKDB = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
-                   "date": "DATE", "boolean": "BOOLEAN", "decimal(18,2)": "DECIMAL(18,2)"}
+                   "date": "DATE", "boolean": "BOOLEAN", "decimal(18,2)": "DECIMAL(18,2)",
+                   "decimal(18,4)": "DECIMAL(18,4)"}
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()

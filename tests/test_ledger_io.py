@@ -37,7 +37,7 @@ def test_csv_read_fixed_schema_and_empty_date_is_null(spark, tmp_path):
     rows = df.orderBy("datePaid").collect()
     assert rows[0]["datePaid"] is None
     assert str(rows[1]["datePaid"]) == "2019-01-20"
-    assert dict(df.dtypes)["totalPaid"] == "decimal(18,2)"
+    assert dict(df.dtypes)["totalPaid"] == "decimal(18,4)"
     assert dict(df.dtypes)["loanID"] == "bigint"
 
 
