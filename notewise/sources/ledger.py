@@ -66,14 +66,18 @@ def parse_ledger(raw: DataFrame, date_formats: Sequence[str] = (DATE_FORMAT,), o
             value = text.try_cast(field.dataType)
         typed[field.name] = value
         bad.append(F.when(~blank & value.isNull(), F.concat(F.lit(field.name + "="), text.cast("string"))))
-    if on_bad != "null":
-        found = F.array_compact(F.array(*bad, *([F.col(CORRUPT)] if CORRUPT in df.columns else [])))
-        trace = F.when(F.size(found) > 0, F.concat_ws("; ", found))
-        if on_bad == "keep":
-            return df.select(*[c.alias(n) for n, c in typed.items()], trace.alias(CORRUPT))
-        failed = F.raise_error(F.concat(F.lit("the ledger has a bad row: "), trace))
-        df = df.where(F.when(trace.isNotNull(), failed.cast("boolean")).otherwise(F.lit(True)))
-    return df.select(*[c.alias(n) for n, c in typed.items()])
+    columns = [c.alias(n) for n, c in typed.items()]
+    if on_bad == "null":
+        return df.select(*columns)
+    found = F.array_compact(F.array(*bad, *([F.col(CORRUPT)] if CORRUPT in df.columns else [])))
+    trace = F.when(F.size(found) > 0, F.concat_ws("; ", found))
+    # One generated row per row: its columns are plain to the optimizer, which would otherwise
+    # carry the check's expression through every constraint of the columns that it shares.
+    parsed = df.select(F.inline(F.array(F.struct(*columns, trace.alias(CORRUPT)))))
+    if on_bad == "keep":
+        return parsed
+    failed = F.raise_error(F.concat(F.lit("the ledger has a bad row: "), F.col(CORRUPT))).cast("boolean")
+    return parsed.where(F.when(F.col(CORRUPT).isNotNull(), failed).otherwise(F.lit(True))).drop(CORRUPT)
 
 
 def text_schema(columns: Sequence[str]) -> T.StructType:
