@@ -14,11 +14,13 @@ make up for them, and a document that lacks more than the spare ones uses all it
 no link is lost. Candidates are verified on the exact shingle sets.
 
 Scale: documents with the same set are one member (kept once per task before any shuffle,
-then once overall). A part shared by many members never makes all pairs: members are
-compared with a few centres (those that share most parts first), linked ones become one
-component, and only parts whose members are still apart get more centres, four times as many
-each round, until every member has been a centre. That finds all links between different
-components, hence exact components, while a family of copies costs one comparison a member.
+then once overall). Members that share a part are gathered in clusters: connected components
+of a star per part, one row a member and part, never all pairs. A small cluster is verified
+in one task. A large one is cut by size (linked sets differ by a tenth at most) and then into
+blocks of bounded size, and a task compares two blocks: Hamming distances of whole sketches
+first, exact sets for what is left, and it returns only the links that connect something
+new, fewer than it has members. So a family of copies, however large, is shared out among
+tasks, and no row is made per pair.
 
 Sets are 64-bit shingle hashes; members are identified by a 64-bit hash of their set.
 Null text has no words. Rows with a null doc_id take part and never name a component unless
@@ -27,11 +29,12 @@ all its rows are null. Repeated rows give one row each. Extra columns are ignore
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep_rows, materialise
@@ -44,6 +47,9 @@ PART_BITS = 128
 BAND = 1.5
 #: Candidate ids up to this many (8 bytes each) are broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: What one side of a comparison task holds at most: members, and shingles of all of them.
+BLOCK_MEMBERS = 512
+BLOCK_GRAMS = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -145,67 +151,103 @@ def _describe(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sig long, keys array<long>")
 
 
-def _set_table(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """sig and its shingles, for the rows named by ``members`` (sig, doc_id)."""
+def _union(parent: np.ndarray, i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
 
-    def run(batches):
-        for batch, found in _sets(batches, True, size):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("sig"), pa.array([signature(f) for f in found], pa.int64()),
-                 pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], names=["want", "sig", "grams"])
-
-    wanted = members.select(F.col("sig"), F.col("doc_id").alias("m_id"))
-    wanted = F.broadcast(wanted) if members.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("m_id"))).select("sig", "text")
-    return (texts.mapInArrow(run, "want long, sig long, grams array<long>").where("want = sig")
-            .select("sig", "grams").dropDuplicates(["sig"]))
 
+def links_within(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Linked pairs of the sets that connect all sets which links connect (a spanning forest).
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of members whose sets link."""
-    right = sets.select(F.col("sig").alias("v"), F.col("grams").alias("gv"))
-    left = sets.select(F.col("sig").alias("u"), F.col("grams").alias("gu"))
-    both = F.size(F.array_intersect("gu", "gv"))
-    return (pairs.join(right, "v").join(left, "u")
-            .where(both * (100 + percent) >= (F.size("gu") + F.size("gv")) * percent).select("u", "v"))
+    The Hamming distance of parity sketches of all sets comes first: beyond the difference
+    that a link allows, the pair cannot link. The rest is verified on the exact sets, closest
+    first, unless the pair is connected already.
+    """
+    n = np.array([len(f) for f in sets])
+    bits = min(1 << 14, max(512, 1 << int(2 * n.max()).bit_length()))
+    signs = np.empty((len(sets), bits), np.float32)
+    for i, f in enumerate(sets):
+        signs[i] = 1 - 2 * (np.bincount((mix(f, 9) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1)
+    distance = (bits - signs @ signs.T) / 2
+    allowed = (n[:, None] + n[None, :]) * (100 - percent) // (100 + percent)
+    left, right = np.nonzero(np.triu(distance <= allowed, 1))
+    parent, out = np.arange(len(sets)), []
+    for at in np.argsort(distance[left, right], kind="stable").tolist():
+        i, j = int(left[at]), int(right[at])
+        a, b = _union(parent, i), _union(parent, j)
+        if a != b:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both * (100 + percent) >= int(n[i] + n[j]) * percent:
+                parent[a] = b
+                out.append((i, j))
+    return out
 
 
-def _links(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(docs: DataFrame, shared: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """Enough verified links (u, v) to join all members that links connect.
 
-    ``shared`` is (key, sig): the members of every part that several members share.
+    ``shared`` is (key, sig), the members of every part that several members share;
+    ``members`` is (sig, doc_id, n).
     """
-    spark = shared.sparkSession
-    weight = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("shares"))
-    left = materialise(shared.join(weight, "sig").select("key", "sig", "shares"))
-    links = tried = None
-    used = spark.createDataFrame([], "key long, sig long")
-    component = spark.createDataFrame([], "node long, component long")
-    centres = 1
-    while True:
-        now = (left.join(component, left.sig == component.node, "left")
-               .select("key", "sig", "shares", F.coalesce("component", "sig").alias("comp")))
-        apart = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        left = materialise(now.join(apart, "key", "left_semi"))
-        order = Window.partitionBy("key").orderBy(F.desc("shares"), "sig")
-        chosen = materialise(left.join(used, ["key", "sig"], "left_anti").withColumn("r", F.row_number().over(order))
-                             .where(F.col("r") <= centres)
-                             .select("key", F.col("sig").alias("centre"), F.col("comp").alias("c_comp")))
-        if chosen.isEmpty():
-            break
-        pairs = (left.join(chosen, "key").where("comp <> c_comp")
-                 .select(F.greatest("sig", "centre").alias("u"), F.least("sig", "centre").alias("v")).distinct())
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = materialise(pairs)
-        found = materialise(_verified(pairs, sets, percent))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        component = connected_components(links)
-        used = used.unionByName(chosen.select("key", F.col("centre").alias("sig")))
-        left = left.drop("comp")
-        centres *= 4
-    return links if links is not None else spark.createDataFrame([], "u long, v long")
+    lowest = shared.groupBy("key").agg(F.min("sig").alias("v")).select(F.col("key").alias("l_key"), "v")
+    stars = (shared.join(lowest, F.col("key") == F.col("l_key")).where("sig <> v")
+             .select(F.col("sig").alias("u"), "v").distinct())
+    clusters = connected_components(stars).select(F.col("node").alias("c_sig"), F.col("component").alias("cluster"))
+    # Size classes: linked sets are in the same class or in neighbouring ones.
+    step = math.log(100 / percent) * 1.001
+    found = (members.join(clusters, F.col("sig") == F.col("c_sig"))
+             .select("sig", "doc_id", "n", "cluster", F.floor(F.log("n") / F.lit(step)).alias("class")))
+    total = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("c_n"), F.sum("n").alias("c_grams")).select(
+        F.col("cluster").alias("t_cluster"), ((F.col("c_n") <= BLOCK_MEMBERS) & (F.col("c_grams") <= BLOCK_GRAMS)).alias("small"))
+    found = materialise(found.join(total, F.col("cluster") == F.col("t_cluster"))
+                        .withColumn("class", F.when(F.col("small"), F.lit(0)).otherwise(F.col("class")))
+                        .select("sig", "doc_id", "cluster", "class", "n"))
+    blocks = found.groupBy("cluster", "class").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_MEMBERS)), F.ceil(F.sum("n") / F.lit(BLOCK_GRAMS))).alias("blocks"))
+    near = lambda k, name: blocks.select(F.col("cluster").alias(f"{name}_c"), (F.col("class") - k).alias(f"{name}_k"),
+                                         F.col("blocks").alias(name))
+    grid = blocks
+    for k, name in ((1, "above"), (-1, "below")):
+        grid = grid.join(near(k, name), (F.col("cluster") == F.col(f"{name}_c")) & (F.col("class") == F.col(f"{name}_k")), "left")
+    grid = grid.select(F.col("cluster").alias("g_c"), F.col("class").alias("g_k"), "blocks", "above", "below")
+    wanted = (found.join(grid, (F.col("cluster") == F.col("g_c")) & (F.col("class") == F.col("g_k")))
+              .select("sig", F.col("doc_id").alias("m_id"), "cluster", "class", "blocks", "above", "below"))
+
+    def sets(batches):
+        for batch, grams in _sets(batches, True, size):
+            same = pa.array([signature(f) for f in grams], pa.int64())
+            columns = [batch.column(c) for c in ("sig", "cluster", "class", "blocks", "above", "below")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, same, pa.array([f.view(np.int64) for f in grams], pa.list_(pa.int64()))],
+                names=["sig", "cluster", "class", "blocks", "above", "below", "same", "grams"])
+
+    wanted = F.broadcast(wanted) if found.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("m_id"))).drop("doc_id", "m_id")
+    rows = texts.mapInArrow(sets, "sig long, cluster long, class long, blocks long, above long, below long, "
+                                  "same long, grams array<long>").where("sig = same")
+    block = F.pmod(F.xxhash64("sig"), F.col("blocks"))
+    level = F.col("class")
+    upto = lambda name: F.when(F.col(name) > 0, F.sequence(F.lit(0).cast("long"), F.col(name) - 1)).otherwise(
+        F.array().cast("array<long>"))
+    task = lambda a, i, b, j: F.struct(a.alias("a"), i.alias("i"), b.alias("b"), j.alias("j"))
+    tasks = F.concat(
+        F.transform(upto("blocks"), lambda j: task(level, F.least(block, j), level, F.greatest(block, j))),
+        F.transform(upto("above"), lambda j: task(level, block, level + 1, j)),
+        F.transform(upto("below"), lambda j: task(level - 1, j, level, block)))
+
+    def compare(group: pa.Table) -> pa.Table:
+        sigs = group.column("sig").to_numpy()
+        grams = group.column("grams").combine_chunks()
+        at = np.unique(sigs, return_index=True)[1]  # a repeated row is the same member
+        flat, ends = grams.flatten().to_numpy().view(np.uint64), grams.offsets.to_numpy() - grams.offsets[0].as_py()
+        pairs = links_within([flat[ends[i]:ends[i + 1]] for i in at.tolist()], percent) if len(at) > 1 else []
+        return pa.table({"u": pa.array([int(sigs[at[i]]) for i, _ in pairs], pa.int64()),
+                         "v": pa.array([int(sigs[at[j]]) for _, j in pairs], pa.int64())})
+
+    return (rows.select("sig", "grams", "cluster", F.explode(tasks).alias("task")).select("sig", "grams", "cluster", "task.*")
+            .groupBy("cluster", "a", "i", "b", "j").applyInArrow(compare, "u long, v long"))
 
 
 def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -218,10 +260,9 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     several = met.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("key")
     shared = materialise(met.join(several, "key", "left_semi"))
 
-    classes = described.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    members = materialise(shared.select("sig").distinct().join(classes, "sig"))
-    sets = materialise(_set_table(docs, members, size))
-    joined = connected_components(_links(shared, sets, percent)).select(
+    classes = described.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    members = shared.select("sig").distinct().join(classes, "sig")
+    joined = connected_components(_links(docs, shared, members, size, percent)).select(
         F.col("node").alias("sig"), "component")
     named = classes.join(joined, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
