@@ -1,8 +1,8 @@
 """The corpus pipeline over ``documents``: five stages, each written as Parquet and read again.
 
 toxicity drops the documents that the learned lexicon rejects; exact_dedup keeps one of equal
-texts; near_dedup keeps one document of each group linked by 3-word shingles at a Jaccard
-similarity of 0.9; source_mix repeats or leaves out documents to reach the sources' target
+texts; near_dedup keeps one document of each group linked by 5-word shingles at a Jaccard
+similarity of 0.8 (the query op7 has thresholds of its own); source_mix repeats or leaves out documents to reach the sources' target
 weights; bpe encodes what is left and returns its digests. All but the last return the
 columns of ``documents``.
 """
@@ -18,6 +18,9 @@ from notewise.llm.common import read_table
 from notewise.llm.queries import tokenizer_path
 from notewise.session import checkpoint_dir
 
+NEAR_SHINGLE = 5
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
@@ -28,7 +31,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return parity_join.keep_one(docs)
+    return parity_join.keep_one(docs, size=NEAR_SHINGLE, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
