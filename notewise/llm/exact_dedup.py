@@ -32,7 +32,11 @@ def _keys(id_col: str, text_col: str, prefix_chars: int) -> list[Column]:
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept."""
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    text_sha256 is the SHA-256 of the row's own normalised text. It is carried along with the
+    row, as a doc_id may have several texts; a caller that does not read it does not pay for it.
+    """
     keyed = docs.select(*_keys(id_col, text_col, prefix_chars))
 
     # Level 1 and 2 keep the rows of groups of two or more. A group's row is only
@@ -57,23 +61,19 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
               .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
               .select(F.col("sha").alias("g_sha"), "keep_id", "group_size"))
     same = (full.join(groups, F.col("sha") == F.col("g_sha"))
-            .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")))
-    alone = (keyed.join(level2, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("len") == F.col("s_len"))
+            .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+                    F.col("sha").alias("text_sha256")))
+    hashed = docs.select(*_keys(id_col, text_col, prefix_chars), F.sha2(ascii_lower(F.col(text_col)), 256).alias("text_sha256"))
+    alone = (hashed.join(level2, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("len") == F.col("s_len"))
                         & (F.col("pre") == F.col("s_pre")), "left_anti")
              .select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-                     F.lit(True).alias("kept")))
+                     F.lit(True).alias("kept"), "text_sha256"))
     return alone.unionByName(same)
 
 
 def with_text_hash(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Add text_sha256, the SHA-256 of the normalised text, to the rows of ``groups``.
-
-    Both sides repeat a doc_id as often as the table does, so repeated rows are first made
-    distinct on the group side and meet every row of the document.
-    """
-    sha = docs.select(F.col("doc_id").alias("t_id"), F.sha2(ascii_lower(F.col("text")), 256).alias("text_sha256"))
-    return sha.join(groups.distinct(), F.col("t_id").eqNullSafe(F.col("doc_id"))).select(
-        "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    """The rows of ``groups`` (of ``docs``) with text_sha256: one row per row of ``docs``."""
+    return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

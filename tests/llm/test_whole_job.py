@@ -1,9 +1,11 @@
 """Cases that earlier versions of the corpus operators cut short, against plain computations."""
 
+import hashlib
 import random
 import re
 
 import corpus_pipeline
+from notewise.llm import exact_dedup, parity_join
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -44,3 +46,24 @@ def test_near_dedup_stage_at_five_words(spark, make_docs):
     want = sorted(min(d for (d, _), h in zip(rows, group, strict=True) if h == g) for g in set(group))
     got = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, make_docs(rows), "").collect())
     assert got == want and not {1, 2} & set(got) and 3 in got
+
+
+def _rows_of_few_ids():
+    """Null and repeated ids with several texts: alone, copies of another id, copies of each other."""
+    words = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, f"only {i} here") for i in range(20)] + [(None, "shared text"), (9, "Shared text"), (9, "another one of nine"),
+            (9, "kept by ten"), (10, "kept by ten"), (None, "both null"), (None, "BOTH null"), (4, "twice"), (4, "twice")]
+    return rows + [(7, words), (7, words + " end"), (7, "seven itself"), (None, words + " fin"), (None, None), (None, "")]
+
+
+def test_exact_groups_pair_each_row_with_its_own_hash(make_docs):
+    rows = _rows_of_few_ids()
+    docs = make_docs(rows)
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256)
+                 for r in exact_dedup.with_text_hash(docs, exact_dedup.duplicate_groups(docs)).collect())
+    want = []
+    for i, t in rows:
+        alike = [-1 if j is None else j for j, u in rows if (u or "").lower() == (t or "").lower()]
+        keep = None if max(alike) < 0 else max(alike)
+        want.append((str(i), str(keep), len(alike), i == keep, hashlib.sha256((t or "").lower().encode()).hexdigest()))
+    assert got == sorted(want)
