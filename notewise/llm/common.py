@@ -40,17 +40,20 @@ def n_blocks(rows: int, per_block: int) -> int:
     return max(1, math.ceil(rows / per_block))
 
 
-def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``stay``, all columns; a repeated id stays once.
+def keep_rows(docs: DataFrame, stay: DataFrame, digest: Column) -> DataFrame:
+    """The rows of ``docs`` that are in ``stay`` (doc_id, digest: one row per row of ``docs``
+    that may stay), all columns; rows that repeat both doc_id and digest stay once.
 
-    The text moves once, against narrow rows. Repeated ids are looked for on ids alone, and
-    only when there are any do their rows take the second path.
+    ``digest`` is computed from a row of ``docs`` and tells texts of one doc_id apart. The text
+    moves once, against narrow rows; only when rows repeat do these take the second path.
     """
-    ids = stay.select(F.col("doc_id").alias("k_id")).distinct().hint("shuffle_hash")
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
-    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("r_id"))
-    if again.isEmpty():
-        return kept
-    same = F.col("doc_id").eqNullSafe(F.col("r_id"))
-    return kept.join(again, same, "left_anti").unionByName(
-        kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    listed = materialise(stay.groupBy(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest"))
+                         .agg((F.count(F.lit(1)) > 1).alias("k_again")))
+    # The digest is in the join key, so rows that share a doc_id (or have none) are spread.
+    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_own") == F.col("k_digest"))
+    own = docs.withColumn("k_own", digest)
+    kept = lambda again: own.join(listed.where(F.col("k_again") == again).hint("shuffle_hash"), same, "left_semi")
+    single = kept(False).drop("k_own")
+    if listed.where("k_again").isEmpty():
+        return single
+    return single.unionByName(kept(True).dropDuplicates(["doc_id", "k_own"]).drop("k_own"))

@@ -77,5 +77,7 @@ def with_text_hash(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; repeated rows stay once."""
-    return keep_rows(docs, duplicate_groups(docs).where("kept"))
+    """The rows of ``docs`` that stay, with all their columns; rows that repeat both doc_id and
+    text stay once."""
+    stay = duplicate_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("digest"))
+    return keep_rows(docs, stay, F.sha2(ascii_lower(F.col("text")), 256))

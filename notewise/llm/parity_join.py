@@ -34,7 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep_rows, materialise
@@ -52,6 +52,11 @@ BLOCK_MEMBERS = 512
 BLOCK_GRAMS = 1 << 20
 
 
+def _digest() -> Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64("text")
+
+
 @lru_cache(maxsize=4)
 def bands(percent: int = PERCENT, largest: int = 1 << 31) -> list[tuple[int, int, int, int]]:
     """(first size, last size, parts, spare parts) of each band.
@@ -130,7 +135,7 @@ def _sets(batches, lower: bool, size: int):
 
 
 def _describe(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, sig, keys of every row; the keys of a set come once per task."""
+    """doc_id, digest (of the text), n, sig, keys of every row; the keys of a set come once per task."""
 
     def run(batches):
         seen: set[int] = set()
@@ -144,11 +149,13 @@ def _describe(docs: DataFrame, size: int, percent: int) -> DataFrame:
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(f) for f in found], pa.int64()), pa.array(sigs, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n", "sig", "keys"])
+                [batch.column("doc_id"), batch.column("digest"), pa.array([len(f) for f in found], pa.int64()),
+                 pa.array(sigs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["doc_id", "digest", "n", "sig", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sig long, keys array<long>")
+    return docs.select("doc_id", "text", _digest().alias("digest")).mapInArrow(
+        run, f"doc_id {kind}, digest long, n long, sig long, keys array<long>")
 
 
 def _union(parent: np.ndarray, i: int) -> int:
@@ -250,8 +257,9 @@ def _links(docs: DataFrame, shared: DataFrame, members: DataFrame, size: int, pe
             .groupBy("cluster", "a", "i", "b", "j").applyInArrow(compare, "u long, v long"))
 
 
-def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
+def _sets_with_components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The described rows; and per set that is not empty: sig, component, doc_id and ``least``,
+    the row (null, doc_id, digest) of the set that comes first."""
     described = materialise(_describe(docs, size, percent))
     # Parts that several members share. A key counted twice may be one set met by two tasks.
     rows = described.select("sig", F.explode("keys").alias("key"))
@@ -260,11 +268,18 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     several = met.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("key")
     shared = materialise(met.join(several, "key", "left_semi"))
 
-    classes = described.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    members = shared.select("sig").distinct().join(classes, "sig")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    classes = (described.where("n > 0").groupBy("sig").agg(least.alias("least"), F.max("n").alias("n"))
+               .select("sig", F.col("least.doc_id").alias("doc_id"), "n", "least"))
+    members = shared.select("sig").distinct().join(classes.drop("least"), "sig")
     joined = connected_components(_links(docs, shared, members, size, percent)).select(
         F.col("node").alias("sig"), "component")
-    named = classes.join(joined, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    return described, classes.join(joined, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+
+
+def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    described, named = _sets_with_components(docs, size, percent)
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     # A key of its own makes the join shuffle both sides, so that a hot set can be split.
     of_set = named.join(smallest, "component").select(F.struct("sig").alias("c_key"), "component_id")
@@ -275,5 +290,13 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the one with the smallest doc_id."""
-    return keep_rows(docs, components(docs, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """The rows of ``docs`` that stay: of each group the one with the smallest doc_id (null is
+    larger than any other; of several texts of that id the one with the smallest digest), and
+    all rows without words. Rows that repeat both doc_id and text stay once."""
+    described, named = _sets_with_components(docs, size, percent)
+    chosen = named.groupBy("component").agg(F.min("least").alias("least")).select(
+        F.col("least.doc_id").alias("l_id"), F.col("least.digest").alias("l_digest"))
+    rows = described.select("doc_id", "digest", "n")
+    stay = rows.where("n > 0").join(
+        chosen, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("digest") == F.col("l_digest")), "left_semi")
+    return keep_rows(docs, stay.unionByName(rows.where("n = 0")), _digest())

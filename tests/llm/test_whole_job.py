@@ -56,6 +56,27 @@ def _rows_of_few_ids():
     return rows + [(7, words), (7, words + " end"), (7, "seven itself"), (None, words + " fin"), (None, None), (None, "")]
 
 
+def test_exact_dedup_decides_by_id_and_text(make_docs):
+    rows = _rows_of_few_ids()
+    best = {}
+    for i, t in rows:
+        best[(t or "").lower()] = max(-1 if i is None else i, best.get((t or "").lower(), -1))
+    kept = exact_dedup.keep_one(make_docs(rows)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, (r.text or "").lower()) for r in kept) == sorted((i, t) for t, i in best.items())
+
+
+def test_near_dedup_decides_by_id_and_text(make_docs):
+    rows = _rows_of_few_ids()
+    number = lambda i: 99 if i is None else i
+    group = _groups(rows, 3, 90)
+    ids = {g: min(number(i) for (i, _), h in zip(rows, group, strict=True) if h == g) for g in set(group)}
+    kept = [(number(r.doc_id), r.text) for r in parity_join.keep_one(make_docs(rows)).collect()]
+    of = {(number(i), t): g for (i, t), g in zip(rows, group, strict=True)}
+    assert len(kept) == len(set(kept))
+    # one row of every group, of the group's smallest id and with a text of that group
+    assert sorted((of[k], k[0]) for k in kept) == sorted(ids.items())
+
+
 def test_exact_groups_pair_each_row_with_its_own_hash(make_docs):
     rows = _rows_of_few_ids()
     docs = make_docs(rows)
