@@ -18,9 +18,9 @@ then once overall). Members that share a part are gathered in clusters: connecte
 of a star per part, one row a member and part, never all pairs. A small cluster is verified
 in one task. A large one is cut by size (linked sets differ by a tenth at most) and then into
 blocks of bounded size, and a task compares two blocks: Hamming distances of whole sketches
-first, exact sets for what is left, and it returns only the links that connect something
-new, fewer than it has members. So a family of copies, however large, is shared out among
-tasks, and no row is made per pair.
+first, exact sets for every pair that is left, and it returns each member's number of links
+and edges that connect the linked members, two rows a member at most. So a family of copies,
+however large, is shared out among tasks, and no row is made per pair.
 
 Sets are 64-bit shingle hashes; members are identified by a 64-bit hash of their set.
 Null text has no words. Rows with a null doc_id take part and never name a component unless
@@ -50,6 +50,8 @@ BROADCAST_IDS = 2_000_000
 #: What one side of a comparison task holds at most: members, and shingles of all of them.
 BLOCK_MEMBERS = 512
 BLOCK_GRAMS = 1 << 20
+#: Shingles of one matrix product.
+_SLICE = 1 << 13
 
 
 def _digest() -> Column:
@@ -158,45 +160,83 @@ def _describe(docs: DataFrame, size: int, percent: int) -> DataFrame:
         run, f"doc_id {kind}, digest long, n long, sig long, keys array<long>")
 
 
-def _union(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
-def links_within(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Linked pairs of the sets that connect all sets which links connect (a spanning forest).
-
-    The Hamming distance of parity sketches of all sets comes first: beyond the difference
-    that a link allows, the pair cannot link. The rest is verified on the exact sets, closest
-    first, unless the pair is connected already.
+def _common(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Exact sizes of the intersections of ``rows`` with ``cols`` (numbers of sets), by products
+    of 0/1 matrices over slices of the shingles that several of the sets have."""
+    both = np.zeros((len(rows), len(cols)), np.float32)
+    used = np.union1d(rows, cols)
+    owner = np.repeat(used, [len(sets[i]) for i in used])
+    flat, place, count = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[place] > 1)
+    owner, place = owner[several], (np.cumsum(count > 1) - 1)[place[several]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    at_row, at_col = np.full(len(sets), -1), np.full(len(sets), -1)
+    at_row[rows], at_col[cols] = np.arange(len(rows)), np.arange(len(cols))
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, _SLICE):
+        mine = slice(*np.searchsorted(place, [lo, lo + _SLICE]))
+        sides = []
+        for at, size in ((at_row, len(rows)), (at_col, len(cols))):
+            own = at[owner[mine]]
+            side = np.zeros((size, _SLICE), np.float32)
+            side[own[own >= 0], place[mine][own >= 0] - lo] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T
+    return both
+
+
+def linked_pairs(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """All linked pairs of the sets, or of those of side 0 with those of side 1.
+
+    The Hamming distance of parity sketches comes first: beyond the difference that a link
+    allows, the pair cannot link. The rest is verified on the exact sets, pair by pair when
+    few pairs are left and by matrix products otherwise.
     """
+    rows = np.arange(len(sets)) if side is None else np.flatnonzero(side == 0)
+    cols = rows if side is None else np.flatnonzero(side == 1)
+    none = np.zeros(0, np.int64)
+    if not len(rows) or not len(cols):
+        return none, none
     n = np.array([len(f) for f in sets])
     bits = min(1 << 14, max(512, 1 << int(2 * n.max()).bit_length()))
     signs = np.empty((len(sets), bits), np.float32)
     for i, f in enumerate(sets):
         signs[i] = 1 - 2 * (np.bincount((mix(f, 9) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1)
-    distance = (bits - signs @ signs.T) / 2
-    allowed = (n[:, None] + n[None, :]) * (100 - percent) // (100 + percent)
-    left, right = np.nonzero(np.triu(distance <= allowed, 1))
-    parent, out = np.arange(len(sets)), []
-    for at in np.argsort(distance[left, right], kind="stable").tolist():
-        i, j = int(left[at]), int(right[at])
-        a, b = _union(parent, i), _union(parent, j)
-        if a != b:
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both * (100 + percent) >= int(n[i] + n[j]) * percent:
-                parent[a] = b
-                out.append((i, j))
-    return out
+    distance = (bits - signs[rows] @ signs[cols].T) / 2
+    allowed = (n[rows][:, None] + n[cols][None, :]) * (100 - percent) // (100 + percent)
+    near = distance <= allowed
+    left, right = np.nonzero(np.triu(near, 1) if side is None else near)
+    left, right = rows[left], cols[right]
+    if len(left) <= 4 * len(sets):
+        both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                         for i, j in zip(left.tolist(), right.tolist(), strict=True)], np.int64)
+    else:
+        a, b = np.unique(left), np.unique(right)
+        both = _common(sets, a, b)[np.searchsorted(a, left), np.searchsorted(b, right)].astype(np.int64)
+    good = both * (100 + percent) >= (n[left] + n[right]) * percent
+    return left[good], right[good]
+
+
+def smallest_reached(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each of ``size`` nodes the smallest one that the edges connect it with."""
+    label = np.arange(size)
+    while True:
+        low = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def _links(docs: DataFrame, shared: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Enough verified links (u, v) to join all members that links connect.
+    """Of the verified links: edges (u, v) enough to join all members that links connect, and
+    rows (u, null, rows) that add up to the number of rows that u's set links with.
 
     ``shared`` is (key, sig), the members of every part that several members share;
-    ``members`` is (sig, doc_id, n).
+    ``members`` is (sig, doc_id, n, copies), copies being the number of rows with the set.
     """
     lowest = shared.groupBy("key").agg(F.min("sig").alias("v")).select(F.col("key").alias("l_key"), "v")
     stars = (shared.join(lowest, F.col("key") == F.col("l_key")).where("sig <> v")
@@ -205,12 +245,12 @@ def _links(docs: DataFrame, shared: DataFrame, members: DataFrame, size: int, pe
     # Size classes: linked sets are in the same class or in neighbouring ones.
     step = math.log(100 / percent) * 1.001
     found = (members.join(clusters, F.col("sig") == F.col("c_sig"))
-             .select("sig", "doc_id", "n", "cluster", F.floor(F.log("n") / F.lit(step)).alias("class")))
+             .select("sig", "doc_id", "n", "copies", "cluster", F.floor(F.log("n") / F.lit(step)).alias("class")))
     total = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("c_n"), F.sum("n").alias("c_grams")).select(
         F.col("cluster").alias("t_cluster"), ((F.col("c_n") <= BLOCK_MEMBERS) & (F.col("c_grams") <= BLOCK_GRAMS)).alias("small"))
     found = materialise(found.join(total, F.col("cluster") == F.col("t_cluster"))
                         .withColumn("class", F.when(F.col("small"), F.lit(0)).otherwise(F.col("class")))
-                        .select("sig", "doc_id", "cluster", "class", "n"))
+                        .select("sig", "doc_id", "cluster", "class", "n", "copies"))
     blocks = found.groupBy("cluster", "class").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_MEMBERS)), F.ceil(F.sum("n") / F.lit(BLOCK_GRAMS))).alias("blocks"))
     near = lambda k, name: blocks.select(F.col("cluster").alias(f"{name}_c"), (F.col("class") - k).alias(f"{name}_k"),
@@ -220,19 +260,19 @@ def _links(docs: DataFrame, shared: DataFrame, members: DataFrame, size: int, pe
         grid = grid.join(near(k, name), (F.col("cluster") == F.col(f"{name}_c")) & (F.col("class") == F.col(f"{name}_k")), "left")
     grid = grid.select(F.col("cluster").alias("g_c"), F.col("class").alias("g_k"), "blocks", "above", "below")
     wanted = (found.join(grid, (F.col("cluster") == F.col("g_c")) & (F.col("class") == F.col("g_k")))
-              .select("sig", F.col("doc_id").alias("m_id"), "cluster", "class", "blocks", "above", "below"))
+              .select("sig", F.col("doc_id").alias("m_id"), "copies", "cluster", "class", "blocks", "above", "below"))
 
     def sets(batches):
         for batch, grams in _sets(batches, True, size):
             same = pa.array([signature(f) for f in grams], pa.int64())
-            columns = [batch.column(c) for c in ("sig", "cluster", "class", "blocks", "above", "below")]
+            columns = [batch.column(c) for c in ("sig", "copies", "cluster", "class", "blocks", "above", "below")]
             yield pa.RecordBatch.from_arrays(
                 [*columns, same, pa.array([f.view(np.int64) for f in grams], pa.list_(pa.int64()))],
-                names=["sig", "cluster", "class", "blocks", "above", "below", "same", "grams"])
+                names=["sig", "copies", "cluster", "class", "blocks", "above", "below", "same", "grams"])
 
     wanted = F.broadcast(wanted) if found.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("m_id"))).drop("doc_id", "m_id")
-    rows = texts.mapInArrow(sets, "sig long, cluster long, class long, blocks long, above long, below long, "
+    rows = texts.mapInArrow(sets, "sig long, copies long, cluster long, class long, blocks long, above long, below long, "
                                   "same long, grams array<long>").where("sig = same")
     block = F.pmod(F.xxhash64("sig"), F.col("blocks"))
     level = F.col("class")
@@ -245,21 +285,33 @@ def _links(docs: DataFrame, shared: DataFrame, members: DataFrame, size: int, pe
         F.transform(upto("below"), lambda j: task(level - 1, j, level, block)))
 
     def compare(group: pa.Table) -> pa.Table:
-        sigs = group.column("sig").to_numpy()
+        """A task of two blocks counts the pairs between them, that of one block those inside."""
         grams = group.column("grams").combine_chunks()
-        at = np.unique(sigs, return_index=True)[1]  # a repeated row is the same member
+        sigs, at = np.unique(group.column("sig").to_numpy(), return_index=True)  # a repeated row is the same member
         flat, ends = grams.flatten().to_numpy().view(np.uint64), grams.offsets.to_numpy() - grams.offsets[0].as_py()
-        pairs = links_within([flat[ends[i]:ends[i + 1]] for i in at.tolist()], percent) if len(at) > 1 else []
-        return pa.table({"u": pa.array([int(sigs[at[i]]) for i, _ in pairs], pa.int64()),
-                         "v": pa.array([int(sigs[at[j]]) for _, j in pairs], pa.int64())})
-
-    return (rows.select("sig", "grams", "cluster", F.explode(tasks).alias("task")).select("sig", "grams", "cluster", "task.*")
-            .groupBy("cluster", "a", "i", "b", "j").applyInArrow(compare, "u long, v long"))
+        a, i, b, j = (group.column(c)[0].as_py() for c in ("a", "i", "b", "j"))
+        own = group.column("first").to_numpy(zero_copy_only=False)[at]
+        side = None if (a, i) == (b, j) else np.where(own, 0, 1)
+        left, right = linked_pairs([flat[ends[k]:ends[k + 1]] for k in at.tolist()], side, percent)
+        copies = group.column("copies").to_numpy()[at]
+        met = np.zeros(len(sigs), np.int64)
+        np.add.at(met, left, copies[right])
+        np.add.at(met, right, copies[left])
+        least = smallest_reached(len(sigs), left, right)
+        linked, joined = np.flatnonzero(met), np.flatnonzero(least != np.arange(len(sigs)))
+        return pa.table({"u": pa.array(np.append(sigs[joined], sigs[linked]), pa.int64()),
+                         "v": pa.array([*sigs[least[joined]].tolist(), *[None] * len(linked)], pa.int64()),
+                         "rows": pa.array([*[None] * len(joined), *met[linked].tolist()], pa.int64())})
+
+    first = (F.col("task.a") == F.col("class")) & (F.col("task.i") == block)
+    return (rows.select("sig", "copies", "grams", "cluster", "class", "blocks", F.explode(tasks).alias("task"))
+            .select("sig", "copies", "grams", "cluster", "task.*", first.alias("first"))
+            .groupBy("cluster", "a", "i", "b", "j").applyInArrow(compare, "u long, v long, rows long"))
 
 
 def _sets_with_components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The described rows; and per set that is not empty: sig, component, doc_id and ``least``,
-    the row (null, doc_id, digest) of the set that comes first."""
+    """The described rows; and per set that is not empty: sig, component, doc_id, n_links (of
+    each row with the set) and ``least``, the row (null, doc_id, digest) of the set that comes first."""
     described = materialise(_describe(docs, size, percent))
     # Parts that several members share. A key counted twice may be one set met by two tasks.
     rows = described.select("sig", F.explode("keys").alias("key"))
@@ -269,24 +321,36 @@ def _sets_with_components(docs: DataFrame, size: int, percent: int) -> tuple[Dat
     shared = materialise(met.join(several, "key", "left_semi"))
 
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
-    classes = (described.where("n > 0").groupBy("sig").agg(least.alias("least"), F.max("n").alias("n"))
-               .select("sig", F.col("least.doc_id").alias("doc_id"), "n", "least"))
+    classes = (described.where("n > 0").groupBy("sig").agg(least.alias("least"), F.max("n").alias("n"),
+                                                              F.count(F.lit(1)).alias("copies"))
+               .select("sig", F.col("least.doc_id").alias("doc_id"), "n", "copies", "least"))
     members = shared.select("sig").distinct().join(classes.drop("least"), "sig")
-    joined = connected_components(_links(docs, shared, members, size, percent)).select(
+    links = materialise(_links(docs, shared, members, size, percent))
+    joined = connected_components(links.where("v is not null").select("u", "v")).select(
         F.col("node").alias("sig"), "component")
-    return described, classes.join(joined, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    met = links.where("v is null").groupBy(F.col("u").alias("sig")).agg(F.sum("rows").alias("met"))
+    return described, (classes.join(joined, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+                       .join(met, "sig", "left")
+                       .withColumn("n_links", F.col("copies") - 1 + F.coalesce("met", F.lit(0))).drop("met", "copies"))
 
 
-def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
+def components_and_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (how many other rows link with the row; rows
+    with the same set do) for every row of ``docs``."""
     described, named = _sets_with_components(docs, size, percent)
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     # A key of its own makes the join shuffle both sides, so that a hot set can be split.
-    of_set = named.join(smallest, "component").select(F.struct("sig").alias("c_key"), "component_id")
+    of_set = named.join(smallest, "component").select(F.struct("sig").alias("c_key"), "component_id", "n_links")
     full = described.where("n > 0").select("doc_id", "n", F.struct("sig").alias("d_key"))
-    return (full.join(of_set, F.col("d_key") == F.col("c_key")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return (full.join(of_set, F.col("d_key") == F.col("c_key"))
+            .select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
             .unionByName(described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"),
-                                                         F.col("doc_id").alias("component_id"))))
+                                                         F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))))
+
+
+def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    return components_and_links(docs, size, percent).drop("n_links")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -39,7 +39,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parity_join.components(read_table(spark, sf_dir, "documents"))
+    return parity_join.components_and_links(read_table(spark, sf_dir, "documents"))
 
 
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 import corpus_pipeline
 from notewise.llm import exact_dedup, parity_join
 
@@ -88,3 +90,24 @@ def test_exact_groups_pair_each_row_with_its_own_hash(make_docs):
         keep = None if max(alike) < 0 else max(alike)
         want.append((str(i), str(keep), len(alike), i == keep, hashlib.sha256((t or "").lower().encode()).hexdigest()))
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("members", [512, 7])
+def test_number_of_links_of_each_row(make_docs, monkeypatch, members):
+    monkeypatch.setattr(parity_join, "BLOCK_MEMBERS", members)  # 7: families are cut into many blocks
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(130)]
+    rows = [(900, None), (901, "Hi"), (None, "hi"), (902, "alone here")]
+    for i in range(60):
+        words = base[:rng.choice([130, 130, 122, 115, 100])]
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(5)}"
+        rows.append((i, " ".join(words)))
+    rows += [rows[10], (77, rows[11][1].upper())]
+    links = [0] * len(rows)
+    for pair in _linked(rows, 3, 90):
+        for i in pair:
+            links[i] += 1
+    got = parity_join.components_and_links(make_docs(rows)).collect()
+    assert sorted((str(r.doc_id), r.n_links) for r in got) == sorted((str(i), k) for (i, _), k in zip(rows, links, strict=True))
+    assert max(links) > 10
