@@ -4,6 +4,18 @@ from __future__ import annotations
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# CRC-32 of a word's bytes: a table of 256 registers from the polynomial, then byte by byte.
+_CRC = """
+        crc_table AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS regs),
+        hexed AS (SELECT feature, hex(encode(feature)) AS h FROM features GROUP BY feature),
+        hashed AS (
+            SELECT feature, xor(list_reduce(
+                list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+                lambda c, b: xor(c >> 8, regs[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+            FROM hexed, crc_table),"""
+
 ORACLE_SQL: dict[str, str] = {
     # Pages of the tables carry no canonical link or refresh, so a class is a node; the
     # components over such edges are tested against brute force.
@@ -42,4 +54,30 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept,
                text_sha256
         FROM hashed""",
+    "op12_importance": rf"""
+        WITH worded AS (
+            SELECT 'd' AS side, doc_id AS id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+            UNION ALL
+            SELECT 'b', item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+        features AS (SELECT side, id, feature, count(*) AS n
+                     FROM (SELECT side, id, unnest(words) AS feature FROM worded) GROUP BY ALL),{_CRC}
+        counted AS (SELECT side, id, bucket, sum(n) AS n FROM features JOIN hashed USING (feature) GROUP BY ALL),
+        totals AS (SELECT sum(n) FILTER (side = 'd') AS s, sum(n) FILTER (side = 'b') AS t FROM counted),
+        gains AS (
+            SELECT bucket, floor(1000 * ln((coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE + 1) * (any_value(totals.s) + 10000)::DOUBLE
+                / ((coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE + 1) * (any_value(coalesce(totals.t, 0)) + 10000)::DOUBLE)))::BIGINT AS gain
+            FROM counted, totals GROUP BY bucket),
+        sums AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total
+                 FROM counted JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id),
+        scored AS (
+            SELECT w.id AS doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features,
+                   coalesce(floor(total::DOUBLE / n_features), 0)::BIGINT AS weight,
+                   floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || w.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+            FROM worded w LEFT JOIN sums ON sums.id = w.id WHERE side = 'd'),
+        placed AS (
+            SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight + noise DESC, doc_id) AS place,
+                   count(*) FILTER (n_words >= 20) OVER () AS fit
+            FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 10 * fit // 100 THEN place END AS "rank"
+        FROM placed""",
 }

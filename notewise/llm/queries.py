@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import ann_tree, bpe, exact_dedup, mixing, parity_join, secret_ledger, sketch_dedup, suffix_dedup, toxicity, url_filter
+from . import ann_tree, bpe, exact_dedup, importance, mixing, parity_join, secret_ledger, sketch_dedup, suffix_dedup, toxicity, url_filter
 from .common import read_table
 
 
@@ -64,6 +64,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_tree": op1_ann_tree,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -75,4 +79,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_ledger": op8_secret_ledger,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op12_importance": op12_importance,
 }
