@@ -80,4 +80,24 @@ ORACLE_SQL: dict[str, str] = {
             FROM scored)
         SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 10 * fit // 100 THEN place END AS "rank"
         FROM placed""",
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vector
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pairs AS (
+            SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_dot_product(a.vector, b.vector)::BIGINT AS score
+            FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+        tops AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM pairs WHERE same)
+            WHERE place <= 5),
+        fits AS (
+            SELECT t.anchor_id, t.id AS positive_id, n.id AS negative_id, t.score AS positive_score, n.score AS negative_score,
+                   row_number() OVER (PARTITION BY t.anchor_id, t.id ORDER BY n.score DESC, n.id) AS place
+            FROM tops t JOIN pairs n ON n.anchor_id = t.anchor_id AND NOT n.same
+             AND 80 * t.score <= 100 * n.score AND 100 * n.score <= 100 * t.score)
+        SELECT anchor_id, positive_id, place::INTEGER AS "rank", negative_id, positive_score, negative_score
+        FROM fits WHERE place <= 5""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import ann_tree, bpe, exact_dedup, importance, mixing, parity_join, secret_ledger, sketch_dedup, suffix_dedup, toxicity, url_filter
+from . import ann_tree, bpe, exact_dedup, hard_negatives, importance, mixing, parity_join, secret_ledger, sketch_dedup, suffix_dedup, toxicity, url_filter
 from .common import read_table
 
 
@@ -68,6 +68,11 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.prepare(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_tree": op1_ann_tree,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -80,4 +85,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
     "op12_importance": op12_importance,
+    "op13_hard_negatives": op13_hard_negatives,
 }
