@@ -195,15 +195,16 @@ def rebuild_notes(
     return finish_notes(note_aggregate(ledger, as_of), grades, as_of)
 
 
-def note_aggregate(ledger: DataFrame, as_of: dict[str, Column] | None = None) -> DataFrame:
-    """The decomposable part of ``rebuild_notes``: one aggregate per note key.
+def note_aggregate(ledger: DataFrame, as_of: dict[str, Column] | None = None, keys=()) -> DataFrame:
+    """The decomposable part of ``rebuild_notes``: one aggregate per note key (and the columns
+    ``keys``, for parts of a note that add up).
 
     Works on batch and streaming ledgers alike (count / sum / min only).
     """
     paid = {"all": is_paid()}
     for name, cond in (as_of or {}).items():
         paid[name] = is_paid() & cond
-    return ledger.groupBy(*NOTE_KEYS).agg(*_note_aggregates(paid))
+    return ledger.groupBy(*NOTE_KEYS, *keys).agg(*_note_aggregates(paid))
 
 
 def _repaid(units: str) -> Column:
@@ -215,8 +216,8 @@ def _grades(df: DataFrame, grades: DataFrame | None) -> DataFrame:
     return F.broadcast(grade_dim(df.sparkSession)) if grades is None else grades
 
 
-def finish_notes(agg: DataFrame, grades: DataFrame, as_of: dict | None = None) -> DataFrame:
-    """Row-wise completion of ``note_aggregate`` output into note rows."""
+def finish_notes(agg: DataFrame, grades: DataFrame, as_of: dict | None = None, keep=()) -> DataFrame:
+    """Row-wise completion of ``note_aggregate`` output into note rows; columns of ``keep`` stay."""
     notes = _finish(agg, grades)
     extra = []
     for name in (as_of or {}):
@@ -226,5 +227,5 @@ def finish_notes(agg: DataFrame, grades: DataFrame, as_of: dict | None = None) -
         (F.col("cyclesTotal") - F.col("all_payments")).alias("cyclesRemaining"),
         "badDebtFunds",
         _repaid("all_repaid").alias("amountRepayed"),
-        *extra,
+        *extra, *keep,
     )

@@ -383,6 +383,39 @@ def timeframe_sql(as_of: str, timeframe: str) -> str:
             " FROM agg")
 
 
+def period_sql(period: str, by: str = "", faulty: bool = False) -> str:
+    """Every note's waterfall at the end of every period, from payments up to that day."""
+    months = {"month": 1, "quarter": 3}[period]
+    b, on = (f"{by}, ", f"AND coalesce(p.{by}, '') = coalesce(t.{by}, '')") if by else ("", "")
+    return with_(grades_cte(), ledger_ctes(faulty), notes_ctes(), f"""
+ends AS (
+  SELECT start, CAST(start + INTERVAL {months} MONTH - INTERVAL 1 DAY AS DATE) AS periodEnd
+  FROM (SELECT CAST(unnest(generate_series(min(date_trunc('{period}', datePaid)), max(date_trunc('{period}', datePaid)),
+                                           INTERVAL {months} MONTH)) AS DATE) AS start FROM ledger)),
+moments AS (SELECT periodEnd FROM ends UNION SELECT CAST(min(start) - INTERVAL 1 DAY AS DATE) FROM ends),
+paid AS (
+  SELECT {KEYS}, periodEnd, round(sum(totalPaid), 2)::DOUBLE AS repaid
+  FROM ledger JOIN moments ON datePaid <= periodEnd GROUP BY ALL),
+at_end AS (
+  SELECT n.* REPLACE (coalesce(p.repaid, 0.0) AS amountRepayed), m.periodEnd
+  FROM notes n CROSS JOIN moments m LEFT JOIN paid p
+    ON p.loanID = n.loanID AND p.company = n.company AND p.loanName = n.loanName AND p.interestRate = n.interestRate
+   AND p.grade = n.grade AND p.periodEnd = m.periodEnd)""", waterfall_ctes("at_end", "wf")) + f""",
+totals AS (
+  SELECT {b}periodEnd, {money_sum('badDebtFundsReceived + profitsReceived')} AS total FROM wf GROUP BY ALL),
+payers AS (
+  SELECT {b}CAST(date_trunc('{period}', datePaid) + INTERVAL {months} MONTH - INTERVAL 1 DAY AS DATE) AS periodEnd,
+         count(DISTINCT (loanID, company)) AS paying,
+         count(DISTINCT (loanID, company)) FILTER (grade NOT IN ({', '.join(_q(g) for g, _ in GRADES)})) AS lacking
+  FROM ledger WHERE datePaid IS NOT NULL GROUP BY ALL),
+steps AS (
+  SELECT *, lag(periodEnd) OVER (PARTITION BY {by or 1} ORDER BY periodEnd) AS before,
+         lag(total) OVER (PARTITION BY {by or 1} ORDER BY periodEnd) AS total_before FROM totals)
+SELECT {'t.' + by + ', ' if by else ''}before AS periodStart, t.periodEnd, coalesce(paying, 0) AS notesPaid, coalesce(lacking, 0) AS notesExcluded,
+       total_before AS earningsAtStart, total AS earningsAtEnd, round(total - total_before, 2) AS earnings
+FROM steps t LEFT JOIN payers p ON p.periodEnd = t.periodEnd {on} WHERE before IS NOT NULL"""
+
+
 def dq_sql() -> str:
     known = ", ".join(_q(g) for g, _ in GRADES)
     rules = {
@@ -481,6 +514,10 @@ def oracle_sql() -> dict[str, str]:
                                  "CASE WHEN monthsToBreakeven > 0 THEN CAST(monthsToBreakeven AS VARCHAR) "
                                  "ELSE '' END AS label FROM analyzed"),
         "earnings_timeframe": timeframe_sql(P.TIMEFRAME_AS_OF, P.TIMEFRAME),
+        "earnings_timeframe_month": timeframe_sql(P.TIMEFRAME_AS_OF, "month"),
+        "earnings_timeframe_all": timeframe_sql(P.TIMEFRAME_AS_OF, "all"),
+        "earnings_by_month": period_sql("month"),
+        "earnings_by_quarter_and_grade": period_sql("quarter", "grade", faulty=True),
         "dq_report": dq_sql(),
         "analyzed_notes_stream": f"{a} SELECT {ANALYZED_COLS} FROM analyzed",
         "ledger_csv": f"""{led} SELECT * REPLACE ('The "Best", ' || company AS company) FROM ledger""",

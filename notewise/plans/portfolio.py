@@ -18,7 +18,7 @@ from notewise.operators import datasets, metrics, quality, selection
 from notewise.operators.notes import (
     loan_transactions, note_summary, notes_with_transactions, paid_instalments, rebuild_notes,
 )
-from notewise.operators.timeframe import earnings_timeframe
+from notewise.operators.timeframe import earnings_by_period, earnings_timeframe
 from notewise.operators.waterfall import analyze_notes, note_progress, waterfall
 from notewise.session import checkpoint_dir
 from notewise.sources.derived import derive_ledger, edge_ledger, null_ledger
@@ -200,6 +200,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "progress_by_grade": lambda s, d: datasets.progress_series(_analyzed(s, d), PROGRESS_GRADE),
     "progress_annotations": lambda s, d: datasets.progress_annotations(_analyzed(s, d)),
     "earnings_timeframe": lambda s, d: earnings_timeframe(_ledger(s, d), TIMEFRAME_AS_OF, TIMEFRAME),
+    "earnings_timeframe_month": lambda s, d: earnings_timeframe(_ledger(s, d), TIMEFRAME_AS_OF, "month"),
+    "earnings_timeframe_all": lambda s, d: earnings_timeframe(_ledger(s, d), TIMEFRAME_AS_OF, "all"),
+    "earnings_by_month": lambda s, d: earnings_by_period(_ledger(s, d), "month"),
+    "earnings_by_quarter_and_grade": lambda s, d: earnings_by_period(_faulty(s, d), "quarter", by=["grade"]),
     "dq_report": q_dq_report,
     "analyzed_notes_stream": q_analyzed_notes_stream,
     "ledger_csv": q_ledger_csv,

@@ -71,6 +71,19 @@ def read_ledger_stream(spark: SparkSession, source: str, fmt: str = "parquet",
     return parse_ledger(stream, formats, on_bad) if fmt == "csv" else stream
 
 
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session for one streaming job: the caller's settings, RECOMMENDED where the caller has
+    none, and a RocksDB state store."""
+    own = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", *RECOMMENDED):
+        value = spark.conf.get(key, RECOMMENDED.get(key))
+        own.conf.set(key, RECOMMENDED[key] if value is None else value)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    if state_partitions is not None:
+        own.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    return own
+
+
 def start_note_stream(
     spark: SparkSession,
     source: str,
@@ -96,12 +109,7 @@ def start_note_stream(
     if checkpoint is None:
         tag = hashlib.sha256("\n".join((source, fmt, out_path)).encode()).hexdigest()[:16]
         checkpoint = f"{checkpoint_dir(spark).rstrip('/')}/notewise-notes-stream-{tag}"
-    own = spark.newSession()
-    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", *RECOMMENDED):
-        own.conf.set(key, spark.conf.get(key))
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    if state_partitions is not None:
-        own.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    own = stream_session(spark, state_partitions)
     stream = read_ledger_stream(own, source, fmt, max_files_per_trigger, date_format, on_bad)
     writer = (note_state_stream(stream).writeStream.outputMode("update")
               .foreachBatch(_writer(out_path, cap_spillover))

@@ -40,3 +40,14 @@ def test_csv_stream_source(spark, sf_small, tmp_path):
     q.awaitTermination()
     got = latest_notes(spark, str(tmp_path / "out"))
     assert got.count() == analyzed_notes(ledger).count()
+
+
+def test_stream_in_a_session_without_settings(spark, sf_small, tmp_path):
+    """A caller that never applied the recommended settings."""
+    plain = spark.newSession()
+    assert plain.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+    ledger = derive_ledger(plain, sf_small).filter("loanID < 500")
+    ledger.write.parquet(str(tmp_path / "src"))
+    start_note_stream(plain, str(tmp_path / "src"), str(tmp_path / "out"), checkpoint=str(tmp_path / "ck")).awaitTermination()
+    assert latest_notes(plain, str(tmp_path / "out")).count() == analyzed_notes(ledger).count() > 0
+    assert plain.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notewise.operators import metrics
-from notewise.operators.timeframe import earnings_timeframe, timeframe_bounds
+from notewise.operators.timeframe import earnings_by_period, earnings_timeframe, timeframe_bounds
 from notewise.plans.portfolio import analyzed_notes
 from notewise.sources.derived import derive_ledger
 
@@ -39,3 +39,39 @@ def test_periods_add_up(spark, sf_small):
     by = earnings_timeframe(ledger, "2000-06-30", "month", by=["grade"])
     assert by.agg(F.round(F.sum("earnings"), 2)).first()[0] == pytest.approx(
         earnings_timeframe(ledger, "2000-06-30", "month").first()["earnings"], abs=1e-6)
+
+
+def test_every_month_equals_its_timeframe(spark, sf_small):
+    ledger = derive_ledger(spark, sf_small, faulty=True).where("loanID < 2000")
+    rows = earnings_by_period(ledger, "month").orderBy("periodEnd").collect()
+    assert all(a.periodEnd == b.periodStart and a.earningsAtEnd == b.earningsAtStart for a, b in zip(rows, rows[1:], strict=False))
+    for r in (rows[0], rows[len(rows) // 2], rows[-1]):
+        one = earnings_timeframe(ledger, r.periodEnd, "month").first()
+        assert (r.periodStart, r.earningsAtStart, r.earningsAtEnd, r.earnings) == (
+            one.periodStart, one.earningsAtStart, one.earningsAtEnd, one.earnings)
+    years = earnings_by_period(ledger, "year").collect()
+    assert sum(r.earnings for r in years) == pytest.approx(sum(r.earnings for r in rows), abs=1e-6)
+    assert sum(r.notesExcluded for r in rows) > 0
+
+
+def test_periods_by_hand(spark):
+    """One note of three instalments of 100 with 1 in fees, paid in January twice and in April."""
+    from decimal import Decimal
+
+    from notewise.sources.schema import ledger_schema
+
+    d = lambda x: Decimal(str(x))
+    line = lambda loan, grade, paid: ("Scheduled", loan, "A", "L", 0.0, grade, d(30), d(70), d(100), d(0), d(0), d(0), d(0), d(0),
+                                      d(100 if paid else 0), d(1), dt.date(2020, 1, 1), paid, "x")
+    rows = [line(1, "A", dt.date(2020, 1, 5)), line(1, "A", dt.date(2020, 1, 31)), line(1, "A", dt.date(2020, 4, 1)),
+            line(2, "A", None), line(None, None, dt.date(2020, 3, 1))]
+    ledger = spark.createDataFrame(rows, ledger_schema())
+    got = [(r.periodEnd, r.notesPaid, r.notesExcluded, r.earnings) for r in earnings_by_period(ledger).orderBy("periodEnd").collect()]
+    # Fees 3 and principal 300 come first, so nothing is earned; the note without a grade has no reserve.
+    assert got == [(dt.date(2020, 1, 31), 1, 0, 0.0), (dt.date(2020, 2, 29), 0, 0, 0.0),
+                   (dt.date(2020, 3, 31), 1, 1, 0.0), (dt.date(2020, 4, 30), 1, 0, 0.0)]
+    by = earnings_by_period(ledger, "quarter", by=["grade"]).collect()
+    assert sorted((str(r.grade), r.periodEnd.month, r.notesPaid) for r in by) == [("A", 3, 1), ("A", 6, 1), ("None", 3, 1), ("None", 6, 0)]
+    assert earnings_by_period(ledger.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        earnings_by_period(ledger, "week")
