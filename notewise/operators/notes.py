@@ -195,16 +195,16 @@ def rebuild_notes(
     return finish_notes(note_aggregate(ledger, as_of), grades, as_of)
 
 
-def note_aggregate(ledger: DataFrame, as_of: dict[str, Column] | None = None, keys=()) -> DataFrame:
+def note_aggregate(ledger: DataFrame, as_of: dict[str, Column] | None = None, keys=(), more=()) -> DataFrame:
     """The decomposable part of ``rebuild_notes``: one aggregate per note key (and the columns
-    ``keys``, for parts of a note that add up).
+    ``keys``, for parts of a note that add up), with the aggregates ``more`` beside it.
 
     Works on batch and streaming ledgers alike (count / sum / min only).
     """
     paid = {"all": is_paid()}
     for name, cond in (as_of or {}).items():
         paid[name] = is_paid() & cond
-    return ledger.groupBy(*NOTE_KEYS, *keys).agg(*_note_aggregates(paid))
+    return ledger.groupBy(*NOTE_KEYS, *keys).agg(*_note_aggregates(paid), *more)
 
 
 def _repaid(units: str) -> Column:

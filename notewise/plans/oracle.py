@@ -446,13 +446,13 @@ def dq_ledger_sql(ctes: str, source: str, corrupt: str = "") -> str:
         f"SELECT {_q(n)} AS rule, count(*) FILTER (WHERE {p}) AS violations FROM {source}" for n, p in rules.items())
 
 
-def transactions_sql(ctes: str) -> str:
+def transactions_sql(ctes: str, paid: str = "datePaid IS NOT NULL", notes: str = "true") -> str:
     return (f"{ctes}, txn AS (SELECT loanID, CAST(round(sum(totalPaid), 2) AS DOUBLE) AS totalPaid, "
-            "count(*) AS numPayments FROM ledger WHERE datePaid IS NOT NULL GROUP BY loanID) "
+            f"count(*) AS numPayments FROM ledger WHERE {paid} GROUP BY loanID) "
             f"SELECT {', '.join('n.' + k for k in KEYS.split(', '))}, cyclesTotal, principal, fees, profits, unitPayment, "
             "startDate, cyclesRemaining - coalesce(numPayments, 0) AS cyclesRemaining, badDebtFunds, "
             "amountRepayed + coalesce(t.totalPaid, 0.0) AS amountRepayed "
-            "FROM notes0 n LEFT JOIN txn t ON n.loanID = t.loanID")
+            f"FROM notes0 n LEFT JOIN txn t ON n.loanID = t.loanID WHERE {notes}")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -520,6 +520,12 @@ def oracle_sql() -> dict[str, str]:
         "earnings_by_quarter_and_grade": period_sql("quarter", "grade", faulty=True),
         "dq_report": dq_sql(),
         "analyzed_notes_stream": f"{a} SELECT {ANALYZED_COLS} FROM analyzed",
+        "portfolio_kpis_stream": kpis(faulty=True, by="grade"),
+        "stored_notes": transactions_sql(b, f"year(datePaid) <= {max(P.STORE_YEARS)}", f"n.loanID % {P.STORE_GAP} <> 0"),
+        "stored_notes_log": (f"{led} SELECT CAST(year(datePaid) AS VARCHAR) AS batchId, count(*) AS payments, "
+                             "CAST(sum(totalPaid) AS DOUBLE) AS amount, "
+                             f"count(*) FILTER (WHERE loanID % {P.STORE_GAP} = 0) AS unmatchedPayments "
+                             f"FROM ledger WHERE year(datePaid) <= {max(P.STORE_YEARS)} GROUP BY ALL"),
         "ledger_csv": f"""{led} SELECT * REPLACE ('The "Best", ' || company AS company) FROM ledger""",
         "ledger_titled": f"{led} SELECT " + ", ".join(f'{c} AS "{t}"' for t, c in TITLES.items()) + " FROM ledger",
         "dq_corrupt": dq_ledger_sql(corrupt, "read", "loanID % 29 = 0 OR loanID % 23 = 0"),

@@ -24,6 +24,8 @@ from notewise.session import checkpoint_dir
 from notewise.sources.derived import derive_ledger, edge_ledger, null_ledger
 from notewise.sources.dims import grade_dim
 from notewise.sources.ledger import normalise_titles, read_ledger, to_titles
+from notewise.sources.notestore import apply_payments, create_store, read_log, read_notes
+from notewise.streaming.kpis import kpis_at, start_kpi_stream
 from notewise.streaming.payments import compact_notes, start_note_stream
 
 # Parameters of the registered queries.
@@ -34,7 +36,11 @@ PROGRESS_GRADE = "C"
 TIMEFRAME_AS_OF = "2000-06-30"
 TIMEFRAME = "year"
 STREAM_BATCHES = 3
+STREAM_FILES = 64
 STREAM_FILE_ROWS = 2_000_000
+STORE_GAP = 19
+STORE_BUCKETS = 16
+STORE_YEARS = (1997, 1999, 1999)
 
 
 def analyzed_notes(ledger: DataFrame, cap_spillover: bool = False) -> DataFrame:
@@ -95,20 +101,56 @@ def _run_folder(spark, name):
     return f"{checkpoint_dir(spark).rstrip('/')}/notewise-{name}-{uuid.uuid4().hex}"
 
 
+def _stage_ledger(ledger, path):
+    """Write the ledger in ranges of due date and loan; files a micro-batch should take: a
+    third of the ranges, and never more than STREAM_FILES files of STREAM_FILE_ROWS rows."""
+    ranges = int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    staged = ledger.repartitionByRange(ranges, "dueDate", "loanID")
+    staged.write.option("maxRecordsPerFile", STREAM_FILE_ROWS).parquet(path)
+    return min(-(-ranges // STREAM_BATCHES), STREAM_FILES)
+
+
+def q_portfolio_kpis_stream(spark, sf_dir):
+    """The KPIs by grade after the ledger has gone by as a stream, from running totals."""
+    run = _run_folder(spark, "kpi-run")
+    files = _stage_ledger(_faulty(spark, sf_dir), f"{run}/ledger")
+    start_kpi_stream(spark, f"{run}/ledger", f"{run}/kpis", f"{run}/checkpoint", by=["grade"],
+                     max_files_per_trigger=files).awaitTermination()
+    return kpis_at(spark, f"{run}/kpis", TOTAL_FUNDS)
+
+
+def _filled_store(spark, sf_dir):
+    """A store of the notes (but those of every 19th loan) to which payments were applied by
+    year of payment: three years, then those and two more again, then all five once more."""
+    path = _run_folder(spark, "note-store")
+    ledger = _ledger(spark, sf_dir)
+    create_store(note_summary(ledger.where(F.col("loanID") % STORE_GAP != 0)), path, buckets=STORE_BUCKETS)
+    payments = ledger.withColumn("batchId", F.year("datePaid").cast("string"))
+    for last in STORE_YEARS:
+        apply_payments(spark, path, payments.where(F.col("batchId") <= str(last)))
+    return path
+
+
+def q_stored_notes(spark, sf_dir):
+    return read_notes(spark, _filled_store(spark, sf_dir))
+
+
+def q_stored_notes_log(spark, sf_dir):
+    return read_log(spark, _filled_store(spark, sf_dir))
+
+
 def q_analyzed_notes_stream(spark, sf_dir):
     """The analyzed notes computed incrementally: the derived ledger is staged under the
     shared checkpoint folder in ranges of due date and loan, as many files as the data
-    needs (a popular date spreads over several), and replayed as a stream in
-    STREAM_BATCHES micro-batches; the result is each note's newest version, compacted.
+    needs (a popular date spreads over several), and replayed as a stream of micro-batches
+    of a bounded number of files; the result is each note's newest version, compacted.
 
     A registered query leaves its run folder to the caller, who owns the shared folder.
     """
     run = _run_folder(spark, "stream-run")
-    staged = _ledger(spark, sf_dir).repartitionByRange("dueDate", "loanID")
-    staged.write.option("maxRecordsPerFile", STREAM_FILE_ROWS).parquet(f"{run}/ledger")
-    files = len(spark.read.parquet(f"{run}/ledger").inputFiles())
+    files = _stage_ledger(_ledger(spark, sf_dir), f"{run}/ledger")
     query = start_note_stream(spark, f"{run}/ledger", f"{run}/notes", checkpoint=f"{run}/checkpoint",
-                              max_files_per_trigger=-(-files // STREAM_BATCHES))
+                              max_files_per_trigger=files)
     query.awaitTermination()
     compact_notes(spark, f"{run}/notes", f"{run}/compacted")
     return spark.read.parquet(f"{run}/compacted")
@@ -206,6 +248,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "earnings_by_quarter_and_grade": lambda s, d: earnings_by_period(_faulty(s, d), "quarter", by=["grade"]),
     "dq_report": q_dq_report,
     "analyzed_notes_stream": q_analyzed_notes_stream,
+    "portfolio_kpis_stream": q_portfolio_kpis_stream,
+    "stored_notes": q_stored_notes,
+    "stored_notes_log": q_stored_notes_log,
     "ledger_csv": q_ledger_csv,
     "ledger_titled": q_ledger_titled,
     "dq_corrupt": q_dq_corrupt,
