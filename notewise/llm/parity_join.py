@@ -7,20 +7,34 @@ of the sum of their sizes.
 
 Sketch: every shingle flips one bit, so the Hamming distance of two sketches is at most the
 symmetric difference. Documents are put into size bands; the sketch of a band is cut into
-more parts than that difference can touch, so linked documents agree on some part whole. A
-document joins on its parts in its own band and, when its partner may be in the band below,
-in that one too. Parts on which very few shingles fall say little; a band has spare parts to
-make up for them, and a document that lacks more than the spare ones uses all its parts, so
-no link is lost. Candidates are verified on the exact shingle sets.
+more parts than that difference can touch, so linked documents agree on some part whole, and
+with ``spare`` more parts they agree on more than ``spare``. A document joins on its parts in
+its own band and, when its partner may be in the band below, in that one too.
+
+Parts that say little are left out without losing a link. A linked pair agrees on more than
+``spare`` parts, so on ``need`` = ``spare`` + 1 - empty ones that are not empty. A document with
+too many empty parts is cut into parts anew by another hash, up to ``LEVELS`` times. A set that
+shares fewer than ``need`` parts with any others has no link; every other one leaves out its
+most frequent parts, up to half of ``need``. As the order of parts is the same for all
+sets, the parts that either of a pair leaves out are the most frequent they agree on, and the
+pair still agrees on the other half. The same holds for heavy parts, those that more than
+``LIGHT`` sets share even then: a set leaves them out unless they are too many.
+
+Candidates: sets that agree on light parts are counted pair by pair (at most ``LIGHT`` partners
+for a set and part), and a pair is a candidate only when it agrees on as many parts as a link
+would leave. So two texts that share a passage and agree on a few parts by chance are none. Sets
+that keep heavy parts are joined to the smallest set of each, a star per part; two such sets are
+a candidate on light parts only where they agree on all that a link without heavy parts leaves.
 
 Scale: documents with the same set are one member (kept once per task before any shuffle,
-then once overall). Members that share a part are gathered in clusters: connected components
-of a star per part, one row a member and part, never all pairs. A small cluster is verified
-in one task. A large one is cut by size (linked sets differ by a tenth at most) and then into
+then once overall). Part keys are dealt out by key, sorted and read as a stream, so a key that
+very many sets share is never held at once. Connected components of candidates and stars are
+clusters, verified on the exact sets: a small cluster in one task; a large one (a family of very
+many copies) is cut by size (linked sets differ by a tenth at most) and then into
 blocks of bounded size, and a task compares two blocks: Hamming distances of whole sketches
 first, exact sets for every pair that is left, and it returns each member's number of links
 and edges that connect the linked members, two rows a member at most. So a family of copies,
-however large, is shared out among tasks, and no row is made per pair.
+however large, is shared out among tasks, and no row is made per pair of a family.
 
 Sets are 64-bit shingle hashes; members are identified by a 64-bit hash of their set.
 Null text has no words. Rows with a null doc_id take part and never name a component unless
@@ -29,12 +43,13 @@ all its rows are null. Repeated rows give one row each. Extra columns are ignore
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep_rows, materialise
@@ -45,13 +60,20 @@ SHINGLE = 3
 PERCENT = 90
 PART_BITS = 128
 BAND = 1.5
-#: Candidate ids up to this many (8 bytes each) are broadcast; beyond, the join shuffles.
-BROADCAST_IDS = 2_000_000
+#: A key shared by more sets than this is heavy.
+LIGHT = 256
+#: How often a document with too many empty parts is cut into parts anew.
+LEVELS = 4
+#: Digests of members up to this many (8 bytes each) are broadcast to skip all other texts
+#: before the shuffle; beyond, all texts are shuffled.
+BROADCAST_IDS = 1 << 20
 #: What one side of a comparison task holds at most: members, and shingles of all of them.
 BLOCK_MEMBERS = 512
 BLOCK_GRAMS = 1 << 20
 #: Shingles of one matrix product.
 _SLICE = 1 << 13
+#: Pairs that a task holds before it adds up equal ones.
+_PAIRS = 1 << 19
 
 
 def _digest() -> Column:
@@ -70,7 +92,7 @@ def bands(percent: int = PERCENT, largest: int = 1 << 31) -> list[tuple[int, int
     while lo <= largest:
         hi = max(lo, int(lo * BAND) - 1)
         differ = (hi + hi * 100 // percent) * (100 - percent) // (100 + percent)
-        spare = max(1, differ // 16) if differ else 0
+        spare = max(1, differ // 2) if differ else 0
         out.append((lo, hi, differ + 1 + spare if differ else 0, spare))
         lo = hi + 1
     return out
@@ -106,24 +128,33 @@ def signature(found: np.ndarray) -> int:
         return int(mix(np.array([total ^ np.bitwise_xor.reduce(mix(found, 2))], np.uint64))[0].astype(np.int64))
 
 
-def part_keys(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Join keys of a set: a hash of (band, part, bits) for every part that it uses."""
-    out = []
+def part_keys(found: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every part that a set uses: join key (a hash of band, level, part and bits), place (band
+    and level), and need: how many light parts at least a linked set agrees on there, when
+    this one has no heavy parts (0: it may agree on none)."""
+    keys, places, needs = [], [], []
     for j in _bands_of(len(found), percent):
         _, _, parts, spare = bands(percent)[j]
-        h = mix(found, 100 + j)
-        part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        cell = (part * np.uint64(PART_BITS) + (h & np.uint64(PART_BITS - 1))).astype(np.int64)
-        fill = np.bincount(part.astype(np.int64), minlength=parts)
-        bits = (np.bincount(cell, minlength=parts * PART_BITS) & 1).astype(np.uint8).reshape(parts, PART_BITS)
-        sketch = np.packbits(bits, axis=1).view(np.uint64)
-        label = np.arange(parts, dtype=np.uint64) + np.uint64(j << 40)
-        keys = mix(sketch[:, 0] ^ mix(sketch[:, 1] ^ mix(label, 3), 4), 5)
-        weak = fill <= (2 if len(found) >= 6 * parts else 0)
-        if weak.sum() <= spare:
-            keys = keys[~weak]
-        out.append(keys)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        for level in range(LEVELS):
+            h = mix(found, 100 + j + 1000 * level)
+            part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            cell = (part * np.uint64(PART_BITS) + (h & np.uint64(PART_BITS - 1))).astype(np.int64)
+            used = np.bincount(part.astype(np.int64), minlength=parts) > 0
+            bits = (np.bincount(cell, minlength=parts * PART_BITS) & 1).astype(np.uint8).reshape(parts, PART_BITS)
+            sketch = np.packbits(bits, axis=1).view(np.uint64)
+            label = np.arange(parts, dtype=np.uint64) + np.uint64((j * LEVELS + level) << 40)
+            key = mix(sketch[:, 0] ^ mix(sketch[:, 1] ^ mix(label, 3), 4), 5)
+            empty = parts - int(used.sum())
+            if empty <= spare or level < LEVELS - 1:
+                key = key[used]
+            keys.append(key)
+            places.append(np.full(len(key), j * LEVELS + level))
+            needs.append(np.full(len(key), max(0, 1 + spare - empty)))
+            if empty <= spare:
+                break
+    if not keys:
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
+    return np.concatenate(keys), np.concatenate(places), np.concatenate(needs)
 
 
 def _sets(batches, lower: bool, size: int):
@@ -136,28 +167,192 @@ def _sets(batches, lower: bool, size: int):
         yield batch, found
 
 
-def _describe(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, digest (of the text), n, sig, keys of every row; the keys of a set come once per task."""
+def _describe(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, digest (of the text), n, sig of every row."""
 
     def run(batches):
-        seen: set[int] = set()
         for batch, found in _sets(batches, True, size):
-            sigs = [signature(f) for f in found]
-            keys = []
-            for sig, f in zip(sigs, found, strict=True):
-                new = len(f) > 0 and sig not in seen
-                seen.add(sig)
-                keys.append(part_keys(f, percent).view(np.int64) if new else np.zeros(0, np.int64))
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("digest"), pa.array([len(f) for f in found], pa.int64()),
-                 pa.array(sigs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc_id", "digest", "n", "sig", "keys"])
+                 pa.array([signature(f) for f in found], pa.int64())], names=["doc_id", "digest", "n", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", _digest().alias("digest")).mapInArrow(
-        run, f"doc_id {kind}, digest long, n long, sig long, keys array<long>")
+    return docs.select("doc_id", "text", _digest().alias("digest")).mapInArrow(run, f"doc_id {kind}, digest long, n long, sig long")
+
+
+def _parts(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """key, sig, info (size, need and place of the set) of every part; a set comes once per task."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for _, found in _sets(batches, True, size):
+            out = [[], [], []]
+            for f in found:
+                sig = signature(f)
+                if len(f) and sig not in seen:
+                    seen.add(sig)
+                    key, place, need = part_keys(f, percent)
+                    out[0].append(key.view(np.int64))
+                    out[1].append(np.full(len(key), sig))
+                    out[2].append(np.int64(len(f) << 24) + (np.minimum(need, 0xFFFF) << 8) + place)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["key", "sig", "info"])
+
+    return docs.select("text").mapInArrow(run, "key long, sig long, info long")
+
+
+_MET = "a long, b long, key long, place int, need int, need_b int, n long"
+
+
+def _met_batch(a, b, key, place, need, need_b, n) -> pa.RecordBatch:
+    columns = (a, b, key, place, need, need_b, n)
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.int64()]
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(len(a), t) if c is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+        names=["a", "b", "key", "place", "need", "need_b", "n"])
+
+
+def _added(pairs: list[tuple]) -> pa.RecordBatch:
+    """Equal pairs (a, b, place, need, need_b) with their number."""
+    a, b, place, need, need_b = (np.concatenate(c) for c in zip(*pairs, strict=True))
+    order = np.lexsort((place, b, a))
+    a, b, place = a[order], b[order], place[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (place[1:] != place[:-1])
+    at = np.flatnonzero(new)
+    return _met_batch(a[at], b[at], None, place[at], need[order][at], need_b[order][at], np.diff(np.append(at, len(a))))
+
+
+def _agreeing(key: np.ndarray, sig: np.ndarray, info: np.ndarray, percent: int, light: int) -> tuple[np.ndarray, ...]:
+    """a, b, place and both needs of all pairs within groups of equal keys whose sizes may link; a is
+    the one with the larger need."""
+    size, need, place = info >> 24, (info >> 8) & 0xFFFF, info & 0xFF
+    first = _starts(percent)
+    left, right = [], []
+    for step in range(1, light):
+        at = np.flatnonzero(key[step:] == key[:len(key) - step])
+        if not len(at):
+            break
+        left.append(at)
+        right.append(at + step)
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    # Only in the smaller one's band, and only where one of the two may leave out its empty parts.
+    good = (place[i] == place[j]) & (100 * small >= percent * large)
+    good &= np.searchsorted(first, small, "right") - 1 == place[i] // LEVELS
+    good &= (need[i] > 0) | (need[j] > 0) | (place[i] % LEVELS == LEVELS - 1)
+    i, j = i[good], j[good]
+    swap = (need[i] < need[j]) | ((need[i] == need[j]) & (sig[i] > sig[j]))
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    return sig[i], sig[j], place[i], need[i], need[j]
+
+
+def _by_key(batches, light: int):
+    """Rows (key, sig, info) sorted by key and sig, as a stream of (rows, sizes): whole groups of 2 to
+    ``light`` sets with the size of each row's group, and rows of larger groups with size 0."""
+    held, hot = np.zeros((3, 0), np.int64), None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held = np.concatenate([held, np.array([batch.column(c).to_numpy() for c in ("key", "sig", "info")], np.int64)], axis=1)
+            new = np.ones(held.shape[1], bool)  # a set met by several tasks is one
+            new[1:] = (held[0, 1:] != held[0, :-1]) | (held[1, 1:] != held[1, :-1])
+            held = held[:, new]
+        if hot is not None and held.shape[1]:  # more of a key whose first rows have been returned
+            other = np.flatnonzero(held[0] != hot[0])
+            more = int(other[0]) if len(other) else held.shape[1]
+            rest = held[:, :more][:, held[1, :more] != hot[1]]
+            if rest.shape[1]:
+                yield rest, np.zeros(rest.shape[1], np.int64)
+                hot = (hot[0], rest[1, -1])
+            held = held[:, more:]
+            if held.shape[1]:
+                hot = None
+        if not held.shape[1]:
+            continue
+        starts = np.flatnonzero(np.append(True, held[0, 1:] != held[0, :-1]))
+        sizes = np.diff(np.append(starts, held.shape[1]))
+        cut = held.shape[1]
+        if batch is not None and sizes[-1] <= light:  # the last key may go on
+            cut, sizes = starts[-1], sizes[:-1]
+        elif batch is not None:
+            hot = (held[0, -1], held[1, -1])
+        size = np.repeat(sizes, sizes)
+        shared = size > 1
+        if shared.any():
+            yield held[:, :cut][:, shared], np.where(size > light, 0, size)[shared]
+        held = held[:, cut:]
+
+
+def _shared(light: int):
+    """(sig, place, need, key, info, often) of the keys that several sets share; often is the number of
+    sets, or ``light`` + 1 when there are more."""
+
+    def run(batches):
+        for (key, sig, info), size in _by_key(batches, light):
+            columns = (sig, info & 0xFF, (info >> 8) & 0xFFFF, key, info, np.where(size, size, light + 1))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                                             names=["sig", "place", "need", "key", "info", "often"])
+
+    return run
+
+
+def _meet(percent: int, light: int):
+    """Rows of _MET: of light keys the pairs (a, b) with the number of keys they agree on, of heavy keys
+    each set (a, null, key)."""
+
+    def run(batches):
+        pairs, n_pairs = [], 0
+        for rows, size in _by_key(batches, light):
+            if (size == 0).any():
+                key, sig, info = rows[:, size == 0]
+                yield _met_batch(sig, None, key, info & 0xFF, (info >> 8) & 0xFFFF, None, np.ones(len(sig), np.int64))
+            pairs.append(_agreeing(*rows[:, size > 0], percent, light))
+            n_pairs += len(pairs[-1][0])
+            if n_pairs > _PAIRS:
+                yield _added(pairs)
+                pairs, n_pairs = [], 0
+        if n_pairs:
+            yield _added(pairs)
+
+    return run
+
+
+def _candidates(docs: DataFrame, size: int, percent: int, light: int = LIGHT) -> DataFrame:
+    """Edges (u, v) that connect all sets that may link (and some that do not)."""
+    dealt = lambda rows: rows.repartition("key").sortWithinPartitions("key", "sig")
+    shared = dealt(_parts(docs, size, percent)).mapInArrow(
+        _shared(light), "sig long, place int, need int, key long, info long, often int")
+    # A set that shares fewer parts than a link leaves has no link. Of the others each leaves out its
+    # most frequent parts, half as many as it may; a linked pair then still agrees on the rest of need.
+    own = Window.partitionBy("sig", "place")
+    spared = F.greatest(F.lit(0), F.floor((F.col("need") - 1) / 2)).cast("long")
+    kept = (shared.repartition("sig").withColumns({"have": F.count(F.lit(1)).over(own),
+                                                   "turn": F.row_number().over(own.orderBy(F.col("often").desc(), "key"))})
+            .where((F.col("have") >= F.col("need")) & (F.col("turn") > spared))
+            .select("key", "sig", (F.col("info") - F.shiftleft(spared, 8)).alias("info")))
+    met = dealt(kept).mapInArrow(_meet(percent, light), _MET)
+    # One exchange, by a: pairs of a set, and how many heavy parts it has in a place.
+    of_a = Window.partitionBy("a", "place")
+    added = (met.repartition("a").groupBy("a", "place", "b", "key")
+             .agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.max("need_b").alias("need_b"))
+             .withColumn("heavy", F.coalesce(F.sum(F.when(F.col("b").isNull(), F.col("n"))).over(of_a), F.lit(0))))
+    # A set that leaves out its heavy parts agrees on at least need - heavy light ones with a linked set.
+    keeps = F.col("heavy") >= F.col("need")
+    enough = F.col("n") >= F.greatest(F.lit(1), F.col("need") - F.col("heavy"))
+    added = materialise(added.where(F.col("b").isNull() | keeps | enough).withColumn("keeps", keeps))
+    # Of two that keep theirs, some heavy part joins the pair, or it agrees on light ones alone.
+    heavy = (added.where("b is null").groupBy(F.col("a").alias("h_b"), F.col("place").alias("h_place"))
+             .agg(F.max("heavy").alias("heavy_b")))
+    both = (added.where("b is not null and keeps").join(heavy, (F.col("b") == F.col("h_b")) & (F.col("place") == F.col("h_place")), "left")
+            .withColumn("heavy_b", F.coalesce("heavy_b", F.lit(0)))
+            .where(F.col("n") >= F.greatest(F.lit(1), F.when(F.col("heavy_b") >= F.col("need_b"), F.col("need"))
+                                            .otherwise(F.col("need_b") - F.col("heavy_b")))))
+    pairs = added.where("b is not null and not keeps").select("a", "b").unionByName(both.select("a", "b"))
+    stars = added.where("b is null and keeps").select("key", "a").distinct()
+    lowest = stars.groupBy("key").agg(F.min("a").alias("v")).select(F.col("key").alias("l_key"), "v")
+    stars = stars.join(lowest, F.col("key") == F.col("l_key")).where("a <> v").select(F.col("a").alias("u"), "v").distinct()
+    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(stars)
 
 
 def _common(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -231,26 +426,24 @@ def smallest_reached(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarr
         label = new
 
 
-def _links(docs: DataFrame, shared: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, candidates: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Of the verified links: edges (u, v) enough to join all members that links connect, and
     rows (u, null, rows) that add up to the number of rows that u's set links with.
 
-    ``shared`` is (key, sig), the members of every part that several members share;
-    ``members`` is (sig, doc_id, n, copies), copies being the number of rows with the set.
+    ``candidates`` are edges (u, v); ``classes`` is (sig, least, n, copies), copies being the number
+    of rows with the set.
     """
-    lowest = shared.groupBy("key").agg(F.min("sig").alias("v")).select(F.col("key").alias("l_key"), "v")
-    stars = (shared.join(lowest, F.col("key") == F.col("l_key")).where("sig <> v")
-             .select(F.col("sig").alias("u"), "v").distinct())
-    clusters = connected_components(stars).select(F.col("node").alias("c_sig"), F.col("component").alias("cluster"))
+    clusters = connected_components(candidates).select(F.col("node").alias("c_sig"), F.col("component").alias("cluster"))
+    members = classes.select("sig", F.col("least.doc_id").alias("doc_id"), F.col("least.digest").alias("digest"), "n", "copies")
     # Size classes: linked sets are in the same class or in neighbouring ones.
     step = math.log(100 / percent) * 1.001
     found = (members.join(clusters, F.col("sig") == F.col("c_sig"))
-             .select("sig", "doc_id", "n", "copies", "cluster", F.floor(F.log("n") / F.lit(step)).alias("class")))
+             .select("sig", "doc_id", "digest", "n", "copies", "cluster", F.floor(F.log("n") / F.lit(step)).alias("class")))
     total = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("c_n"), F.sum("n").alias("c_grams")).select(
         F.col("cluster").alias("t_cluster"), ((F.col("c_n") <= BLOCK_MEMBERS) & (F.col("c_grams") <= BLOCK_GRAMS)).alias("small"))
     found = materialise(found.join(total, F.col("cluster") == F.col("t_cluster"))
                         .withColumn("class", F.when(F.col("small"), F.lit(0)).otherwise(F.col("class")))
-                        .select("sig", "doc_id", "cluster", "class", "n", "copies"))
+                        .select("sig", "doc_id", "digest", "cluster", "class", "n", "copies"))
     blocks = found.groupBy("cluster", "class").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_MEMBERS)), F.ceil(F.sum("n") / F.lit(BLOCK_GRAMS))).alias("blocks"))
     near = lambda k, name: blocks.select(F.col("cluster").alias(f"{name}_c"), (F.col("class") - k).alias(f"{name}_k"),
@@ -260,18 +453,29 @@ def _links(docs: DataFrame, shared: DataFrame, members: DataFrame, size: int, pe
         grid = grid.join(near(k, name), (F.col("cluster") == F.col(f"{name}_c")) & (F.col("class") == F.col(f"{name}_k")), "left")
     grid = grid.select(F.col("cluster").alias("g_c"), F.col("class").alias("g_k"), "blocks", "above", "below")
     wanted = (found.join(grid, (F.col("cluster") == F.col("g_c")) & (F.col("class") == F.col("g_k")))
-              .select("sig", F.col("doc_id").alias("m_id"), "copies", "cluster", "class", "blocks", "above", "below"))
+              .select("sig", F.col("doc_id").alias("m_id"), F.col("digest").alias("m_digest"), "copies", "cluster", "class", "blocks", "above", "below"))
 
     def sets(batches):
+        seen: set[int] = set()
         for batch, grams in _sets(batches, True, size):
+            new = []  # rows that repeat are the same member
+            for k, sig in enumerate(batch.column("sig").to_pylist()):
+                if sig not in seen:
+                    seen.add(sig)
+                    new.append(k)
+            batch, grams = batch.take(pa.array(new, pa.int64())), [grams[k] for k in new]
             same = pa.array([signature(f) for f in grams], pa.int64())
             columns = [batch.column(c) for c in ("sig", "copies", "cluster", "class", "blocks", "above", "below")]
             yield pa.RecordBatch.from_arrays(
                 [*columns, same, pa.array([f.view(np.int64) for f in grams], pa.list_(pa.int64()))],
                 names=["sig", "copies", "cluster", "class", "blocks", "above", "below", "same", "grams"])
 
-    wanted = F.broadcast(wanted) if found.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("m_id"))).drop("doc_id", "m_id")
+    texts = docs.select("doc_id", _digest().alias("digest"), "text")
+    if found.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(found.select("digest").distinct()), "digest", "left_semi")
+    # The digest is in the key: rows that share a doc_id (or have none) are spread.
+    same_row = (F.col("digest") == F.col("m_digest")) & F.col("doc_id").eqNullSafe(F.col("m_id"))
+    texts = texts.join(wanted.hint("shuffle_hash"), same_row).drop("doc_id", "m_id", "digest", "m_digest")
     rows = texts.mapInArrow(sets, "sig long, copies long, cluster long, class long, blocks long, above long, below long, "
                                   "same long, grams array<long>").where("sig = same")
     block = F.pmod(F.xxhash64("sig"), F.col("blocks"))
@@ -312,20 +516,12 @@ def _links(docs: DataFrame, shared: DataFrame, members: DataFrame, size: int, pe
 def _sets_with_components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The described rows; and per set that is not empty: sig, component, doc_id, n_links (of
     each row with the set) and ``least``, the row (null, doc_id, digest) of the set that comes first."""
-    described = materialise(_describe(docs, size, percent))
-    # Parts that several members share. A key counted twice may be one set met by two tasks.
-    rows = described.select("sig", F.explode("keys").alias("key"))
-    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    met = materialise(rows.join(often, "key", "left_semi").select("key", "sig").distinct())
-    several = met.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("key")
-    shared = materialise(met.join(several, "key", "left_semi"))
-
+    described = materialise(_describe(docs, size))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
     classes = (described.where("n > 0").groupBy("sig").agg(least.alias("least"), F.max("n").alias("n"),
                                                               F.count(F.lit(1)).alias("copies"))
                .select("sig", F.col("least.doc_id").alias("doc_id"), "n", "copies", "least"))
-    members = shared.select("sig").distinct().join(classes.drop("least"), "sig")
-    links = materialise(_links(docs, shared, members, size, percent))
+    links = materialise(_links(docs, _candidates(docs, size, percent), classes, size, percent))
     joined = connected_components(links.where("v is not null").select("u", "v")).select(
         F.col("node").alias("sig"), "component")
     met = links.where("v is null").groupBy(F.col("u").alias("sig")).agg(F.sum("rows").alias("met"))

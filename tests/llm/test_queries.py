@@ -4,9 +4,10 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from notewise.llm import bpe, exact_dedup, oracle, parity_join, queries, toxicity
+from notewise.llm import bpe, exact_dedup, oracle, queries, toxicity
 from notewise.llm.common import read_table
 from oracle_check import TABLES, compare
+from test_whole_job import _groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,9 +57,10 @@ def test_pipeline_stage_by_stage(spark):
                 best[key] = max(i, best.get(key, i))
             assert sorted(ids) == sorted(best.values())
         elif name == "near_dedup":
-            keep = {r.doc_id for r in parity_join.components(spark.createDataFrame(
-                list(before.items()), "doc_id long, text string")).collect() if r.doc_id == r.component_id}
-            assert sorted(ids) == sorted(keep)
+            texts = list(before.items())
+            group = _groups(texts, corpus_pipeline.NEAR_SHINGLE, corpus_pipeline.NEAR_PERCENT)
+            keep = {g: min(i for (i, _), h in zip(texts, group, strict=True) if h == g) for g in set(group)}
+            assert sorted(ids) == sorted(keep.values()) and len(ids) < len(before)
         elif name == "source_mix":
             assert set(ids) <= set(before) and max(ids.count(i) for i in set(ids)) <= 2
         else:

@@ -1,5 +1,6 @@
 """Cases that earlier versions of the corpus operators cut short, against plain computations."""
 
+import functools
 import hashlib
 import random
 import re
@@ -111,3 +112,46 @@ def test_number_of_links_of_each_row(make_docs, monkeypatch, members):
     got = parity_join.components_and_links(make_docs(rows)).collect()
     assert sorted((str(r.doc_id), r.n_links) for r in got) == sorted((str(i), k) for (i, _), k in zip(rows, links, strict=True))
     assert max(links) > 10
+
+
+@pytest.mark.parametrize("light", [2, 6, 256])
+@pytest.mark.parametrize("size, percent", [(5, 80), (3, 90)])
+def test_frequent_parts_lose_no_link(make_docs, monkeypatch, light, size, percent):
+    """Families, shared passages and short texts; small bounds make most shared parts heavy."""
+    monkeypatch.setattr(parity_join, "_candidates", functools.partial(parity_join._candidates, light=light))
+    rng = random.Random(light + size)
+    passages = [[f"p{k}x{i}" for i in range(60)] for k in range(4)]
+    texts = []
+    for k in range(14):
+        own = [f"o{k}x{rng.randrange(200)}" for _ in range(rng.choice([4, 8, 20, 60, 150]))]
+        base = own + rng.choice(passages) + (rng.choice(passages) if k % 3 else [])
+        base = base if k % 4 else own
+        for _ in range(rng.choice([1, 3, 12])):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(words) // 25))):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(6)}"
+            texts.append(" ".join(words[:rng.randint(max(1, len(words) - 6), len(words))]))
+    rows = list(enumerate(texts))
+    group = _groups(rows, size, percent)
+    first = {g: min(i for (i, _), h in zip(rows, group, strict=True) if h == g) for g in set(group)}
+    got = {r.doc_id: r.component_id for r in parity_join.components(make_docs(rows), size, percent).collect()}
+    assert got == {i: first[g] for (i, _), g in zip(rows, group, strict=True)}
+    assert 20 < len(set(group)) < len(rows) if percent == 90 else len(set(group)) < len(rows)
+
+
+def test_rows_without_ids_are_read_once(spark, make_docs, monkeypatch):
+    """Near copies without doc_id meet their members by digest: one row each, not the square of them."""
+    base = [f"w{k}" for k in range(120)]
+    rows = [(None, " ".join([*base[:k % 100], f"x{k}", *base[k % 100:]])) for k in range(600)] + [(None, "again " * 20)] * 300
+    read = spark.sparkContext.accumulator(0)
+    sets = parity_join._sets
+
+    def counting(batches, lower, size):
+        for batch, grams in sets(batches, lower, size):
+            read.add(len(grams))
+            yield batch, grams
+
+    monkeypatch.setattr(parity_join, "_sets", counting)
+    got = parity_join.components_and_links(make_docs(rows)).collect()
+    assert len(got) == 900 and read.value <= 8 * 900
+    assert max(r.n_links for r in got) >= 299
