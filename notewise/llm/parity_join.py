@@ -11,20 +11,20 @@ more parts than that difference can touch, so linked documents agree on some par
 with ``spare`` more parts they agree on more than ``spare``. A document joins on its parts in
 its own band and, when its partner may be in the band below, in that one too.
 
-Parts that say little are left out without losing a link. A linked pair agrees on more than
-``spare`` parts, so on ``need`` = ``spare`` + 1 - empty ones that are not empty. A document with
-too many empty parts is cut into parts anew by another hash, up to ``LEVELS`` times. A set that
-shares fewer than ``need`` parts with any others has no link; every other one leaves out its
-most frequent parts, up to half of ``need``. As the order of parts is the same for all
-sets, the parts that either of a pair leaves out are the most frequent they agree on, and the
-pair still agrees on the other half. The same holds for heavy parts, those that more than
-``LIGHT`` sets share even then: a set leaves them out unless they are too many.
+Parts that say little are left out without losing a link. A set agrees with a linked one on all
+parts but as many as the two may differ in, so on ``need`` parts at least that are not empty,
+``need`` being what its size and its empty parts leave of them. A document with too many empty parts is cut into parts anew by another hash, up to ``LEVELS`` times. Every set
+leaves out its most frequent parts, three quarters of ``need``. As the order of parts is the
+same for all sets, what either of a pair leaves out are the most frequent parts they agree on, so
+the pair still agrees on ``need`` less the larger of the two numbers. Parts that more than
+``LIGHT`` sets share are heavy.
 
 Candidates: sets that agree on light parts are counted pair by pair (at most ``LIGHT`` partners
-for a set and part), and a pair is a candidate only when it agrees on as many parts as a link
-would leave. So two texts that share a passage and agree on a few parts by chance are none. Sets
-that keep heavy parts are joined to the smallest set of each, a star per part; two such sets are
-a candidate on light parts only where they agree on all that a link without heavy parts leaves.
+for a set and part), and a pair is a candidate only when it agrees on as many as a link would
+leave. So two texts that share a passage and agree on a few parts by chance are none, and a set
+that has fewer light parts left is not even paired. Sets that have heavy parts left are joined
+to the smallest set of each, a star per part: two linked sets share such a part, or agree on
+light ones alone.
 
 Scale: documents with the same set are one member (kept once per task before any shuffle,
 then once overall). Part keys are dealt out by key, sorted and read as a stream, so a key that
@@ -110,6 +110,11 @@ def _bands_of(n: int, percent: int) -> list[int]:
     return [j for j in out if table[j][2]]
 
 
+@lru_cache(maxsize=4)
+def _ends(percent: int) -> np.ndarray:
+    return np.array([b[1] for b in bands(percent)])
+
+
 @lru_cache(maxsize=4)
 def _starts(percent: int) -> np.ndarray:
     return np.array([b[0] for b in bands(percent)])
@@ -128,13 +133,20 @@ def signature(found: np.ndarray) -> int:
         return int(mix(np.array([total ^ np.bitwise_xor.reduce(mix(found, 2))], np.uint64))[0].astype(np.int64))
 
 
+def _differ(size, place, percent: int):
+    """By how many shingles a set of this size and a linked one of the place's band differ at most."""
+    own = np.searchsorted(_starts(percent), size, "right") - 1 == place // LEVELS
+    partner = np.where(own, size * 100 // percent, _ends(percent)[place // LEVELS])
+    return (size + partner) * (100 - percent) // (100 + percent)
+
+
 def part_keys(found: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every part that a set uses: join key (a hash of band, level, part and bits), place (band
     and level), and need: how many light parts at least a linked set agrees on there, when
     this one has no heavy parts (0: it may agree on none)."""
     keys, places, needs = [], [], []
     for j in _bands_of(len(found), percent):
-        _, _, parts, spare = bands(percent)[j]
+        parts = bands(percent)[j][2]
         for level in range(LEVELS):
             h = mix(found, 100 + j + 1000 * level)
             part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
@@ -144,13 +156,13 @@ def part_keys(found: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np
             sketch = np.packbits(bits, axis=1).view(np.uint64)
             label = np.arange(parts, dtype=np.uint64) + np.uint64((j * LEVELS + level) << 40)
             key = mix(sketch[:, 0] ^ mix(sketch[:, 1] ^ mix(label, 3), 4), 5)
-            empty = parts - int(used.sum())
-            if empty <= spare or level < LEVELS - 1:
+            need = max(0, int(used.sum() - _differ(len(found), j * LEVELS + level, percent)))
+            if need or level < LEVELS - 1:
                 key = key[used]
             keys.append(key)
             places.append(np.full(len(key), j * LEVELS + level))
-            needs.append(np.full(len(key), max(0, 1 + spare - empty)))
-            if empty <= spare:
+            needs.append(np.full(len(key), need))
+            if need:
                 break
     if not keys:
         return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
@@ -180,8 +192,17 @@ def _describe(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text", _digest().alias("digest")).mapInArrow(run, f"doc_id {kind}, digest long, n long, sig long")
 
 
+_MOST = (1 << 12) - 1
+
+
+def _info(size, need, spared, place):
+    """Size of a set and, in one place, its need (at most _MOST), the number of parts it has left
+    out, and the place, in one number."""
+    return (np.int64(size) << 32) + (need << 20) + (np.int64(spared) << 8) + place
+
+
 def _parts(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """key, sig, info (size, need and place of the set) of every part; a set comes once per task."""
+    """key, sig, info of every part; a set comes once per task."""
 
     def run(batches):
         seen: set[int] = set()
@@ -194,40 +215,33 @@ def _parts(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     key, place, need = part_keys(f, percent)
                     out[0].append(key.view(np.int64))
                     out[1].append(np.full(len(key), sig))
-                    out[2].append(np.int64(len(f) << 24) + (np.minimum(need, 0xFFFF) << 8) + place)
+                    out[2].append(_info(len(f), np.minimum(need, _MOST), 0, place))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["key", "sig", "info"])
 
     return docs.select("text").mapInArrow(run, "key long, sig long, info long")
 
 
-_MET = "a long, b long, key long, place int, need int, need_b int, n long"
-
-
-def _met_batch(a, b, key, place, need, need_b, n) -> pa.RecordBatch:
-    columns = (a, b, key, place, need, need_b, n)
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.int64()]
-    return pa.RecordBatch.from_arrays(
-        [pa.nulls(len(a), t) if c is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-        names=["a", "b", "key", "place", "need", "need_b", "n"])
+_MET = "a long, b long, place int, need int, n long"
 
 
 def _added(pairs: list[tuple]) -> pa.RecordBatch:
-    """Equal pairs (a, b, place, need, need_b) with their number."""
-    a, b, place, need, need_b = (np.concatenate(c) for c in zip(*pairs, strict=True))
+    """Equal pairs (a, b, place, need) with their number."""
+    a, b, place, need = (np.concatenate(c) for c in zip(*pairs, strict=True))
     order = np.lexsort((place, b, a))
     a, b, place = a[order], b[order], place[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (place[1:] != place[:-1])
     at = np.flatnonzero(new)
-    return _met_batch(a[at], b[at], None, place[at], need[order][at], need_b[order][at], np.diff(np.append(at, len(a))))
+    columns = (a[at], b[at], place[at], need[order][at], np.diff(np.append(at, len(a))))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 2, *[pa.int32()] * 2, pa.int64()), strict=True)],
+                                      names=["a", "b", "place", "need", "n"])
 
 
 def _agreeing(key: np.ndarray, sig: np.ndarray, info: np.ndarray, percent: int, light: int) -> tuple[np.ndarray, ...]:
-    """a, b, place and both needs of all pairs within groups of equal keys whose sizes may link; a is
-    the one with the larger need."""
-    size, need, place = info >> 24, (info >> 8) & 0xFFFF, info & 0xFF
-    first = _starts(percent)
+    """a < b, place and needed number of light parts of all pairs within groups of equal keys whose
+    sizes may link."""
+    size, need, spared, place = info >> 32, (info >> 20) & _MOST, (info >> 8) & _MOST, info & 0xFF
     left, right = [], []
     for step in range(1, light):
         at = np.flatnonzero(key[step:] == key[:len(key) - step])
@@ -239,12 +253,13 @@ def _agreeing(key: np.ndarray, sig: np.ndarray, info: np.ndarray, percent: int,
     small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
     # Only in the smaller one's band, and only where one of the two may leave out its empty parts.
     good = (place[i] == place[j]) & (100 * small >= percent * large)
-    good &= np.searchsorted(first, small, "right") - 1 == place[i] // LEVELS
+    good &= np.searchsorted(_starts(percent), small, "right") - 1 == place[i] // LEVELS
     good &= (need[i] > 0) | (need[j] > 0) | (place[i] % LEVELS == LEVELS - 1)
-    i, j = i[good], j[good]
-    swap = (need[i] < need[j]) | ((need[i] == need[j]) & (sig[i] > sig[j]))
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    return sig[i], sig[j], place[i], need[i], need[j]
+    i, j = i[good], j[good]  # rows of a group are sorted by sig
+    # The bound of each, with the pair's own sizes in place of the largest partner's.
+    differ = (size[i] + size[j]) * (100 - percent) // (100 + percent)
+    bound = [need[k] + np.where(need[k] > 0, np.maximum(0, _differ(size[k], place[k], percent) - differ), 0) for k in (i, j)]
+    return sig[i], sig[j], place[i], np.maximum(1, np.maximum(*bound) - np.maximum(spared[i], spared[j]))
 
 
 def _by_key(batches, light: int):
@@ -289,7 +304,7 @@ def _shared(light: int):
 
     def run(batches):
         for (key, sig, info), size in _by_key(batches, light):
-            columns = (sig, info & 0xFF, (info >> 8) & 0xFFFF, key, info, np.where(size, size, light + 1))
+            columns = (sig, info & 0xFF, (info >> 20) & _MOST, key, info, np.where(size, size, light + 1))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
                                              names=["sig", "place", "need", "key", "info", "often"])
@@ -298,16 +313,12 @@ def _shared(light: int):
 
 
 def _meet(percent: int, light: int):
-    """Rows of _MET: of light keys the pairs (a, b) with the number of keys they agree on, of heavy keys
-    each set (a, null, key)."""
+    """Pairs of sets (a, b) in a place, with the number of keys that they agree on."""
 
     def run(batches):
         pairs, n_pairs = [], 0
-        for rows, size in _by_key(batches, light):
-            if (size == 0).any():
-                key, sig, info = rows[:, size == 0]
-                yield _met_batch(sig, None, key, info & 0xFF, (info >> 8) & 0xFFFF, None, np.ones(len(sig), np.int64))
-            pairs.append(_agreeing(*rows[:, size > 0], percent, light))
+        for rows, _ in _by_key(batches, light):  # light keys: no group is larger
+            pairs.append(_agreeing(*rows, percent, light))
             n_pairs += len(pairs[-1][0])
             if n_pairs > _PAIRS:
                 yield _added(pairs)
@@ -323,36 +334,27 @@ def _candidates(docs: DataFrame, size: int, percent: int, light: int = LIGHT) ->
     dealt = lambda rows: rows.repartition("key").sortWithinPartitions("key", "sig")
     shared = dealt(_parts(docs, size, percent)).mapInArrow(
         _shared(light), "sig long, place int, need int, key long, info long, often int")
-    # A set that shares fewer parts than a link leaves has no link. Of the others each leaves out its
-    # most frequent parts, half as many as it may; a linked pair then still agrees on the rest of need.
+    # A set leaves out its most frequent parts, three quarters of as many as it may. What is left of
+    # a linked pair's agreement is need less these.
     own = Window.partitionBy("sig", "place")
-    spared = F.greatest(F.lit(0), F.floor((F.col("need") - 1) / 2)).cast("long")
-    kept = (shared.repartition("sig").withColumns({"have": F.count(F.lit(1)).over(own),
-                                                   "turn": F.row_number().over(own.orderBy(F.col("often").desc(), "key"))})
-            .where((F.col("have") >= F.col("need")) & (F.col("turn") > spared))
-            .select("key", "sig", (F.col("info") - F.shiftleft(spared, 8)).alias("info")))
-    met = dealt(kept).mapInArrow(_meet(percent, light), _MET)
-    # One exchange, by a: pairs of a set, and how many heavy parts it has in a place.
-    of_a = Window.partitionBy("a", "place")
-    added = (met.repartition("a").groupBy("a", "place", "b", "key")
-             .agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.max("need_b").alias("need_b"))
-             .withColumn("heavy", F.coalesce(F.sum(F.when(F.col("b").isNull(), F.col("n"))).over(of_a), F.lit(0))))
-    # A set that leaves out its heavy parts agrees on at least need - heavy light ones with a linked set.
-    keeps = F.col("heavy") >= F.col("need")
-    enough = F.col("n") >= F.greatest(F.lit(1), F.col("need") - F.col("heavy"))
-    added = materialise(added.where(F.col("b").isNull() | keeps | enough).withColumn("keeps", keeps))
-    # Of two that keep theirs, some heavy part joins the pair, or it agrees on light ones alone.
-    heavy = (added.where("b is null").groupBy(F.col("a").alias("h_b"), F.col("place").alias("h_place"))
-             .agg(F.max("heavy").alias("heavy_b")))
-    both = (added.where("b is not null and keeps").join(heavy, (F.col("b") == F.col("h_b")) & (F.col("place") == F.col("h_place")), "left")
-            .withColumn("heavy_b", F.coalesce("heavy_b", F.lit(0)))
-            .where(F.col("n") >= F.greatest(F.lit(1), F.when(F.col("heavy_b") >= F.col("need_b"), F.col("need"))
-                                            .otherwise(F.col("need_b") - F.col("heavy_b")))))
-    pairs = added.where("b is not null and not keeps").select("a", "b").unionByName(both.select("a", "b"))
-    stars = added.where("b is null and keeps").select("key", "a").distinct()
-    lowest = stars.groupBy("key").agg(F.min("a").alias("v")).select(F.col("key").alias("l_key"), "v")
-    stars = stars.join(lowest, F.col("key") == F.col("l_key")).where("a <> v").select(F.col("a").alias("u"), "v").distinct()
-    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(stars)
+    spared = F.greatest(F.lit(0), F.floor((F.col("need") - 1) * 3 / 4)).cast("long")
+    ranked = (shared.repartition("sig").withColumns({"heavy": F.col("often") > light, "spared": spared})
+              .withColumns({"turn": F.row_number().over(own.orderBy(F.col("often").desc(), "key")), "hot": F.count_if("heavy").over(own),
+                            "have": F.count(F.lit(1)).over(own)})
+              .where(F.col("turn") > F.col("spared")))
+    # Light parts matter only to a set that has as many as any link would leave.
+    light_left = F.col("have") - F.greatest("hot", "spared")
+    kept = (ranked.where(F.col("heavy") | (light_left >= F.col("need") - F.col("spared")))
+            .select("key", "sig", (F.col("info") + F.shiftleft("spared", 8)).alias("info"), "heavy"))
+    # Heavy parts that are left: a star to the smallest set of each.
+    stars = kept.where("heavy").select("key", "sig").distinct()
+    lowest = stars.groupBy("key").agg(F.min("sig").alias("v")).select(F.col("key").alias("l_key"), "v")
+    stars = stars.join(lowest, F.col("key") == F.col("l_key")).where("sig <> v").select(F.col("sig").alias("u"), "v").distinct()
+    # Light ones: pairs that agree on enough of them.
+    met = dealt(kept.where("not heavy").drop("heavy")).mapInArrow(_meet(percent, light), _MET)
+    pairs = (met.groupBy("a", "b", "place").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need")
+             .select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    return pairs.unionByName(stars)
 
 
 def _common(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
