@@ -122,6 +122,17 @@ def portfolio_kpis(df: DataFrame, total_funds: float | None = None, by=None) ->
     return _grouped(df, by, *[c.alias(n) for n, c in kpi_columns(total_funds).items()])
 
 
+def portfolio_kpis_rollup(df: DataFrame, by: Sequence[str], total_funds: float | None = None) -> DataFrame:
+    """All KPIs for every group, every subtotal and the whole portfolio, from one scan.
+
+    ``by`` runs from the coarsest to the finest column. ``totalLevel`` says what a row covers:
+    0 for a group of all columns, 1 when the last one is summed over, 3 for the last two, and
+    so on; it tells a subtotal from a group whose own value is null.
+    """
+    aggs = [c.alias(n) for n, c in kpi_columns(total_funds).items()]
+    return df.rollup(*by).agg(F.grouping_id().cast("bigint").alias("totalLevel"), *aggs)
+
+
 def kpi_text(kpis: DataFrame) -> DataFrame:
     """The KPI strip as display text: money as ``$1,234.56``, percentages as ``12.3%``.
 

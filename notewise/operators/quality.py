@@ -3,11 +3,12 @@ a report instead of job failures."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notewise.sources.ledger import CORRUPT
-from notewise.sources.schema import GRADE_BAD_DEBT_RATES
+from notewise.sources.schema import GRADE_BAD_DEBT_RATES, ledger_schema
 
 
 def _zero_or_null(c: str) -> Column:
@@ -92,3 +93,32 @@ def dq_report(notes: DataFrame) -> DataFrame:
                  F.coalesce(F.col(n).cast("bigint"), zero).alias("violations"))
         for n in names
     ])))
+
+
+def quarantine(ledger: DataFrame, path: str) -> dict[str, int]:
+    """Write the good rows of a ledger read with ``on_bad="keep"`` to ``path/quality=good``
+    and the bad ones to ``path/quality=bad``, in one job over one read, and count them on the way.
+
+    Returns rows, bad rows and null rows per rule of ``ledger_rules`` as observed during the
+    write. ``path`` must be new. A stage that runs again may count a row twice; the
+    files hold every row once, so ``read_quarantined`` decides where it matters.
+    """
+    bad = F.col(CORRUPT).isNotNull()
+    rules = {"rows": F.lit(True), "corrupt_row": bad} | ledger_rules()
+    seen = Observation("quarantine")
+    (ledger.observe(seen, *[F.count(F.when(p, F.lit(1))).alias(n) for n, p in rules.items()])
+     .withColumn("quality", F.when(bad, "bad").otherwise("good"))
+     .write.partitionBy("quality").parquet(path))
+    return {n: seen.get[n] for n in rules}
+
+
+def read_quarantined(spark: SparkSession, path: str, quality: str) -> DataFrame:
+    """The ``good`` (ledger columns) or ``bad`` rows (with what was wrong) that ``quarantine``
+    wrote; without rows when it wrote none of that kind."""
+    rows = spark.read.schema(_quarantine_schema()).parquet(path).where(F.col("quality") == quality)
+    return rows.drop("quality", *([CORRUPT] if quality == "good" else []))
+
+
+def _quarantine_schema() -> T.StructType:
+    text = T.StringType()
+    return T.StructType([*ledger_schema().fields, T.StructField(CORRUPT, text), T.StructField("quality", text)])

@@ -8,9 +8,10 @@ merge of k rows per partition), never a full sort.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notewise.session import checkpoint_dir
 from notewise.sources.schema import NOTE_KEYS
 
 # Sort presets: (column, ascending).
@@ -46,6 +47,26 @@ def order_notes(df: DataFrame, preset: str = "app") -> DataFrame:
     return df.orderBy(*sort_keys(preset))
 
 
+def with_positions(df: DataFrame, preset: str = "app", name: str = "position") -> DataFrame:
+    """Number the rows 0, 1, 2, ... in a preset order, without a single-task window.
+
+    The rows are dealt out by ranges of the sort keys and sorted there; a row's place is its
+    place in its range plus the rows of the ranges before, of which there is one count each.
+    The sorted rows go through a checkpoint, as both steps must see the same ranges.
+    """
+    checkpoint_dir(df.sparkSession)
+    place = F.monotonically_increasing_id()  # range * 2**33 + place in the range
+    ordered = df.orderBy(*sort_keys(preset)).withColumn("_place", place).checkpoint()
+    part = F.shiftright("_place", 33)
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    # One row for each shuffle partition, so the window and the broadcast are small.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    local = F.col("_place") - F.shiftleft(part, 33)
+    return (ordered.join(F.broadcast(starts), part == F.col("_part"))
+            .select(*df.columns, (F.col("_start") + local).cast("bigint").alias(name)))
+
+
 def top_notes(df: DataFrame, k: int, preset: str = "notebook") -> DataFrame:
     """The first ``k`` notes in a preset order."""
     return df.orderBy(*sort_keys(preset)).limit(k)

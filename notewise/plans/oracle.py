@@ -320,8 +320,10 @@ def kpi(name: str, funds: float | None = None) -> str:
     return f"{full()} SELECT {kpi_exprs(funds)[name]} AS {name} FROM analyzed"
 
 
-def kpis(faulty: bool = False, by: str = "") -> str:
+def kpis(faulty: bool = False, by: str = "", rollup: bool = False) -> str:
     columns = ", ".join(f"{e} AS {n}" for n, e in kpi_exprs(P.TOTAL_FUNDS).items())
+    if rollup:
+        return f"{full(faulty)} SELECT {by}, grouping_id({by}) AS totalLevel, {columns} FROM analyzed GROUP BY ROLLUP ({by})"
     return (f"{full(faulty)} SELECT {by + ', ' if by else ''}{columns} FROM analyzed" + (f" GROUP BY {by}" if by else ""))
 
 
@@ -502,6 +504,7 @@ def oracle_sql() -> dict[str, str]:
         "kpi_funds_uninvested": kpi("fundsUninvested", P.TOTAL_FUNDS),
         "portfolio_kpis": kpis(by="grade"),
         "portfolio_kpis_total": kpis(),
+        "portfolio_kpis_rollup": kpis(faulty=True, by="grade, completed", rollup=True),
         "portfolio_kpis_faulty": kpis(faulty=True),
         "portfolio_kpis_text": kpi_text(),
         "funds_allocation": funds_sql(P.TOTAL_FUNDS),
@@ -527,6 +530,15 @@ def oracle_sql() -> dict[str, str]:
                              f"count(*) FILTER (WHERE loanID % {P.STORE_GAP} = 0) AS unmatchedPayments "
                              f"FROM ledger WHERE year(datePaid) <= {max(P.STORE_YEARS)} GROUP BY ALL"),
         "ledger_csv": f"""{led} SELECT * REPLACE ('The "Best", ' || company AS company) FROM ledger""",
+        "ledger_csv_inferred": f"""{led} SELECT * REPLACE ('The "Best", ' || company AS company) FROM ledger""",
+        "ledger_folder": (f"""{led} SELECT * REPLACE ('The "Best", ' || company AS company, """
+                          "CASE WHEN loanID % 3 <> 2 THEN status END AS status) FROM ledger"),
+        "ledger_quarantine": (f"{led} SELECT CASE WHEN loanID % 29 = 0 OR loanID % 23 = 0 THEN 'bad' ELSE 'good' END AS quality, "
+                              "count(*) AS rows, count(DISTINCT loanID) AS loans, CAST(sum(totalScheduled) AS DOUBLE) AS scheduled "
+                              "FROM ledger GROUP BY ALL"),
+        "bucketed_notes": transactions_sql(b),
+        "notes_positions": (f"{a} SELECT {KEYS}, principal, row_number() OVER (ORDER BY principal ASC NULLS FIRST, "
+                            "interestRate ASC NULLS FIRST, loanID ASC NULLS FIRST) - 1 AS position FROM analyzed"),
         "ledger_titled": f"{led} SELECT " + ", ".join(f'{c} AS "{t}"' for t, c in TITLES.items()) + " FROM ledger",
         "dq_corrupt": dq_ledger_sql(corrupt, "read", "loanID % 29 = 0 OR loanID % 23 = 0"),
         "dq_ledger_report": dq_ledger_sql(with_(grades_cte(), ledger_ctes(replace=NULLED)), "ledger"),

@@ -24,7 +24,9 @@ from notewise.session import checkpoint_dir
 from notewise.sources.derived import derive_ledger, edge_ledger, null_ledger
 from notewise.sources.dims import grade_dim
 from notewise.sources.ledger import normalise_titles, read_ledger, to_titles
+from notewise.sources.ledgerfolder import read_ledger_folder
 from notewise.sources.notestore import apply_payments, create_store, read_log, read_notes
+from notewise.sources.notetable import apply_to_table, save_notes
 from notewise.streaming.kpis import kpis_at, start_kpi_stream
 from notewise.streaming.payments import compact_notes, start_note_stream
 
@@ -41,6 +43,7 @@ STREAM_FILE_ROWS = 2_000_000
 STORE_GAP = 19
 STORE_BUCKETS = 16
 STORE_YEARS = (1997, 1999, 1999)
+TABLE_BUCKETS = 16
 
 
 def analyzed_notes(ledger: DataFrame, cap_spillover: bool = False) -> DataFrame:
@@ -175,25 +178,71 @@ def _titled_text(ledger):
                          *[F.col(c).cast("string").alias(t) for t, c in reversed(money.items())])
 
 
-def q_ledger_csv(spark, sf_dir):
+def _write_text(titled, path):
+    titled.write.options(header=True, quote='"', escape='"').csv(path)
+
+
+def q_ledger_csv(spark, sf_dir, infer_schema=False):
     """The ledger through its file: a CSV with doubled quotes, commas inside fields and
     reordered columns, written under the shared checkpoint folder and read by title."""
     path = _run_folder(spark, "ledger-csv")
-    _titled_text(_ledger(spark, sf_dir)).write.options(header=True, quote='"', escape='"').csv(path)
-    return read_ledger(spark, path, fmt="csv")
+    _write_text(_titled_text(_ledger(spark, sf_dir)), path)
+    return read_ledger(spark, path, fmt="csv", infer_schema=infer_schema)
 
 
-def q_dq_corrupt(spark, sf_dir):
-    """The ledger file with bad fields, read and reported: every 29th loan has a due date
-    and every 23rd a paid amount that does not fit."""
+def q_ledger_folder(spark, sf_dir):
+    """The ledger through three files of different layouts, by loan: the titles in their usual
+    order with one that nobody knows, in another order, and without a status."""
+    path = _run_folder(spark, "ledger-folder")
+    text = _titled_text(_ledger(spark, sf_dir)).withColumn("_part", F.col("`Loan Id`").cast("bigint") % 3)
+    part = lambda k: text.where(F.col("_part") == k).drop("_part")
+    _write_text(part(0).withColumn("Remark", F.lit("old, export")), f"{path}/0")
+    _write_text(part(1).select(*[f"`{c}`" for c in reversed(part(1).columns)]), f"{path}/1")
+    _write_text(part(2).drop("Status"), f"{path}/2")
+    return read_ledger_folder(spark, path, optional=["status"])
+
+
+def _corrupt_ledger(spark, sf_dir):
+    """The ledger file with bad fields, read with a trace: every 29th loan has a due date and
+    every 23rd a paid amount that does not fit."""
     path = _run_folder(spark, "ledger-corrupt")
     titled = _titled_text(_ledger(spark, sf_dir))
     loan = F.col("`Loan Id`").cast("bigint")
-    titled.withColumns({
+    _write_text(titled.withColumns({
         "Due Date": F.when(loan % 29 == 0, F.lit("soon")).otherwise(F.col("`Due Date`")),
         "Total Paid": F.when(loan % 23 == 0, F.lit("ten")).otherwise(F.col("`Total Paid`")),
-    }).write.options(header=True, quote='"', escape='"').csv(path)
-    return quality.dq_ledger_report(read_ledger(spark, path, fmt="csv", on_bad="keep"))
+    }), path)
+    return read_ledger(spark, path, fmt="csv", on_bad="keep")
+
+
+def q_dq_corrupt(spark, sf_dir):
+    return quality.dq_ledger_report(_corrupt_ledger(spark, sf_dir))
+
+
+def q_ledger_quarantine(spark, sf_dir):
+    """Rows and scheduled amounts of the good and of the bad rows that the ledger file was parted
+    into, read back from the two places."""
+    path = _run_folder(spark, "ledger-quarantine")
+    quality.quarantine(_corrupt_ledger(spark, sf_dir), path)
+    read = {q: quality.read_quarantined(spark, path, q).select(F.lit(q).alias("quality"), "loanID", "totalScheduled")
+            for q in ("good", "bad")}
+    return read["good"].unionByName(read["bad"]).groupBy("quality").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("loanID").alias("loans"),
+        F.sum("totalScheduled").cast("double").alias("scheduled"))
+
+
+def q_bucketed_notes(spark, sf_dir):
+    """Notes kept as a table bucketed by loan, with all payments joined to the buckets."""
+    ledger, run = _ledger(spark, sf_dir), _run_folder(spark, "note-table")
+    table = f"notes_{run[-32:]}"
+    save_notes(note_summary(ledger), table, TABLE_BUCKETS, path=run)
+    return apply_to_table(spark, table, loan_transactions(ledger))
+
+
+def q_notes_positions(spark, sf_dir):
+    """Every note's place on the chart: its position in the app's order."""
+    return selection.with_positions(_analyzed(spark, sf_dir).select(
+        "loanID", "company", "loanName", "interestRate", "grade", "principal"))
 
 
 def q_dq_ledger_report(spark, sf_dir):
@@ -252,6 +301,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stored_notes": q_stored_notes,
     "stored_notes_log": q_stored_notes_log,
     "ledger_csv": q_ledger_csv,
+    "ledger_csv_inferred": lambda s, d: q_ledger_csv(s, d, infer_schema=True),
+    "ledger_folder": q_ledger_folder,
+    "ledger_quarantine": q_ledger_quarantine,
+    "bucketed_notes": q_bucketed_notes,
+    "notes_positions": q_notes_positions,
     "ledger_titled": q_ledger_titled,
     "dq_corrupt": q_dq_corrupt,
     "dq_ledger_report": q_dq_ledger_report,
@@ -259,6 +313,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rebuild_notes_nulls": lambda s, d: rebuild_notes(null_ledger(_ledger(s, d))),
     "notes_with_transactions_nulls": lambda s, d: notes_with_transactions(null_ledger(_ledger(s, d))),
     "portfolio_kpis_total": lambda s, d: _kpis(_ledger(s, d)),
+    "portfolio_kpis_rollup": lambda s, d: metrics.portfolio_kpis_rollup(
+        analyzed_notes(_faulty(s, d)), ["grade", "completed"], TOTAL_FUNDS),
     "portfolio_kpis_faulty": lambda s, d: _kpis(_faulty(s, d)),
     "portfolio_kpis_text": lambda s, d: metrics.kpi_text(_kpis(_ledger(s, d), by=["grade"])),
     "grade_distribution_faulty": lambda s, d: datasets.grade_distribution(
