@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +37,10 @@ def file_headers(spark: SparkSession, path: str) -> DataFrame:
 
 def layouts(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
     """(header, files) for every header under ``path``. The driver gets one path per file, which
-    it lists in any read, and one header per layout."""
+    it lists in any read, and one header per layout. ``file_headers`` has paths as Spark's
+    metadata gives them, in URL form; here they are as a reader takes them."""
     found = file_headers(spark, path).groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files"))
-    return sorted((r["header"], r["files"]) for r in found.collect())
+    return sorted((r["header"], [unquote(f) for f in r["files"]]) for r in found.collect())
 
 
 def read_ledger_folder(
