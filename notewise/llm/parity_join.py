@@ -60,8 +60,8 @@ SHINGLE = 3
 PERCENT = 90
 PART_BITS = 128
 BAND = 1.5
-#: A key shared by more sets than this is heavy.
-LIGHT = 256
+#: A key shared by more sets than this is heavy: a set and key give half as many pairs at most.
+LIGHT = 64
 #: How often a document with too many empty parts is cut into parts anew.
 LEVELS = 4
 #: Digests of members up to this many (8 bytes each) are broadcast to skip all other texts
