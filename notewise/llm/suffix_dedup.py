@@ -213,8 +213,11 @@ class _Block:
         one = np.zeros(len(known), np.int64)
         one[found] = keep  # any anchor of the stretch
         bucket = ((mix(self.gram[one], 42) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        order = np.argsort(bucket, kind="stable")
+        # By bucket and text: the order must not hang on that of the rows, which each reading of a
+        # shuffle may bring in another one, as answers are found by their place.
         text = list(known)
+        by_text = np.array(sorted(range(len(text)), key=text.__getitem__), np.int64)
+        order = by_text[np.argsort(bucket[by_text], kind="stable")]
         back = np.empty(len(known), np.int64)
         back[order] = np.arange(len(known))
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))

@@ -5,11 +5,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from notewise.llm import ann_tree, bpe, parity_join, queries, sketch_dedup, suffix_dedup
+from notewise.llm import ann_tree, blocks, bpe, parity_join, queries, sketch_dedup, suffix_dedup
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -84,6 +85,21 @@ def test_bytes_removed_like_brute_force(make_docs, block_bytes, monkeypatch):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_substring_dedup_with_rows_in_another_order_each_time():
+    """A shuffle that is read twice may bring a block's rows in two orders; answers must still fit."""
+    rng = random.Random(9)
+    shared = ["".join(rng.choice("abcdef ") for _ in range(120)) for _ in range(20)]
+    texts = [shared[k % 20][k % 7:] + " own " + shared[(3 * k) % 20] for k in range(60)]
+    docs = pa.table({"block": pa.array([0] * 60, pa.int64()), "doc_id": pa.array(range(60), pa.int64()), "text": texts})
+    block = suffix_dedup._Block(docs, 50)
+    answers = blocks.merge_cells(blocks.rows(blocks.ask_cells(0, 0, block.cells(1 << 20), 1 << 20, 1)))
+    found = [suffix_dedup._Block(docs.take(order), 50).stretches(answers, 1 << 20, 4)
+             for order in (list(range(60)), list(range(59, -1, -1)), rng.sample(range(60), 60))]
+    for other in found[1:]:
+        assert len(other[2]) > 40 and other[2] == found[0][2]
+        assert all(np.array_equal(other[k], found[0][k]) for k in (3, 4, 5))
+
+
 def test_substring_dedup_of_nothing(make_docs):
     empty = make_docs([(1, "x")]).where("false")
     assert suffix_dedup.dedup(empty).count() == 0 and sketch_dedup.dedup(empty).count() == 0
