@@ -8,8 +8,9 @@ found by title and parsed by native expressions, and no bad field becomes null u
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,26 +55,33 @@ def parse_ledger(raw: DataFrame, date_formats: Sequence[str] = (DATE_FORMAT,), o
     missing = [f.name for f in ledger_schema().fields if f.name not in df.columns]
     if missing:
         raise ValueError(f"the ledger lacks the columns {', '.join(missing)}")
-    typed, bad = {}, []
+    typed, doubtful = {}, []
     for field in ledger_schema().fields:
         text = F.col(f"`{field.name}`")
-        blank = text.isNull() | (F.trim(text.cast("string")) == "")
         if isinstance(field.dataType, T.DateType):
-            value = F.coalesce(*[F.try_to_timestamp(text.cast("string"), F.lit(f)).cast("date") for f in date_formats])
+            read = [F.try_to_timestamp(text.cast("string"), F.lit(f)).cast("date") for f in date_formats]
+            value = text if df.schema[field.name].dataType == field.dataType else F.coalesce(*read)
         elif isinstance(field.dataType, T.StringType):
             value = text.cast("string")
         else:
             value = text.try_cast(field.dataType)
         typed[field.name] = value
-        bad.append(F.when(~blank & value.isNull(), F.concat(F.lit(field.name + "="), text.cast("string"))))
+        if not isinstance(field.dataType, T.StringType):  # text always fits
+            doubtful.append(field.name)
     columns = [c.alias(n) for n, c in typed.items()]
     if on_bad == "null":
         return df.select(*columns)
-    found = F.array_compact(F.array(*bad, *([F.col(CORRUPT)] if CORRUPT in df.columns else [])))
-    trace = F.when(F.size(found) > 0, F.concat_ws("; ", found))
+    # Every field is parsed once; its text goes along for the trace, which only bad rows build.
+    own = [F.col(f"`{CORRUPT}`").alias("_own")] if CORRUPT in df.columns else []
+    parsed = df.select(*columns, *[F.col(f"`{n}`").cast("string").alias(f"_text_{n}") for n in doubtful], *own)
+    bad = {n: F.col(n).isNull() & (F.coalesce(F.trim(f"_text_{n}"), F.lit("")) != "") for n in doubtful}
+    any_bad = reduce(Column.__or__, [*bad.values(), *([F.col("_own").isNotNull()] if own else [])])
+    # concat_ws passes over nulls; an array function with a lambda here would run every row interpreted.
+    trace = F.when(any_bad, F.concat_ws(
+        "; ", *[F.when(c, F.concat(F.lit(n + "="), F.col(f"_text_{n}"))) for n, c in bad.items()], *([F.col("_own")] if own else [])))
     # One generated row per row: its columns are plain to the optimizer, which would otherwise
     # carry the check's expression through every constraint of the columns that it shares.
-    parsed = df.select(F.inline(F.array(F.struct(*columns, trace.alias(CORRUPT)))))
+    parsed = parsed.select(F.inline(F.array(F.struct(*typed, trace.alias(CORRUPT)))))
     if on_bad == "keep":
         return parsed
     failed = F.raise_error(F.concat(F.lit("the ledger has a bad row: "), F.col(CORRUPT))).cast("boolean")

@@ -4,7 +4,8 @@ import pytest
 from pyspark.errors import PySparkException
 
 from notewise.operators.quality import dq_ledger_report
-from notewise.sources.ledger import read_ledger
+from notewise.sources.derived import derive_ledger
+from notewise.sources.ledger import read_ledger, write_ledger
 from notewise.sources.schema import LEDGER_TITLES, column_name, ledger_schema
 
 TITLES = [t for t, _ in LEDGER_TITLES]
@@ -70,3 +71,12 @@ def test_json_by_title(spark, tmp_path):
     row = read_ledger(spark, path, fmt="json").first()
     assert row["loanID"] == 7 and str(row["dueDate"]) == "2019-01-15" and float(row["totalPaid"]) == 10.0
     assert [column_name(t) for t in TITLES] == read_ledger(spark, path, fmt="json").columns
+
+
+def test_parse_stays_generated_and_reads_each_field_once(spark, sf_small, tmp_path):
+    """A lambda in the trace would run every row interpreted, and a second parse doubles the work."""
+    path = str(tmp_path / "csv")
+    write_ledger(derive_ledger(spark, sf_small).where("loanID < 100"), path, fmt="csv")
+    for bad in ("fail", "keep"):
+        plan = read_ledger(spark, path, on_bad=bad)._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan and plan.count("gettimestamp(") == 2, plan
