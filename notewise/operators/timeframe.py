@@ -6,7 +6,7 @@ end minus earnings as of the period start, from one aggregate with conditional s
 two waterfalls in the same projection.
 
 ``earnings_by_period`` gives every month, quarter or year at once: payments are summed per note
-and period, a range-frame window runs them up to each period's end, and a waterfall before and
+and period, a window runs them up to each period's end, and a waterfall before and
 after each period gives what the note earned in it. A note has one row per period in which it
 was paid, whatever the number of its instalments, so a hot loan is combined before any shuffle.
 """
@@ -86,16 +86,16 @@ def earnings_by_period(ledger: DataFrame, period: str = "month", grades: DataFra
     of = F.when(is_paid(), F.trunc("datePaid", period))
     # First level: one row per note and period, combined map-side; second: the note's own rows.
     parts = note_aggregate(ledger.withColumn("period", of), keys=["period"])
-    note = Window.partitionBy(*NOTE_KEYS)
-    upto = note.orderBy(F.months_between("period", F.lit(dt.date(1970, 1, 1))).cast("long").asc_nulls_first()).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow)
+    # One order serves every window, so a task sorts its rows once: a note has one row per period.
+    note = Window.partitionBy(*NOTE_KEYS).orderBy(F.col("period").asc_nulls_first())
+    upto = note.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = note.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     paid = F.coalesce(F.col("all_repaid"), F.lit(0).cast("bigint"))
     sums = ["cyclesTotal", "fees_units", "interest_units", "total_units", "total_rows", "all_payments"]
     runs = parts.withColumns(
-        {c: F.sum(c).over(note) for c in sums}
-        | {"firstDueDate": F.min("firstDueDate").over(note), "all_repaid": F.sum(paid).over(upto), "own_repaid": paid,
-           "own_payments": F.col("all_payments"),
-           "first": F.row_number().over(note.orderBy(F.col("period").asc_nulls_first())) == 1})
+        {c: F.sum(c).over(whole) for c in sums}
+        | {"firstDueDate": F.min("firstDueDate").over(whole), "all_repaid": F.sum(paid).over(upto), "own_repaid": paid,
+           "own_payments": F.col("all_payments"), "first": F.row_number().over(note) == 1})
     before = {"before_repaid": F.col("all_repaid") - F.col("own_repaid"), "before_payments": F.lit(0)}
     notes = finish_notes(runs.withColumns(before), grades, as_of={"before": None}, keep=["period", "own_payments", "first"])
     notes = waterfall(waterfall(notes, suffix="_end"), paid="before_repaid", suffix="_start")

@@ -75,3 +75,11 @@ def test_periods_by_hand(spark):
     assert earnings_by_period(ledger.where("false")).count() == 0
     with pytest.raises(ValueError):
         earnings_by_period(ledger, "week")
+
+
+def test_periods_sort_the_notes_once(spark, sf_small):
+    """Each further sort would hold all rows of a task once more."""
+    plan = earnings_by_period(derive_ledger(spark, sf_small), "month")._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window [" in line and "loanName#" in line]
+    sorts = [line for line in plan.splitlines() if "Sort [" in line and "loanName#" in line]
+    assert len(windows) == len(sorts) == 1, plan
