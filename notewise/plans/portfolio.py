@@ -28,7 +28,7 @@ from notewise.sources.ledgerfolder import read_ledger_folder
 from notewise.sources.notestore import apply_payments, create_store, read_log, read_notes
 from notewise.sources.notetable import apply_to_table, save_notes
 from notewise.streaming.kpis import kpis_at, start_kpi_stream
-from notewise.streaming.payments import compact_notes, start_note_stream
+from notewise.streaming.payments import compact_notes, start_note_stream, stream_session
 
 # Parameters of the registered queries.
 TOTAL_FUNDS = 5_000_000_000.0
@@ -40,6 +40,8 @@ TIMEFRAME = "year"
 STREAM_BATCHES = 3
 STREAM_FILES = 64
 STREAM_FILE_ROWS = 2_000_000
+STREAM_RANGE_ROWS = 1_000_000
+STATE_ROWS = 2_000_000
 STORE_GAP = 19
 STORE_BUCKETS = 16
 STORE_YEARS = (1997, 1999, 1999)
@@ -104,21 +106,30 @@ def _run_folder(spark, name):
     return f"{checkpoint_dir(spark).rstrip('/')}/notewise-{name}-{uuid.uuid4().hex}"
 
 
-def _stage_ledger(ledger, path):
-    """Write the ledger in ranges of due date and loan; files a micro-batch should take: a
-    third of the ranges, and never more than STREAM_FILES files of STREAM_FILE_ROWS rows."""
-    ranges = int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _stage_ledger(ledger, sf_dir, path):
+    """Write the ledger in ranges of due date and loan. Returned: the files that a micro-batch should
+    take (a third of the ranges, and never more than STREAM_FILES files of STREAM_FILE_ROWS rows)
+    and the state partitions.
+
+    Both numbers follow the lines and the cores, not the session's shuffle partitions: every state
+    partition is a store that keeps its files open in an executor, and a task that deals rows out
+    to 200 partitions has 200 more of them open.
+    """
+    spark = ledger.sparkSession
+    parts = lambda rows, each: max(spark.sparkContext.defaultParallelism, -(-rows // each))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    ranges = parts(rows, STREAM_RANGE_ROWS)
     staged = ledger.repartitionByRange(ranges, "dueDate", "loanID")
     staged.write.option("maxRecordsPerFile", STREAM_FILE_ROWS).parquet(path)
-    return min(-(-ranges // STREAM_BATCHES), STREAM_FILES)
+    return min(-(-ranges // STREAM_BATCHES), STREAM_FILES), parts(rows, STATE_ROWS)
 
 
 def q_portfolio_kpis_stream(spark, sf_dir):
     """The KPIs by grade after the ledger has gone by as a stream, from running totals."""
     run = _run_folder(spark, "kpi-run")
-    files = _stage_ledger(_faulty(spark, sf_dir), f"{run}/ledger")
+    files, state = _stage_ledger(_faulty(spark, sf_dir), sf_dir, f"{run}/ledger")
     start_kpi_stream(spark, f"{run}/ledger", f"{run}/kpis", f"{run}/checkpoint", by=["grade"],
-                     max_files_per_trigger=files).awaitTermination()
+                     max_files_per_trigger=files, state_partitions=state).awaitTermination()
     return kpis_at(spark, f"{run}/kpis", TOTAL_FUNDS)
 
 
@@ -151,11 +162,12 @@ def q_analyzed_notes_stream(spark, sf_dir):
     A registered query leaves its run folder to the caller, who owns the shared folder.
     """
     run = _run_folder(spark, "stream-run")
-    files = _stage_ledger(_ledger(spark, sf_dir), f"{run}/ledger")
+    files, state = _stage_ledger(_ledger(spark, sf_dir), sf_dir, f"{run}/ledger")
     query = start_note_stream(spark, f"{run}/ledger", f"{run}/notes", checkpoint=f"{run}/checkpoint",
-                              max_files_per_trigger=files)
+                              max_files_per_trigger=files, state_partitions=state)
     query.awaitTermination()
-    compact_notes(spark, f"{run}/notes", f"{run}/compacted")
+    # As many partitions as the stream: executors still have its stores open.
+    compact_notes(stream_session(spark, state), f"{run}/notes", f"{run}/compacted")
     return spark.read.parquet(f"{run}/compacted")
 
 

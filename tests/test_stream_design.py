@@ -1,5 +1,11 @@
 """The stream's settings stay in its own session; newest versions come from hash aggregates."""
 
+import glob
+
+import pytest
+
+from notewise.plans.portfolio import QUERIES
+from notewise.session import checkpoint_dir
 from notewise.sources.derived import derive_ledger
 from notewise.sources.ledger import write_ledger
 from notewise.streaming.payments import compact_notes, latest_notes, start_note_stream
@@ -23,3 +29,16 @@ def test_stream_session_rocksdb_formats_and_compaction(spark, sf_small, tmp_path
     assert "SortAggregate" not in plan and "Sort [" not in plan
     assert compact_notes(spark, out, str(tmp_path / "compact")) == 0
     assert spark.read.parquet(str(tmp_path / "compact")).count() == newest.count()
+
+
+@pytest.mark.parametrize("name", ["analyzed_notes_stream", "portfolio_kpis_stream"])
+def test_stores_and_files_follow_the_data(spark, sf_small, name):
+    """A session of 200 shuffle partitions does not open 200 state stores for a small ledger."""
+    wide = spark.newSession()
+    wide.conf.set("spark.sql.shuffle.partitions", "200")
+    runs = lambda: set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/notewise-*-run-*"))
+    before = runs()
+    assert not QUERIES[name](wide, sf_small).isEmpty()
+    [run] = runs() - before
+    assert len(glob.glob(f"{run}/checkpoint/state/0/[0-9]*")) == spark.sparkContext.defaultParallelism < 200
+    assert len(glob.glob(f"{run}/ledger/*.parquet")) <= spark.sparkContext.defaultParallelism
