@@ -24,7 +24,7 @@ for a set and part), and a pair is a candidate only when it agrees on as many as
 leave. So two texts that share a passage and agree on a few parts by chance are none, and a set
 that has fewer light parts left is not even paired. Sets that have heavy parts left are joined
 to the smallest set of each, a star per part: two linked sets share such a part, or agree on
-light ones alone.
+light ones alone. One exchange by set and one by key carry both: pairs and stars come from the same pass.
 
 Scale: documents with the same set are one member (kept once per task before any shuffle,
 then once overall). Part keys are dealt out by key, sorted and read as a stream, so a key that
@@ -222,6 +222,8 @@ def _parts(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, sig long, info long")
 
 
+#: In place of info: the key is heavy, also when few sets are left of it.
+HEAVY = -1
 _MET = "a long, b long, place int, need int, n long"
 
 
@@ -264,7 +266,8 @@ def _agreeing(key: np.ndarray, sig: np.ndarray, info: np.ndarray, percent: int,
 
 def _by_key(batches, light: int):
     """Rows (key, sig, info) sorted by key and sig, as a stream of (rows, sizes): whole groups of 2 to
-    ``light`` sets with the size of each row's group, and rows of larger groups with size 0."""
+    ``light`` sets with the size of each row's group, and rows of larger groups, and of keys marked
+    heavy (info HEAVY), with size 0."""
     held, hot = np.zeros((3, 0), np.int64), None
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
@@ -292,34 +295,52 @@ def _by_key(batches, light: int):
         elif batch is not None:
             hot = (held[0, -1], held[1, -1])
         size = np.repeat(sizes, sizes)
-        shared = size > 1
+        heavy = (size > light) | (held[2, :cut] == HEAVY)
+        shared = heavy | (size > 1)
         if shared.any():
-            yield held[:, :cut][:, shared], np.where(size > light, 0, size)[shared]
+            yield held[:, :cut][:, shared], np.where(heavy, 0, size)[shared]
         held = held[:, cut:]
 
 
 def _shared(light: int):
-    """(sig, place, need, key, info, often) of the keys that several sets share; often is the number of
-    sets, or ``light`` + 1 when there are more."""
+    """(sig, key, info, often) of the keys that several sets share; often is the number of sets, or
+    ``light`` + 1 when there are more."""
 
     def run(batches):
         for (key, sig, info), size in _by_key(batches, light):
-            columns = (sig, info & 0xFF, (info >> 20) & _MOST, key, info, np.where(size, size, light + 1))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            columns = (sig, key, info, np.where(size, size, light + 1))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                                             names=["sig", "place", "need", "key", "info", "often"])
+                                             names=["sig", "key", "info", "often"])
 
     return run
 
 
+def _star(key: np.ndarray, sig: np.ndarray, last: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by key and sig: each row's set and the smallest set of its key; ``last`` is the
+    key before and its smallest set."""
+    first = np.append(True, key[1:] != key[:-1])
+    lowest = sig[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+    return sig, np.where(key == last[0], last[1], lowest) if last else lowest
+
+
 def _meet(percent: int, light: int):
-    """Pairs of sets (a, b) in a place, with the number of keys that they agree on."""
+    """Pairs of sets (a, b) in a place, with the number of light keys that they agree on and how many
+    they need; and of heavy keys every set with the smallest one (place -1, need 1)."""
 
     def run(batches):
-        pairs, n_pairs = [], 0
-        for rows, _ in _by_key(batches, light):  # light keys: no group is larger
-            pairs.append(_agreeing(*rows, percent, light))
-            n_pairs += len(pairs[-1][0])
+        pairs, n_pairs, last = [], 0, ()
+        for rows, sizes in _by_key(batches, light):
+            star = sizes == 0  # light keys: no group is larger
+            if star.any():
+                sig, lowest = _star(rows[0, star], rows[1, star], last)
+                last = (rows[0, star][-1], lowest[-1])
+                other = sig != lowest
+                pairs.append((sig[other], lowest[other], np.full(other.sum(), -1), np.ones(other.sum(), np.int64)))
+                n_pairs += len(pairs[-1][0])
+            if not star.all():
+                pairs.append(_agreeing(*rows[:, ~star], percent, light))
+                n_pairs += len(pairs[-1][0])
             if n_pairs > _PAIRS:
                 yield _added(pairs)
                 pairs, n_pairs = [], 0
@@ -332,29 +353,26 @@ def _meet(percent: int, light: int):
 def _candidates(docs: DataFrame, size: int, percent: int, light: int = LIGHT) -> DataFrame:
     """Edges (u, v) that connect all sets that may link (and some that do not)."""
     dealt = lambda rows: rows.repartition("key").sortWithinPartitions("key", "sig")
-    shared = dealt(_parts(docs, size, percent)).mapInArrow(
-        _shared(light), "sig long, place int, need int, key long, info long, often int")
+    shared = dealt(_parts(docs, size, percent)).mapInArrow(_shared(light), "sig long, key long, info long, often int")
     # A set leaves out its most frequent parts, three quarters of as many as it may. What is left of
     # a linked pair's agreement is need less these.
     own = Window.partitionBy("sig", "place")
     spared = F.greatest(F.lit(0), F.floor((F.col("need") - 1) * 3 / 4)).cast("long")
-    ranked = (shared.repartition("sig").withColumns({"heavy": F.col("often") > light, "spared": spared})
+    ranked = (shared.repartition("sig")
+              .withColumns({"place": F.col("info").bitwiseAND(0xFF), "need": F.shiftright("info", 20).bitwiseAND(_MOST)})
+              .withColumns({"heavy": F.col("often") > light, "spared": spared})
               .withColumns({"turn": F.row_number().over(own.orderBy(F.col("often").desc(), "key")), "hot": F.count_if("heavy").over(own),
                             "have": F.count(F.lit(1)).over(own)})
               .where(F.col("turn") > F.col("spared")))
     # Light parts matter only to a set that has as many as any link would leave.
     light_left = F.col("have") - F.greatest("hot", "spared")
     kept = (ranked.where(F.col("heavy") | (light_left >= F.col("need") - F.col("spared")))
-            .select("key", "sig", (F.col("info") + F.shiftleft("spared", 8)).alias("info"), "heavy"))
-    # Heavy parts that are left: a star to the smallest set of each.
-    stars = kept.where("heavy").select("key", "sig").distinct()
-    lowest = stars.groupBy("key").agg(F.min("sig").alias("v")).select(F.col("key").alias("l_key"), "v")
-    stars = stars.join(lowest, F.col("key") == F.col("l_key")).where("sig <> v").select(F.col("sig").alias("u"), "v").distinct()
-    # Light ones: pairs that agree on enough of them.
-    met = dealt(kept.where("not heavy").drop("heavy")).mapInArrow(_meet(percent, light), _MET)
-    pairs = (met.groupBy("a", "b", "place").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need")
-             .select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
-    return pairs.unionByName(stars)
+            .select("key", "sig", F.when(F.col("heavy"), F.lit(HEAVY)).otherwise(F.col("info") + F.shiftleft("spared", 8)).alias("info")))
+    # Heavy parts that are left: a star to the smallest set of each. Light ones: pairs that agree on
+    # enough of them. Both from one pass, as every reader of ``kept`` would make the exchanges anew.
+    met = dealt(kept).mapInArrow(_meet(percent, light), _MET)
+    return (met.groupBy("a", "b", "place").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need")
+            .select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
 
 
 def _common(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:

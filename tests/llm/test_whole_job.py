@@ -5,6 +5,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -155,3 +157,29 @@ def test_rows_without_ids_are_read_once(spark, make_docs, monkeypatch):
     got = parity_join.components_and_links(make_docs(rows)).collect()
     assert len(got) == 900 and read.value <= 8 * 900
     assert max(r.n_links for r in got) >= 299
+
+
+def test_candidates_read_their_parts_once(make_docs):
+    """Parts, shared parts and pairs are one map each: no branch makes the exchanges anew."""
+    docs = make_docs([(k, f"a b c d {k} e f g h") for k in range(20)])
+    plan = parity_join._candidates(docs, 3, 90)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 3, plan
+
+
+@pytest.mark.parametrize("cut", [1, 2, 3, 7, 50])
+def test_stars_and_pairs_from_one_stream(cut):
+    """Heavy keys, of few sets or many and cut anywhere, give a star to their smallest set."""
+    info = parity_join._info(np.int64(30), 1, 0, 4 * (int(np.searchsorted([b[0] for b in parity_join.bands(90)], 30, "right")) - 1))
+    rows = [(key, sig, parity_join.HEAVY if key % 2 else int(info)) for key, n in enumerate([2, 1, 3, 2, 4, 9, 1, 30]) for sig in range(key, key + n)]
+    batches = [pa.RecordBatch.from_pydict(dict(zip(("key", "sig", "info"), map(list, zip(*rows[k:k + cut])))))
+               for k in range(0, len(rows), cut)]
+    got = set()
+    for out in parity_join._meet(90, 4)(iter(batches)):
+        got |= {(r["a"], r["b"]) for r in out.to_pylist() if r["place"] == -1}
+    assert got == {(sig, key) for key, sig, x in rows if x == parity_join.HEAVY and sig != key}
+    met = {(r["a"], r["b"]) for out in parity_join._meet(90, 4)(iter(batches)) for r in out.to_pylist() if r["place"] >= 0}
+    light = {}
+    for key, sig, x in rows:
+        if x != parity_join.HEAVY:
+            light.setdefault(key, []).append(sig)
+    assert met == {(a, b) for sets in light.values() for a in sets for b in sets if a < b}
