@@ -14,7 +14,8 @@ its own band and, when its partner may be in the band below, in that one too.
 Parts that say little are left out without losing a link. A set agrees with a linked one on all
 parts but as many as the two may differ in, so on ``need`` parts at least that are not empty,
 ``need`` being what its size and its empty parts leave of them. A document with too many empty parts is cut into parts anew by another hash, up to ``LEVELS`` times. Every set
-leaves out its most frequent parts, three quarters of ``need``. As the order of parts is the
+leaves out its most frequent parts, three quarters of ``need``, and more of them while they are
+heavy, up to all of ``need`` but one. As the order of parts is the
 same for all sets, what either of a pair leaves out are the most frequent parts they agree on, so
 the pair still agrees on ``need`` less the larger of the two numbers. Parts that more than
 ``LIGHT`` sets share are heavy.
@@ -354,15 +355,16 @@ def _candidates(docs: DataFrame, size: int, percent: int, light: int = LIGHT) ->
     """Edges (u, v) that connect all sets that may link (and some that do not)."""
     dealt = lambda rows: rows.repartition("key").sortWithinPartitions("key", "sig")
     shared = dealt(_parts(docs, size, percent)).mapInArrow(_shared(light), "sig long, key long, info long, often int")
-    # A set leaves out its most frequent parts, three quarters of as many as it may. What is left of
-    # a linked pair's agreement is need less these.
+    # A set leaves out its most frequent parts: three quarters of as many as it may, and of heavy ones
+    # all that it may. What is left of a linked pair's agreement is need less these.
     own = Window.partitionBy("sig", "place")
-    spared = F.greatest(F.lit(0), F.floor((F.col("need") - 1) * 3 / 4)).cast("long")
+    may = F.col("need") - 1
     ranked = (shared.repartition("sig")
               .withColumns({"place": F.col("info").bitwiseAND(0xFF), "need": F.shiftright("info", 20).bitwiseAND(_MOST)})
-              .withColumns({"heavy": F.col("often") > light, "spared": spared})
+              .withColumn("heavy", F.col("often") > light)
               .withColumns({"turn": F.row_number().over(own.orderBy(F.col("often").desc(), "key")), "hot": F.count_if("heavy").over(own),
                             "have": F.count(F.lit(1)).over(own)})
+              .withColumn("spared", F.greatest(F.lit(0), F.least(may, F.greatest(F.floor(may * 3 / 4), "hot"))).cast("long"))
               .where(F.col("turn") > F.col("spared")))
     # Light parts matter only to a set that has as many as any link would leave.
     light_left = F.col("have") - F.greatest("hot", "spared")

@@ -183,3 +183,10 @@ def test_stars_and_pairs_from_one_stream(cut):
         if x != parity_join.HEAVY:
             light.setdefault(key, []).append(sig)
     assert met == {(a, b) for sets in light.values() for a in sets for b in sets if a < b}
+
+
+def test_texts_that_share_a_passage_form_no_cluster(make_docs):
+    """Parts that more sets share than are paired are left out, too, as far as a link allows."""
+    passage = [f"p{i}" for i in range(150)]
+    docs = make_docs([(k, " ".join(passage + [f"o{k}x{i}" for i in range(105)])) for k in range(40)])
+    assert parity_join._candidates(docs, 5, 80, light=4).isEmpty()
