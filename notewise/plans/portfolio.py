@@ -139,7 +139,10 @@ def _filled_store(spark, sf_dir):
     path = _run_folder(spark, "note-store")
     ledger = _ledger(spark, sf_dir)
     create_store(note_summary(ledger.where(F.col("loanID") % STORE_GAP != 0)), path, buckets=STORE_BUCKETS)
-    payments = ledger.withColumn("batchId", F.year("datePaid").cast("string"))
+    # Written once: every call would derive the ledger anew.
+    staged = f"{path}-payments"
+    paid_instalments(ledger).select("loanID", "totalPaid", "datePaid", F.year("datePaid").cast("string").alias("batchId")).write.parquet(staged)
+    payments = spark.read.parquet(staged)
     for last in STORE_YEARS:
         apply_payments(spark, path, payments.where(F.col("batchId") <= str(last)))
     return path

@@ -5,7 +5,7 @@ A store is a folder: ``notes`` (Parquet, in ``bucket`` partitions by a hash of t
 ``done`` (one row per finished run) and ``pending`` (the notes of the last run).
 
 ``apply_payments`` takes payments that carry a batch id. Batches that the log knows are left out
-by an anti join, so a batch given again changes nothing, whatever else is given with it. Only
+by an anti join before anything is added up or shuffled, so a batch given again changes nothing, whatever else is given with it. Only
 the buckets of the paid loans are read and rewritten (dynamic partition overwrite); all other
 notes stay where they are.
 
@@ -30,6 +30,8 @@ from notewise.operators.notes import apply_transactions, is_paid
 from notewise.sources.schema import MONEY_SCALE, NOTE_KEYS
 
 BUCKETS = 64
+#: Ids of the log up to this many are broadcast; beyond, payments are joined with them by batch.
+BROADCAST_IDS = 1 << 18
 _LOG = "run string, batchId string, payments long, amount double, unmatchedPayments long"
 
 
@@ -82,10 +84,12 @@ def apply_payments(spark: SparkSession, path: str, payments: DataFrame) -> int:
     recover(spark, path)
     paid = payments.where(is_paid()).select(F.col("batchId").cast("string").alias("batchId"), "loanID", "totalPaid")
     known = spark.read.schema(_LOG).parquet(f"{path}/log").select("batchId")
+    # Before the aggregate, and without dealing payments out by batch: few batches hold all of them.
+    new = paid.join(F.broadcast(known) if known.count() <= BROADCAST_IDS else known, "batchId", "left_anti")
     units = to_units("totalPaid", MONEY_SCALE)
     run, buckets = uuid.uuid4().hex, spark.read.parquet(f"{path}/meta").first().buckets
-    per_loan = (paid.groupBy("batchId", "loanID").agg(F.sum(units).alias("units"), F.count(F.lit(1)).alias("n"))
-                .join(known, "batchId", "left_anti").withColumn("bucket", _bucket_of_loan(buckets)))
+    per_loan = (new.groupBy("batchId", "loanID").agg(F.sum(units).alias("units"), F.count(F.lit(1)).alias("n"))
+                .withColumn("bucket", _bucket_of_loan(buckets)))
     per_loan.write.parquet(f"{path}/payments/run={run}")
     per_loan = spark.read.parquet(f"{path}/payments/run={run}")
     if not per_loan.where("batchId is null").isEmpty():

@@ -85,3 +85,24 @@ def test_unknown_loans_and_missing_ids(spark, ledger, tmp_path):
     with pytest.raises(ValueError):
         notestore.apply_payments(spark, path, ledger.withColumn("batchId", F.lit(None).cast("string")))
     assert _same(notestore.read_notes(spark, path), kept, note_summary(kept))
+
+
+def test_known_batches_are_left_out_before_the_shuffle(spark, ledger, tmp_path, monkeypatch):
+    """No exchange deals payments out by batch id, of which there are few."""
+    path, plans = str(tmp_path / "store"), []
+    notestore.create_store(note_summary(ledger), path, buckets=4)
+    assert notestore.apply_payments(spark, path, ledger.where("batchId <= '1997'")) == 3
+    writer = type(spark.range(1).write)
+    parquet = writer.parquet
+
+    def watched(self, target, *args, **more):
+        if "/payments/run=" in target:
+            plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return parquet(self, target, *args, **more)
+
+    monkeypatch.setattr(writer, "parquet", watched)
+    assert notestore.apply_payments(spark, path, ledger.where("batchId <= '1997'")) == 0
+    assert len(plans) == 1 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin [batchId" not in plans[0]
+    monkeypatch.setattr(notestore, "BROADCAST_IDS", 0)  # a log of many batches
+    assert notestore.apply_payments(spark, path, ledger) > 0
+    assert _same(notestore.read_notes(spark, path), ledger, note_summary(ledger))
