@@ -12,7 +12,8 @@ Normalisation and splitting follow the vocabulary file (NFC, white space to one
 case; contractions, letter runs, single digits, runs of other signs; bytes as letters), as
 do the special tokens, which are matched in the raw text. The file's path is a parameter and
 is read on each executor. Encoding is a map over the documents; no shuffle, no collection.
-Chunks between blanks are encoded once and remembered per task in a bounded dictionary.
+Chunks between blanks are encoded once and remembered per task, up to a number of bytes; rows
+are taken by bytes too, so a task's memory follows neither the batch nor the vocabulary of the texts.
 
 Null text counts as empty: no ids, and the hashes are those of the empty string. Every row
 of the input gives one row (repeated rows too); extra columns are ignored.
@@ -23,10 +24,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from functools import lru_cache
+from sys import getsizeof
 
 import unicodedata
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-CACHE_CHUNKS = 600_000
-BATCH_ROWS = 2000
+from .common import lean, release_unused
+from .words import texts_of
+
+CACHE_BYTES = 48 << 20
+#: A remembered chunk's place in the dictionary.
+ENTRY_BYTES = 100
+SLICE_BYTES = 1 << 19
+#: Positions of words that are merged together.
+MERGE_CELLS = 1 << 17
 _NONE = np.int64(2 ** 62)
 # Controls that Python's split takes for blanks and the vocabulary's splitter does not.
 _ODD_BLANKS = re.compile("[\x1c-\x1f]")
@@ -58,7 +67,8 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        library = Tokenizer.from_file(path)
+        # Normaliser and splitter alone: a second copy of vocabulary and merges would serve nothing.
+        library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": [], "unk_token": None}}))
         self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         # Initial symbols: one per byte, with the word-end form for the last. The splitter
         # shows each byte as a letter; the letter of a byte is found by asking it.
@@ -99,7 +109,7 @@ class Bpe:
             if word:
                 by_width.setdefault(max(2, 1 << (len(word) - 1).bit_length()), []).append(i)
         for width, rows in by_width.items():
-            step = max(1, (1 << 20) // width)
+            step = max(1, MERGE_CELLS // width)
             for at in range(0, len(rows), step):
                 part = rows[at:at + step]
                 for i, ids in zip(part, self._merge([words[i] for i in part], width), strict=True):
@@ -193,49 +203,62 @@ class Bpe:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
-    return Bpe(path)
+    bpe = Bpe(path)
+    release_unused()  # the parsed file
+    return bpe
 
 
 class _Digests:
-    """Per task: (number of ids, ids as text, tokens as text) of the chunks met lately."""
+    """Per task: the ids (32 bits each) of the chunks met lately, in two generations that share
+    ``limit`` bytes: the older goes when the recent one is full."""
 
     def __init__(self, bpe: Bpe, limit: int):
-        self.bpe, self.limit, self.known = bpe, limit, {}
-
-    def _entry(self, ids: list[int]) -> tuple[int, str, str]:
-        id_text = self.bpe.id_text
-        return len(ids), " ".join([id_text[i] for i in ids]), self.bpe.decode(ids)
+        self.bpe, self.limit = bpe, limit
+        self.recent, self.older, self.held = {}, {}, 0
+
+    def _known(self, distinct: set[str]) -> dict[str, bytes]:
+        """The ids of these chunks; those that are not among the recent ones join them."""
+        known, new, late = {}, [], {}
+        for chunk in distinct:
+            if (entry := self.recent.get(chunk)) is not None:
+                known[chunk] = entry
+            elif (entry := self.older.get(chunk)) is not None:
+                late[chunk] = entry
+            else:
+                new.append(chunk)
+        if new:
+            late.update(zip(new, [array("i", ids).tobytes() for ids in self.bpe.encode_chunks(new)], strict=True))
+        for chunk, entry in late.items():
+            self.recent[chunk] = entry
+            self.held += ENTRY_BYTES + getsizeof(chunk) + getsizeof(entry)
+            if 2 * self.held > self.limit:
+                self.recent, self.older, self.held = {}, self.recent, 0
+        return known | late
 
     def of(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Number of ids, hash of the ids and hash of the tokens of each text."""
         plain = [None if "<|" in t or _ODD_BLANKS.search(t) else t.split() for t in texts]
-        distinct = set().union(*(c for c in plain if c))
-        new = list(distinct - self.known.keys())
-        if len(self.known) + len(new) > self.limit:
-            self.known = {}
-            new = list(distinct)
-        if new:
-            self.known.update(zip(new, map(self._entry, self.bpe.encode_chunks(new)), strict=True))
+        known = self._known(set().union(*(c for c in plain if c)))
         out = []
         for text, chunks in zip(texts, plain, strict=True):
             if chunks is None:
-                n, ids, tokens = self._entry(self.bpe.encode(text))
+                ids = self.bpe.encode(text)
             else:
-                found = list(map(self.known.__getitem__, chunks))
-                n = sum(map(itemgetter(0), found))
-                ids, tokens = " ".join(map(itemgetter(1), found)), " ".join(map(itemgetter(2), found))
-            out.append((n, hashlib.sha256(ids.encode()).hexdigest(),
-                        hashlib.sha256(tokens.encode("utf-8")).hexdigest()))
+                ids = array("i", b"".join(map(known.__getitem__, chunks))).tolist()
+            written = " ".join(map(self.bpe.id_text.__getitem__, ids))
+            out.append((len(ids), hashlib.sha256(written.encode()).hexdigest(),
+                        hashlib.sha256(self.bpe.decode(ids).encode("utf-8")).hexdigest()))
         return out
 
 
-def round_trip(docs: DataFrame, path: str, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of ``docs``."""
 
     def run(batches):
-        digests = _Digests(load(path), cache_chunks)
+        digests = _Digests(load(path), cache_bytes)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for row, end, _, _ in texts_of(batch, limit=SLICE_BYTES):
+                part = batch.slice(row, end - row)
                 rows = digests.of([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()),
@@ -244,7 +267,7 @@ def round_trip(docs: DataFrame, path: str, cache_chunks: int = CACHE_CHUNKS) ->
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,23 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release_unused() -> None:
+    """Give memory that this process has freed back to the system (Arrow's own, and malloc's)."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for mapInArrow. A Python worker outlives its task, and what it freed but kept
+    would count beside the memory of the stages that follow."""
+
+    def task(batches):
+        yield from run(batches)
+        release_unused()
+
+    return task
+
+
 def n_blocks(rows: int, per_block: int) -> int:
     """How many blocks of about ``per_block`` rows hold ``rows`` rows (at least one)."""
     return max(1, math.ceil(rows / per_block))

@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_rows, materialise
+from .common import keep_rows, lean, materialise
 from .components import connected_components
 from .words import find_words, mix, texts_of, windows
 
@@ -171,13 +171,12 @@ def part_keys(found: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np
 
 
 def _sets(batches, lower: bool, size: int):
-    """Per batch: each row's set of shingles."""
+    """Per slice of a batch: its rows, and each row's set of shingles. Sets, parts and members of
+    a whole batch take many times its memory."""
     for batch in batches:
-        found = []
-        for _, _, data, offsets in texts_of(batch):
+        for row, end, data, offsets in texts_of(batch):
             words, _, _, at = find_words(data, offsets, lower)
-            found.extend(shingles(words[a:b], size) for a, b in zip(at[:-1], at[1:], strict=True))
-        yield batch, found
+            yield batch.slice(row, end - row), [shingles(words[a:b], size) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _describe(docs: DataFrame, size: int) -> DataFrame:
@@ -190,7 +189,7 @@ def _describe(docs: DataFrame, size: int) -> DataFrame:
                  pa.array([signature(f) for f in found], pa.int64())], names=["doc_id", "digest", "n", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", _digest().alias("digest")).mapInArrow(run, f"doc_id {kind}, digest long, n long, sig long")
+    return docs.select("doc_id", "text", _digest().alias("digest")).mapInArrow(lean(run), f"doc_id {kind}, digest long, n long, sig long")
 
 
 _MOST = (1 << 12) - 1
@@ -220,7 +219,7 @@ def _parts(docs: DataFrame, size: int, percent: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["key", "sig", "info"])
 
-    return docs.select("text").mapInArrow(run, "key long, sig long, info long")
+    return docs.select("text").mapInArrow(lean(run), "key long, sig long, info long")
 
 
 #: In place of info: the key is heavy, also when few sets are left of it.
@@ -354,7 +353,7 @@ def _meet(percent: int, light: int):
 def _candidates(docs: DataFrame, size: int, percent: int, light: int = LIGHT) -> DataFrame:
     """Edges (u, v) that connect all sets that may link (and some that do not)."""
     dealt = lambda rows: rows.repartition("key").sortWithinPartitions("key", "sig")
-    shared = dealt(_parts(docs, size, percent)).mapInArrow(_shared(light), "sig long, key long, info long, often int")
+    shared = dealt(_parts(docs, size, percent)).mapInArrow(lean(_shared(light)), "sig long, key long, info long, often int")
     # A set leaves out its most frequent parts: three quarters of as many as it may, and of heavy ones
     # all that it may. What is left of a linked pair's agreement is need less these.
     own = Window.partitionBy("sig", "place")
@@ -372,7 +371,7 @@ def _candidates(docs: DataFrame, size: int, percent: int, light: int = LIGHT) ->
             .select("key", "sig", F.when(F.col("heavy"), F.lit(HEAVY)).otherwise(F.col("info") + F.shiftleft("spared", 8)).alias("info")))
     # Heavy parts that are left: a star to the smallest set of each. Light ones: pairs that agree on
     # enough of them. Both from one pass, as every reader of ``kept`` would make the exchanges anew.
-    met = dealt(kept).mapInArrow(_meet(percent, light), _MET)
+    met = dealt(kept).mapInArrow(lean(_meet(percent, light)), _MET)
     return (met.groupBy("a", "b", "place").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need")
             .select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
 
@@ -498,7 +497,7 @@ def _links(docs: DataFrame, candidates: DataFrame, classes: DataFrame, size: int
     # The digest is in the key: rows that share a doc_id (or have none) are spread.
     same_row = (F.col("digest") == F.col("m_digest")) & F.col("doc_id").eqNullSafe(F.col("m_id"))
     texts = texts.join(wanted.hint("shuffle_hash"), same_row).drop("doc_id", "m_id", "digest", "m_digest")
-    rows = texts.mapInArrow(sets, "sig long, copies long, cluster long, class long, blocks long, above long, below long, "
+    rows = texts.mapInArrow(lean(sets), "sig long, copies long, cluster long, class long, blocks long, above long, below long, "
                                   "same long, grams array<long>").where("sig = same")
     block = F.pmod(F.xxhash64("sig"), F.col("blocks"))
     level = F.col("class")

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 MAX_TRAIN = 8000
 LEXICON_SIZE = 512
 STEM_LENGTHS = (4, 5, 6, 7, 8)
@@ -265,4 +267,4 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD)
             keep = [probability(strength(t.as_py(), machine), lexicon) < threshold for t in batch.column("text")]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

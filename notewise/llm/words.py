@@ -47,8 +47,8 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return sums
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices of a batch of about SLICE_BYTES: first row, row after the last, bytes, offsets.
+def texts_of(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of a batch of about ``limit`` bytes: first row, row after the last, bytes, offsets.
 
     A null text is an empty one. A text longer than the slice is a slice of its own.
     """
@@ -65,7 +65,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int,
     data = np.frombuffer(raw_data, np.uint8) if raw_data is not None and raw_data.size else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
         yield row, end, data[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
         row = end
 
