@@ -60,6 +60,9 @@ from .words import find_words, mix, texts_of, windows
 SHINGLE = 3
 PERCENT = 90
 PART_BITS = 128
+#: Bits of a part's key. Keys that are equal by chance only add candidates, and the shuffles of parts,
+#: the largest of this operator, hold as many random bits less; the zeros come first in a row's bytes.
+_KEY_BITS = np.uint64(2 ** 64 - 2 ** 16)
 BAND = 1.5
 #: A key shared by more sets than this is heavy: a set and key give half as many pairs at most.
 LIGHT = 64
@@ -156,8 +159,9 @@ def part_keys(found: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np
             bits = (np.bincount(cell, minlength=parts * PART_BITS) & 1).astype(np.uint8).reshape(parts, PART_BITS)
             sketch = np.packbits(bits, axis=1).view(np.uint64)
             label = np.arange(parts, dtype=np.uint64) + np.uint64((j * LEVELS + level) << 40)
-            key = mix(sketch[:, 0] ^ mix(sketch[:, 1] ^ mix(label, 3), 4), 5)
-            need = max(0, int(used.sum() - _differ(len(found), j * LEVELS + level, percent)))
+            key = mix(sketch[:, 0] ^ mix(sketch[:, 1] ^ mix(label, 3), 4), 5) & _KEY_BITS
+            distinct = len(np.unique(key[used]))  # equal keys of a set are counted once
+            need = max(0, distinct - int(_differ(len(found), j * LEVELS + level, percent)))
             if need or level < LEVELS - 1:
                 key = key[used]
             keys.append(key)
