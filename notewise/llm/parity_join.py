@@ -23,7 +23,11 @@ the pair still agrees on ``need`` less the larger of the two numbers. Parts that
 Candidates: sets that agree on light parts are counted pair by pair (at most ``LIGHT`` partners
 for a set and part), and a pair is a candidate only when it agrees on as many as a link would
 leave. So two texts that share a passage and agree on a few parts by chance are none, and a set
-that has fewer light parts left is not even paired. Sets that have heavy parts left are joined
+that has fewer light parts left is not even paired. Nor are two sets that meet on a part but cannot
+agree on enough of them: every shared part tells into which of 64 cells the other sets with it fall,
+and a set meets only sets of cells that are on as many of its parts as a link needs. A linked set is
+on that many, so its cell is always among them; sets that share one or two parts with very many
+others make no pairs. Sets that have heavy parts left are joined
 to the smallest set of each, a star per part: two linked sets share such a part, or agree on
 light ones alone. One exchange by set and one by key carry both: pairs and stars come from the same pass.
 
@@ -54,7 +58,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep_rows, lean, materialise
-from .components import connected_components
+from .components import connected_components, smallest_reached
 from .words import find_words, mix, texts_of, windows
 
 SHINGLE = 3
@@ -62,7 +66,9 @@ PERCENT = 90
 PART_BITS = 128
 #: Bits of a part's key. Keys that are equal by chance only add candidates, and the shuffles of parts,
 #: the largest of this operator, hold as many random bits less; the zeros come first in a row's bytes.
-_KEY_BITS = np.uint64(2 ** 64 - 2 ** 16)
+#: Later the number of the key's sets is in their place.
+_KEY_BITS = np.uint64(2 ** 64 - 2 ** 24)
+_OFTEN = (1 << 24) - 1
 BAND = 1.5
 #: A key shared by more sets than this is heavy: a set and key give half as many pairs at most.
 LIGHT = 64
@@ -244,15 +250,17 @@ def _added(pairs: list[tuple]) -> pa.RecordBatch:
                                       names=["a", "b", "place", "need", "n"])
 
 
-def _agreeing(key: np.ndarray, sig: np.ndarray, info: np.ndarray, percent: int, light: int) -> tuple[np.ndarray, ...]:
-    """a < b, place and needed number of light parts of all pairs within groups of equal keys whose
-    sizes may link."""
+def _agreeing(key: np.ndarray, sig: np.ndarray, info: np.ndarray, partners: np.ndarray, percent: int, light: int) -> tuple[np.ndarray, ...]:
+    """a < b, place and needed number of light parts of all pairs within groups of equal keys that
+    are in each other's partners and whose sizes may link."""
     size, need, spared, place = info >> 32, (info >> 20) & _MOST, (info >> 8) & _MOST, info & 0xFF
+    cell, partners = _cell(sig), partners.view(np.uint64)
     left, right = [], []
     for step in range(1, light):
         at = np.flatnonzero(key[step:] == key[:len(key) - step])
         if not len(at):
             break
+        at = at[((partners[at] >> cell[at + step]) & (partners[at + step] >> cell[at]) & np.uint64(1)) > 0]
         left.append(at)
         right.append(at + step)
     i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
@@ -269,13 +277,17 @@ def _agreeing(key: np.ndarray, sig: np.ndarray, info: np.ndarray, percent: int,
 
 
 def _by_key(batches, light: int):
-    """Rows (key, sig, info) sorted by key and sig, as a stream of (rows, sizes): whole groups of 2 to
-    ``light`` sets with the size of each row's group, and rows of larger groups, and of keys marked
-    heavy (info HEAVY), with size 0."""
-    held, hot = np.zeros((3, 0), np.int64), None
+    """Rows (key, sig, info and further numbers) sorted by key and sig, as a stream of (rows, sizes):
+    whole groups of 2 to ``light`` sets with the size of each row's group, and rows of larger groups,
+    and of keys marked heavy (info HEAVY), with size 0."""
+    held, hot = None, None
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
-            held = np.concatenate([held, np.array([batch.column(c).to_numpy() for c in ("key", "sig", "info")], np.int64)], axis=1)
+            more = np.array([c.to_numpy() for c in batch.columns], np.int64)
+            held = more if held is None else np.concatenate([held, more], axis=1)
+        if held is None:
+            return
+        if batch is not None:
             new = np.ones(held.shape[1], bool)  # a set met by several tasks is one
             new[1:] = (held[0, 1:] != held[0, :-1]) | (held[1, 1:] != held[1, :-1])
             held = held[:, new]
@@ -306,20 +318,68 @@ def _by_key(batches, light: int):
         held = held[:, cut:]
 
 
-def _shared(light: int):
-    """(sig, key, info, often) of the keys that several sets share; often is the number of sets, or
-    ``light`` + 1 when there are more."""
+def _cell(sig: np.ndarray) -> np.ndarray:
+    """One of 64 cells for each set: sets sorted by sig are sorted by cell."""
+    return ((sig >> 58) & 63).astype(np.uint64)
+
+
+def _mates(key: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Of rows sorted by key and sig: the cells of the other sets of each row's key, as bits."""
+    cell = _cell(sig)
+    bit = np.uint64(1) << cell
+    begins = np.append(True, key[1:] != key[:-1])
+    every = np.bitwise_or.reduceat(bit, np.flatnonzero(begins))[np.cumsum(begins) - 1]
+    next_alike = np.append(~begins[1:] & (cell[1:] == cell[:-1]), False)
+    alike = next_alike | np.append(False, next_alike[:-1])  # another set of the key is in the own cell
+    return np.where(alike, every, every & ~bit).view(np.int64)
+
+
+def _may_link(key: np.ndarray, info: np.ndarray, percent: int) -> np.ndarray:
+    """Of rows in groups of equal keys: whether another set of the key has a size that may link with
+    the row's, the smaller of the two being in the place's band."""
+    size, last = info >> 32, _ends(percent)[(info & 0xFF) // LEVELS]
+    order = np.lexsort((size, key))
+    key, size, last = key[order], size[order], last[order]
+    own = size <= last  # the size is in the band; larger ones link with these only
+    at = np.arange(len(key))
+    below = np.append(-1, np.maximum.accumulate(np.where(own, at, -1))[:-1])
+    good = (below >= 0) & (key[below] == key) & (100 * size[below] >= percent * size)
+    good[:-1] |= own[:-1] & (key[1:] == key[:-1]) & (100 * size[:-1] >= percent * size[1:])
+    out = np.empty(len(key), bool)
+    out[order] = good
+    return out
+
+
+def _shared(percent: int, light: int):
+    """(sig, key, info, mates) of the keys that several sets share. The number of sets, or ``light`` + 1
+    when there are more, is in the key's low bits; mates are the cells of the key's other sets (0 when
+    there are more). Sets that link with none of the key's others, by their sizes, are left out."""
 
     def run(batches):
         for (key, sig, info), size in _by_key(batches, light):
-            columns = (sig, key, info, np.where(size, size, light + 1))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                                             names=["sig", "key", "info", "often"])
+            stay = (size == 0) | _may_link(key, info, percent)
+            key, sig, info, size = key[stay], sig[stay], info[stay], size[stay]
+            if len(key):
+                columns = (sig, key | np.where(size, size, light + 1), info, np.where(size, _mates(key, sig), 0))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["sig", "key", "info", "mates"])
 
     return run
 
 
+def _partners(rows: pa.Table) -> pa.Table:
+    """Of a set's rows (key, sig, info, mates, least) in one place, heavy ones with info HEAVY: (key,
+    sig, info, partners) of the heavy rows (partners 0) and of the light ones that its partners may
+    share. Partners are the cells that are on at least ``least`` of its light rows; a linked set that
+    shares no heavy row is on as many."""
+    info, mates = (rows.column(c).to_numpy() for c in ("info", "mates"))
+    bits = np.unpackbits(np.ascontiguousarray(mates).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    enough = bits.sum(axis=0, dtype=np.int64) >= max(1, rows.column("least")[0].as_py())
+    cells = np.packbits(enough, bitorder="little").view(np.int64)[0]
+    heavy = info == HEAVY
+    return (rows.select(["key", "sig", "info"]).append_column("partners", pa.array(np.where(heavy, 0, cells), pa.int64()))
+            .filter(pa.array(heavy | ((mates & cells) != 0))))
+
+
 def _star(key: np.ndarray, sig: np.ndarray, last: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Of rows sorted by key and sig: each row's set and the smallest set of its key; ``last`` is the
     key before and its smallest set."""
@@ -330,7 +390,8 @@ def _star(key: np.ndarray, sig: np.ndarray, last: tuple) -> tuple[np.ndarray, np
 
 def _meet(percent: int, light: int):
     """Pairs of sets (a, b) in a place, with the number of light keys that they agree on and how many
-    they need; and of heavy keys every set with the smallest one (place -1, need 1)."""
+    they need; and of heavy keys every set with the smallest one (place -1, need 1). Rows are (key,
+    sig, info, partners); without the last, every set may be a partner."""
 
     def run(batches):
         pairs, n_pairs, last = [], 0, ()
@@ -343,7 +404,8 @@ def _meet(percent: int, light: int):
                 pairs.append((sig[other], lowest[other], np.full(other.sum(), -1), np.ones(other.sum(), np.int64)))
                 n_pairs += len(pairs[-1][0])
             if not star.all():
-                pairs.append(_agreeing(*rows[:, ~star], percent, light))
+                lit = rows[:, ~star]
+                pairs.append(_agreeing(*lit[:3], lit[3] if len(lit) > 3 else np.full(lit.shape[1], -1), percent, light))
                 n_pairs += len(pairs[-1][0])
             if n_pairs > _PAIRS:
                 yield _added(pairs)
@@ -357,13 +419,14 @@ def _meet(percent: int, light: int):
 def _candidates(docs: DataFrame, size: int, percent: int, light: int = LIGHT) -> DataFrame:
     """Edges (u, v) that connect all sets that may link (and some that do not)."""
     dealt = lambda rows: rows.repartition("key").sortWithinPartitions("key", "sig")
-    shared = dealt(_parts(docs, size, percent)).mapInArrow(lean(_shared(light)), "sig long, key long, info long, often int")
+    shared = dealt(_parts(docs, size, percent)).mapInArrow(lean(_shared(percent, light)), "sig long, key long, info long, mates long")
     # A set leaves out its most frequent parts: three quarters of as many as it may, and of heavy ones
     # all that it may. What is left of a linked pair's agreement is need less these.
     own = Window.partitionBy("sig", "place")
     may = F.col("need") - 1
     ranked = (shared.repartition("sig")
-              .withColumns({"place": F.col("info").bitwiseAND(0xFF), "need": F.shiftright("info", 20).bitwiseAND(_MOST)})
+              .withColumns({"place": F.col("info").bitwiseAND(0xFF), "need": F.shiftright("info", 20).bitwiseAND(_MOST),
+                            "often": F.col("key").bitwiseAND(_OFTEN)})
               .withColumn("heavy", F.col("often") > light)
               .withColumns({"turn": F.row_number().over(own.orderBy(F.col("often").desc(), "key")), "hot": F.count_if("heavy").over(own),
                             "have": F.count(F.lit(1)).over(own)})
@@ -371,8 +434,10 @@ def _candidates(docs: DataFrame, size: int, percent: int, light: int = LIGHT) ->
               .where(F.col("turn") > F.col("spared")))
     # Light parts matter only to a set that has as many as any link would leave.
     light_left = F.col("have") - F.greatest("hot", "spared")
-    kept = (ranked.where(F.col("heavy") | (light_left >= F.col("need") - F.col("spared")))
-            .select("key", "sig", F.when(F.col("heavy"), F.lit(HEAVY)).otherwise(F.col("info") + F.shiftleft("spared", 8)).alias("info")))
+    least = F.col("need") - F.col("spared")
+    info = F.when(F.col("heavy"), F.lit(HEAVY)).otherwise(F.col("info") + F.shiftleft("spared", 8))
+    kept = (ranked.where(F.col("heavy") | (light_left >= least)).select("key", "sig", info.alias("info"), "place", "mates", least.alias("least"))
+            .groupBy("sig", "place").applyInArrow(_partners, "key long, sig long, info long, partners long"))
     # Heavy parts that are left: a star to the smallest set of each. Light ones: pairs that agree on
     # enough of them. Both from one pass, as every reader of ``kept`` would make the exchanges anew.
     met = dealt(kept).mapInArrow(lean(_meet(percent, light)), _MET)
@@ -437,20 +502,6 @@ def linked_pairs(sets: list[np.ndarray], side: np.ndarray | None = None, percent
     return left[good], right[good]
 
 
-def smallest_reached(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """For each of ``size`` nodes the smallest one that the edges connect it with."""
-    label = np.arange(size)
-    while True:
-        low = np.minimum(label[left], label[right])
-        new = label.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _links(docs: DataFrame, candidates: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Of the verified links: edges (u, v) enough to join all members that links connect, and
     rows (u, null, rows) that add up to the number of rows that u's set links with.

@@ -1,13 +1,14 @@
 """Exact dedup, mixing, URL filter, secrets and toxicity on small fixtures with edge cases."""
 
 import hashlib
+import random
 import re
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from notewise.llm import exact_dedup, mixing, secret_ledger, toxicity, url_filter
+from notewise.llm import components, exact_dedup, mixing, secret_ledger, toxicity, url_filter
 from notewise.llm.components import connected_components
 
 
@@ -103,6 +104,23 @@ def test_components_of_a_chain_a_star_and_loops(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
 
 
+@pytest.mark.parametrize("block", [1 << 16, 50])
+def test_components_of_long_chains_take_few_checkpoints(spark, monkeypatch, block):
+    """Blocks are joined in their tasks, so that the steps do not follow a chain's length."""
+    rng = random.Random(block)
+    names = rng.sample(range(-10 ** 12, 10 ** 12), 1200)
+    chains = [names[:700], names[700:1100], names[1100:1103], names[1103:]]
+    edges = [e for c in chains for e in zip(c[:-1], c[1:], strict=True)]
+    rng.shuffle(edges)
+    cuts = []
+    keep = components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df: cuts.append(1) or keep(df))
+    monkeypatch.setattr(components, "BLOCK_EDGES", block)
+    got = dict(connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
+    assert got == {n: min(c) for c in chains for n in c}
+    assert len(cuts) <= (2 if block > len(edges) else 20), len(cuts)
+
+
 def _spans(text):
     out = []
     pattern = (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -190,3 +190,58 @@ def test_texts_that_share_a_passage_form_no_cluster(make_docs):
     passage = [f"p{i}" for i in range(150)]
     docs = make_docs([(k, " ".join(passage + [f"o{k}x{i}" for i in range(105)])) for k in range(40)])
     assert parity_join._candidates(docs, 5, 80, light=4).isEmpty()
+
+
+def test_sets_that_share_a_part_with_many_make_no_pairs(spark, make_docs, monkeypatch):
+    """Every text shares a short passage with a few others, each with other ones: pairs of one part
+    in common, far from a link, are not made, and the linked ones are."""
+    rng = random.Random(11)
+    passages = [[f"p{k}x{i}" for i in range(12)] for k in range(160)]
+    rows = []
+    for k in range(200):
+        words = [w for p in rng.sample(passages, 25) for w in p]
+        rows += [(2 * k, " ".join(words))] + ([(2 * k + 1, " ".join(words[:-3]))] if k % 10 == 0 else [])
+    made = spark.sparkContext.accumulator(0)
+    meet = parity_join._meet
+
+    def counting(percent, light):
+        def run(batches):
+            for out in meet(percent, light)(batches):
+                made.add(out.num_rows)
+                yield out
+        return run
+
+    monkeypatch.setattr(parity_join, "_meet", counting)
+    edges = {frozenset(r) for r in parity_join._candidates(make_docs(rows), 5, 80).collect()}
+    assert len(edges) == 20 and made.value <= 2000, (len(edges), made.value)
+
+
+def test_partners_are_the_cells_that_are_on_enough_rows():
+    bit = lambda *cells: int(np.array([sum(1 << c for c in cells)], np.uint64).view(np.int64)[0])
+    rows = {"key": [1, 2, 3, 4], "info": [0, 0, 0, parity_join.HEAVY], "mates": [bit(3, 63), bit(63), bit(9), 0]}
+    for least, want in [(2, [(1, bit(63)), (2, bit(63)), (4, 0)]), (0, [(k, bit(3, 9, 63)) for k in (1, 2, 3)] + [(4, 0)]), (3, [(4, 0)])]:
+        got = parity_join._partners(pa.table(rows | {"sig": [5] * 4, "least": [least] * 4})).to_pylist()
+        assert [(r["key"], r["partners"]) for r in got] == want
+
+
+def test_sets_of_a_key_that_may_link_by_size():
+    rng = random.Random(8)
+    rows = [(key, rng.randrange(40, 200)) for key in range(60) for _ in range(rng.choice([2, 2, 3, 9]))]
+    place = parity_join.LEVELS * int(np.searchsorted(parity_join._starts(80), 80, "right") - 1)
+    lo, hi = parity_join.bands(80)[place // parity_join.LEVELS][:2]
+    rows = [(k, n) for k, n in rows if lo <= n <= hi * 100 // 80]
+    key, size = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    want = [any(i != j and k == m and 100 * min(n, o) >= 80 * max(n, o) and min(n, o) <= hi for j, (m, o) in enumerate(rows))
+            for i, (k, n) in enumerate(rows)]
+    got = parity_join._may_link(key, parity_join._info(0, 0, 0, place) + (size << 32), 80)
+    assert got.tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_mates_are_the_cells_of_the_other_sets():
+    rng = random.Random(3)
+    rows = sorted((key, rng.randrange(-2 ** 63, 2 ** 63) >> 50 << 50 | rng.randrange(4)) for key in range(40) for _ in range(rng.choice([1, 2, 3, 60])))
+    rows = sorted(set(rows))
+    key, sig = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    cell = (sig >> 58) & 63
+    want = [sum({1 << int(c) for c in cell[(key == k) & (sig != s)]}) for k, s in rows]
+    assert parity_join._mates(key, sig).view(np.uint64).tolist() == want
