@@ -193,14 +193,13 @@ def test_texts_that_share_a_passage_form_no_cluster(make_docs):
 
 
 def test_sets_that_share_a_part_with_many_make_no_pairs(spark, make_docs, monkeypatch):
-    """Every text shares a short passage with a few others, each with other ones: pairs of one part
-    in common, far from a link, are not made, and the linked ones are."""
+    """Sets that agree on one part with each of very many others, where a link needs 20, make no
+    pairs; two that agree on 25 do."""
     rng = random.Random(11)
-    passages = [[f"p{k}x{i}" for i in range(12)] for k in range(160)]
-    rows = []
-    for k in range(200):
-        words = [w for p in rng.sample(passages, 25) for w in p]
-        rows += [(2 * k, " ".join(words))] + ([(2 * k + 1, " ".join(words[:-3]))] if k % 10 == 0 else [])
+    sigs = [rng.randrange(-2 ** 63, 2 ** 63) for _ in range(120)]
+    info = int(parity_join._info(np.int64(200), 20, 0, 4 * (int(np.searchsorted([b[0] for b in parity_join.bands(80)], 200, "right")) - 1)))
+    shared = [rng.sample(sigs, 2) for _ in range(1800)] + [sigs[:2]] * 25
+    rows = [(key << 24, sig, info) for key, pair in enumerate(shared, 1) for sig in pair]
     made = spark.sparkContext.accumulator(0)
     meet = parity_join._meet
 
@@ -212,8 +211,9 @@ def test_sets_that_share_a_part_with_many_make_no_pairs(spark, make_docs, monkey
         return run
 
     monkeypatch.setattr(parity_join, "_meet", counting)
-    edges = {frozenset(r) for r in parity_join._candidates(make_docs(rows), 5, 80).collect()}
-    assert len(edges) == 20 and made.value <= 2000, (len(edges), made.value)
+    monkeypatch.setattr(parity_join, "_parts", lambda docs, size, percent: spark.createDataFrame(rows, "key long, sig long, info long"))
+    edges = [set(r) for r in parity_join._candidates(make_docs([(1, "x")]), 5, 80).collect()]
+    assert edges == [set(sigs[:2])] and made.value <= 100, (edges, made.value)
 
 
 def test_partners_are_the_cells_that_are_on_enough_rows():
