@@ -75,12 +75,12 @@ def stream_session(spark: SparkSession, state_partitions: int | None = None) ->
     """A session for one streaming job: the caller's settings, RECOMMENDED where the caller has
     none, and a RocksDB state store."""
     own = spark.newSession()
-    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", *RECOMMENDED):
-        value = spark.conf.get(key, RECOMMENDED.get(key))
-        own.conf.set(key, RECOMMENDED[key] if value is None else value)
+    for key, value in RECOMMENDED.items():
+        own.conf.set(key, spark.conf.get(key, value))
+    # Without a second argument: Spark's own default when nobody has set it.
+    partitions = spark.conf.get("spark.sql.shuffle.partitions") if state_partitions is None else str(state_partitions)
+    own.conf.set("spark.sql.shuffle.partitions", partitions)
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    if state_partitions is not None:
-        own.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     return own
 
 

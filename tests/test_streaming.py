@@ -1,10 +1,11 @@
 """The incremental (streaming) notes equal the batch notes, and replays are harmless."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from notewise.plans.portfolio import analyzed_notes
+from notewise.plans.portfolio import QUERIES, analyzed_notes
 from notewise.sources.derived import derive_ledger
-from notewise.streaming.payments import latest_notes, start_note_stream
+from notewise.streaming.payments import latest_notes, start_note_stream, stream_session
 
 
 def test_stream_equals_batch_and_replay_is_idempotent(spark, sf_small, tmp_path):
@@ -51,3 +52,24 @@ def test_stream_in_a_session_without_settings(spark, sf_small, tmp_path):
     start_note_stream(plain, str(tmp_path / "src"), str(tmp_path / "out"), checkpoint=str(tmp_path / "ck")).awaitTermination()
     assert latest_notes(plain, str(tmp_path / "out")).count() == analyzed_notes(ledger).count() > 0
     assert plain.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+
+
+@pytest.mark.parametrize("name", ["analyzed_notes_stream"])
+def test_query_in_a_session_that_sets_no_shuffle_partitions(spark, sf_small, name):
+    """A cluster's session as it comes: even the number of shuffle partitions is Spark's default."""
+    plain = spark.newSession()
+    plain.conf.unset("spark.sql.shuffle.partitions")
+    assert plain.conf.get("spark.sql.shuffle.partitions", None) is None
+    rows = lambda s: sorted(map(str, QUERIES[name](s, sf_small).collect()))
+    assert rows(plain) == rows(spark) != []
+    assert plain.conf.get("spark.sql.shuffle.partitions", None) is None
+
+
+def test_the_stream_takes_the_partitions_of_the_session(spark):
+    """Those given, else those set, else Spark's default of 200."""
+    of = lambda s, n=None: stream_session(s, n).conf.get("spark.sql.shuffle.partitions")
+    plain = spark.newSession()
+    plain.conf.unset("spark.sql.shuffle.partitions")
+    assert (of(plain), of(plain, 3)) == ("200", "3")
+    plain.conf.set("spark.sql.shuffle.partitions", "7")
+    assert (of(plain), of(plain, 3)) == ("7", "3")
